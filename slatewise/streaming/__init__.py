@@ -1,0 +1 @@
+"""The engine is a batch engine: it has no streaming operators, and this package stays empty."""
