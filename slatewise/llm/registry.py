@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from slatewise.llm import line_dedup, mixing, quality
+from slatewise.llm import bpe, html_text, line_dedup, mixing, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op6_bpe": bpe.op6_bpe,
         "op7_quality": quality.op7_quality,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_html": html_text.op9_html,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
