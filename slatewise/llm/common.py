@@ -55,12 +55,15 @@ def mixed_sql(x: str, seed: int) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows, computed once and written to the shared checkpoint folder; lineage ends there.
+    """The rows, computed once and written as a table in the shared checkpoint folder; lineage ends there.
 
     The folder is the session's spark.checkpoint.dir; only where that is unset (tests) is one made.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/slatewise-{uuid.uuid4().hex}")
-    return df.checkpoint()
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/slatewise-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

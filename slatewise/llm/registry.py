@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from slatewise.llm import bpe, html_text, line_dedup, mixing, quality, toxicity
+from slatewise.llm import bpe, html_text, line_dedup, mixing, quality, substring_dedup, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_mixing": mixing.op2_mixing,
+        "op4_topk": topk.op4_topk,
         "op6_bpe": bpe.op6_bpe,
         "op7_quality": quality.op7_quality,
         "op8_line_dedup": line_dedup.op8_line_dedup,
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
+    return {"op1_substring_dedup": substring_dedup.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op4_topk": topk.OP4_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
