@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from slatewise.llm import bpe, html_text, line_dedup, mixing, quality, substring_dedup, topk, toxicity
+from slatewise.llm import bpe, html_text, line_dedup, mixing, quality, substring_dedup, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_mixing": mixing.op2_mixing,
         "op4_topk": topk.op4_topk,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_bpe": bpe.op6_bpe,
         "op7_quality": quality.op7_quality,
         "op8_line_dedup": line_dedup.op8_line_dedup,
