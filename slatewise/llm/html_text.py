@@ -7,8 +7,8 @@ are counted per host in Spark, and pages are extracted again from the winning pa
 page without an element at that path uses its own best container.
 
 Parsing is a tokenizer over the page with a stack of open elements, as forgiving as browsers are with
-missing end tags. The vote table has one row per host and joins back by host: texts are not shuffled
-by host, so that a host with a third of all pages is no larger task than others.
+missing end tags. The vote table has one row per host; it joins back by host and one of SALTS salts,
+so that the pages of a host with a third of all rows are dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from slatewise.llm.common import table
 from slatewise.shipping import ship
 
+#: Parts that the pages of each host are dealt into for the join with their path.
+SALTS = 64
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -226,8 +229,9 @@ def extracted(pages: DataFrame) -> DataFrame:
     belongs to the host "". Repeated rows give repeated results; other columns are not looked at.
     """
     ship(pages.sparkSession)
-    winners = host_paths(pages)
-    joined = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(winners, "host", "left")
+    winners = host_paths(pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int").alias("salt"))
+    joined = own.join(winners, ["host", "salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from slatewise.llm import bpe, html_text, line_dedup, mixing, quality, substring_dedup, suffix_dedup, topk, toxicity
+from slatewise.llm import bpe, html_text, line_dedup, mixing, ngram_join, quality, substring_dedup, suffix_dedup, topk, toxicity
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_mixing": mixing.op2_mixing,
+        "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_topk": topk.op4_topk,
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_bpe": bpe.op6_bpe,
