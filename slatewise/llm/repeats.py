@@ -184,6 +184,8 @@ def repeated_windows(base: DataFrame, symbols: Callable, k: int, m: int, keep_fi
                 )
 
     shared = base.select("text").mapInArrow(minimizers, "mini bigint").groupBy("mini").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("mini")
+    # written, so that the join below has a plain exchange on both sides and Spark can split a hot minimizer
+    shared = saved(shared)
     found = base.select("key", "th", "text").mapInArrow(rows, "mini bigint, span bigint, key bigint, place bigint, n int").join(shared, "mini")
     found = saved(found)
     spans = found.groupBy("mini", "span").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "place")).alias("first"), F.min("n").alias("n"))
@@ -194,7 +196,7 @@ def repeated_windows(base: DataFrame, symbols: Callable, k: int, m: int, keep_fi
         whole = whole.where(F.struct("key", "place") != F.col("first"))
     whole = whole.select("key", "place", "n")
 
-    branching = spans.groupBy("mini").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("mini")
+    branching = saved(spans.groupBy("mini").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("mini"))
     copies = spans.join(branching, "mini").select("first.key", "first.place", "mini", "n", "c")
     per = copies.groupBy("key", _th("place").alias("th")).agg(F.collect_list(F.struct(_at("place").alias("at"), "n", "mini", "c")).alias("copies"))
     joined = base.join(per, ["key", "th"]).select("doc_id", "key", "th", "text", "copies")
