@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -66,4 +67,9 @@ def saved(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/slatewise-{uuid.uuid4().hex}")
     path = f"{sc._jsc.sc().getCheckpointDir().get()}/slatewise-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    # what was shuffled for the table isn't needed any more: the cleaner drops the files of frames that the JVM has let go
+    gc.collect()
+    sc._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)

@@ -9,7 +9,8 @@ Spark joins can work on paths:
 2. Paths with equal spans (minimizer and hash of all symbols) are one compacted path with a count and
    its first place. A minimizer with one span is nonbranching: all windows of its paths repeat together.
 3. Only where a minimizer has several spans, one copy of each span is read again from its source
-   coordinates and its windows are compared one by one.
+   coordinates. The minimizer with half of what surrounds it on either side is looked up first: a window
+   holds one of the halves, and most end here. The windows that are left are compared one by one.
 
 Counts and first places are sums and minima that Spark combines before it shuffles, and what they say
 comes back by joins: a minimizer in a third of all documents has no task of its own. Keys are pairs of
@@ -197,10 +198,14 @@ def repeated_windows(base: DataFrame, symbols: Callable, k: int, m: int, keep_fi
     whole = whole.select("key", "place", "n")
 
     branching = saved(spans.groupBy("mini").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("mini"))
-    copies = spans.join(branching, "mini").select("first.key", "first.place", "mini", "n", "c")
-    per = copies.groupBy("key", _th("place").alias("th")).agg(F.collect_list(F.struct(_at("place").alias("at"), "n", "mini", "c")).alias("copies"))
-    joined = base.join(per, ["key", "th"]).select("doc_id", "key", "th", "text", "copies")
-    each = joined.mapInArrow(lambda batches: windows(batches, symbols, k), "mini bigint, window bigint, key bigint, place bigint, c bigint, leads boolean")
+    copies = spans.join(branching, "mini").select("first.key", _th("first.place").alias("th"), _at("first.place").alias("at"), "n", "mini", "c")
+    # a repeated window holds half of what surrounds the minimizer to the left, or to the right: copies whose halves are found once go
+    halves = _with_text(base, copies.withColumn("sides", F.lit(3))).mapInArrow(
+        lambda batches: half_rows(batches, symbols, k, m), "mini bigint, side int, half bigint, key bigint, th bigint, at bigint, n int, c bigint"
+    )
+    shared_halves = halves.groupBy("mini", "side", "half").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("mini", "side", "half")
+    open_ = halves.join(shared_halves, ["mini", "side", "half"]).groupBy("key", "th", "at", "mini").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.bit_or("side").alias("sides"))
+    each = _with_text(base, open_).mapInArrow(lambda batches: windows(batches, symbols, k, m), "mini bigint, window bigint, key bigint, place bigint, c bigint, leads boolean")
     if keep_first:
         least = each.where("leads").groupBy("mini", "window").agg(F.min(F.struct("key", "place")).alias("first"))
         single = each.join(least, ["mini", "window"]).where(F.struct("key", "place") != F.col("first"))
@@ -211,6 +216,12 @@ def repeated_windows(base: DataFrame, symbols: Callable, k: int, m: int, keep_fi
     return every.groupBy("key", _th("place").alias("th")).agg(F.collect_list(F.struct(_at("place").alias("at"), "n")).alias("spans"))
 
 
+def _with_text(base: DataFrame, copies: DataFrame) -> DataFrame:
+    """The documents that hold path copies, with these."""
+    per = copies.groupBy("key", "th").agg(F.collect_list(F.struct("at", "n", "mini", "c", "sides")).alias("copies"))
+    return base.join(per, ["key", "th"]).select("doc_id", "key", "th", "text", "copies")
+
+
 def _th(place: str) -> F.Column:
     return F.shiftright(F.col(place), PLACE_BITS)
 
@@ -219,26 +230,61 @@ def _at(place: str) -> F.Column:
     return F.col(place).bitwiseAND((1 << PLACE_BITS) - 1)
 
 
-def copy_windows(batch: pa.RecordBatch, symbols: Callable, k: int):
-    """All windows of the path copies of a batch: symbols, place of each window among them, its document, minimizer and count."""
-    values, at = symbols(batch.column(3))
-    lists = batch.column(4)
-    per_doc = np.diff(lists.offsets.to_numpy())
-    copies = lists.flatten()
-    c_at, c_n, c_mini, c_c = (copies.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
-    doc = np.repeat(np.repeat(np.arange(len(per_doc)), per_doc), c_n)
-    inner = np.arange(len(doc)) - np.repeat(np.cumsum(c_n) - c_n, c_n)
-    start = at[doc] + np.repeat(c_at, c_n) + inner
-    return values, at, doc, start, np.repeat(c_mini, c_n), np.repeat(c_c, c_n)
-
-
-def window_hashes(values: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
+class Copies:
+    """Path copies of a batch of texts: document, first window, number of windows, minimizer and its place, count, open sides."""
+
+    def __init__(self, batch: pa.RecordBatch, symbols: Callable, k: int, m: int):
+        self.values, self.at = symbols(batch.column(3))
+        lists = batch.column(4)
+        self.doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        flat = lists.flatten()
+        first, self.n, self.mini, self.c, self.sides = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+        self.start = self.at[self.doc] + first
+        # the minimizer is the leftmost gram of the path with its hash
+        length = self.n + (k - m)
+        begin = np.cumsum(length) - length
+        inner = np.arange(int(length.sum())) - np.repeat(begin, length)
+        where = np.repeat(self.start, length) + inner
+        same = hashes_at(self.values, where, m) == np.repeat(self.mini.view(np.uint64), length)
+        found = np.where(same, where, np.iinfo(np.int64).max)
+        self.anchor = np.minimum.reduceat(found, begin) if len(begin) else found
+
+    def windows(self, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """(copy, start) of the windows whose halves are open."""
+        half = (k - m) // 2
+        which = np.repeat(np.arange(len(self.n)), self.n)
+        start = np.repeat(self.start, self.n) + np.arange(len(which)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        anchor, sides = self.anchor[which], self.sides[which]
+        left, right = anchor - start >= half, start + k - anchor - m >= half
+        use = (~left | (sides & 1 > 0)) & (~right | (sides & 2 > 0))
+        return which[use], start[use]
+
+
+def half_rows(batches: Iterator[pa.RecordBatch], symbols: Callable, k: int, m: int) -> Iterator[pa.RecordBatch]:
+    """For each path copy the minimizer with half its surroundings to the left (side 1) and right (side 2), as far as a window reaches them."""
+    half = (k - m) // 2
+    for batch in small(batches):
+        x = Copies(batch, symbols, k, m)
+        key, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+        for side, begin, use in ((1, x.anchor - half, x.anchor - half >= x.start), (2, x.anchor, x.anchor + m + half <= x.start + x.n - 1 + k)):
+            doc = x.doc[use]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(x.mini[use]), pa.array(np.full(len(doc), side, np.int32)), pa.array(hashes_at(x.values, begin[use], m + half).view(np.int64)), pa.array(key[doc]), pa.array(th[doc]),
+                    pa.array(x.start[use] - x.at[doc]), pa.array(x.n[use].astype(np.int32)), pa.array(x.c[use]),
+                ],
+                ["mini", "side", "half", "key", "th", "at", "n", "c"],
+            )
+
+
+def hashes_at(values: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of so many symbols at each place, all of which lie inside."""
     out = np.empty(len(start), np.uint64)
     piece = start // CHUNK
     for x in np.unique(piece):
         mine = piece == x
         low = int(x) * CHUNK
-        out[mine] = mix(Prefix(values[low : low + CHUNK + k]).of(start[mine] - low, k))
+        out[mine] = mix(Prefix(values[low : low + CHUNK + length]).of(start[mine] - low, length))
     return out
 
 
@@ -257,11 +303,12 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Rec
             yield batch.slice(at, rows)
 
 
-def window_rows(batches: Iterator[pa.RecordBatch], symbols: Callable, k: int) -> Iterator[pa.RecordBatch]:
+def window_rows(batches: Iterator[pa.RecordBatch], symbols: Callable, k: int, m: int) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
-        values, at, doc, start, mini, c = copy_windows(batch, symbols, k)
+        x = Copies(batch, symbols, k, m)
+        which, start = x.windows(k, m)
         if len(start):
-            yield window_batch(batch, at, doc, start, mini, c, window_hashes(values, start, k), np.ones(len(start), bool))
+            yield window_batch(batch, x.at, x.doc[which], start, x.mini[which], x.c[which], hashes_at(x.values, start, k), np.ones(len(start), bool))
 
 
 def covered(n: int, spans: list[dict] | None, k: int) -> np.ndarray:

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from slatewise.llm.common import table
-from slatewise.llm.repeats import Prefix, based, byte_arrays, byte_symbols, copy_windows, covered, repeated_windows, small, window_batch, window_hashes
+from slatewise.llm.repeats import Copies, Prefix, based, byte_arrays, byte_symbols, covered, hashes_at, mix, repeated_windows, small, window_batch
 from slatewise.shipping import ship
 
 WINDOW = 100
-GRAM = 20
+GRAM = 32
 
 
 class Suffixes:
@@ -98,23 +98,26 @@ class Suffixes:
         return np.cumsum(new)
 
 
-def suffix_rows(batches: Iterator[pa.RecordBatch], symbols, k: int) -> Iterator[pa.RecordBatch]:
+def suffix_rows(batches: Iterator[pa.RecordBatch], symbols, k: int, m: int) -> Iterator[pa.RecordBatch]:
     """Rows of step 3 of repeats.py: the windows of path copies, of which the first of each class leads."""
     for batch in small(batches, 200):
-        values, at, doc, start, mini, c = copy_windows(batch, symbols, k)
+        x = Copies(batch, symbols, k, m)
+        which, start = x.windows(k, m)
         if not len(start):
             continue
         raw, _ = byte_arrays(batch.column(3))
         key = batch.column(1).to_numpy(zero_copy_only=False)
         th = batch.column(2).to_numpy(zero_copy_only=False)
-        # in order of place, so that the stable sort leaves the first place first in its class
-        order = np.lexsort((start - at[doc], th[doc], key[doc], mini))
-        doc, start, mini, c = (x[order] for x in (doc, start, mini, c))
-        suffixes = Suffixes(values, raw, k)
-        by = suffixes.sorted(start, mini)
+        # equal strings have their minimizer at one offset; in order of place, so that the stable sort leaves the first place first
+        group = x.mini[which].view(np.uint64) ^ mix((x.anchor[which] - start).astype(np.uint64))
+        doc = x.doc[which]
+        order = np.lexsort((start - x.at[doc], th[doc], key[doc], group))
+        which, start, group = which[order], start[order], group[order]
+        suffixes = Suffixes(x.values, raw, k)
+        by = suffixes.sorted(start, group)
         leads = np.zeros(len(start), bool)
-        leads[by[np.unique(suffixes.classes(start[by], mini[by]), return_index=True)[1]]] = True
-        yield window_batch(batch, at, doc, start, mini, c, window_hashes(values, start, k), leads)
+        leads[by[np.unique(suffixes.classes(start[by], group[by]), return_index=True)[1]]] = True
+        yield window_batch(batch, x.at, x.doc[which], start, x.mini[which], x.c[which], hashes_at(x.values, start, k), leads)
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
