@@ -178,18 +178,19 @@ def test_signatures_share_enough():
                     assert len(signed[i] & signed[j]) >= least[i] >= 1
 
 
-def test_t_occurrences():
+@pytest.mark.parametrize("heap", [0, 10**9])
+def test_t_occurrences(monkeypatch, heap):
+    monkeypatch.setattr(ngram_join, "HEAP", heap)
     random.seed(4)
-    for _ in range(200):
-        sets = [set(random.sample(range(40), random.randint(0, 25))) for _ in range(30)]
-        index = collections.defaultdict(list)
-        for i, s in enumerate(sets):
-            for x in s:
-                index[x].append(i)
-        q = set(random.sample(range(40), random.randint(1, 25)))
-        least = random.randint(1, len(q))
-        want = {i: len(q & s) for i, s in enumerate(sets) if len(q & s) >= least}
-        assert ngram_join.t_occurrences(np.array(sorted(q)), index, least) == want
+    for _ in range(120):
+        sets = [sorted(random.sample(range(60), random.randint(1, 50))) for _ in range(random.randint(2, 40))]
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        index = ngram_join.Inverted(np.concatenate(sets).astype(np.uint64), owner, len(sets))
+        i = random.randrange(len(sets))
+        least = random.randint(1, len(sets[i]))
+        want = {j: len(set(sets[i]) & set(s)) for j, s in enumerate(sets) if j != i and len(set(sets[i]) & set(s)) >= least}
+        who, common = ngram_join.t_occurrences(index, i, least)
+        assert dict(zip(who.tolist(), common.tolist())) == want
 
 
 def test_top_k_hard(spark):
