@@ -75,7 +75,7 @@ def unsnappy(block: bytes) -> bytes:
     try:
         size, _ = varint(block, 0)
         return pa.decompress(block, decompressed_size=size, codec="snappy").to_pybytes()
-    except (Broken, pa.ArrowException, OverflowError, MemoryError, ValueError):
+    except (Broken, pa.ArrowException, OSError, OverflowError, MemoryError, ValueError):
         return block
 
 

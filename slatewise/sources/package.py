@@ -45,7 +45,7 @@ def entries(spark: SparkSession, files: str, wanted: str = "") -> DataFrame:
 
 def text(parts: DataFrame) -> DataFrame:
     """Parts with their bytes as xml."""
-    return parts.withColumn("xml", F.decode("bytes", F.lit("UTF-8"))).drop("bytes")
+    return parts.withColumn("xml", F.decode("bytes", "UTF-8")).drop("bytes")
 
 
 def relationships(parts: DataFrame) -> DataFrame:
