@@ -9,8 +9,10 @@ Spark joins can work on paths:
 2. Paths with equal spans (minimizer and hash of all symbols) are one compacted path with a count and
    its first place. A minimizer with one span is nonbranching: all windows of its paths repeat together.
 3. Only where a minimizer has several spans, one copy of each span is read again from its source
-   coordinates. The minimizer with half of what surrounds it on either side is looked up first: a window
-   holds one of the halves, and most end here. The windows that are left are compared one by one.
+   coordinates, and the copies of a minimizer meet in a block. A window holds half of what surrounds the
+   minimizer on one side at least, and most end where no other copy has that half. The windows that are
+   left are compared one by one. Minimizers of over SALTED spans are dealt over blocks; their windows
+   meet once more by hash.
 
 Counts and first places are sums and minima that Spark combines before it shuffles, and what they say
 comes back by joins: a minimizer in a third of all documents has no task of its own. Keys are pairs of
@@ -34,6 +36,9 @@ CHUNK = 1 << 19
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _RINV = np.uint64(pow(int(_R), -1, 1 << 64))
 PLACE_BITS = 40
+#: Spans of a minimizer in a block at most, on average; spans of a block, on average.
+SALTED = 4096
+BUCKET = 20_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -157,15 +162,13 @@ def based(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", id_key(F.col("doc_id")).alias("key"), th.alias("th"), F.col("text").cast("string").alias("text"))
 
 
-def repeated_windows(base: DataFrame, symbols: Callable, k: int, m: int, keep_first: bool, windows: Callable | None = None) -> DataFrame:
+def repeated_windows(base: DataFrame, symbols: Callable, k: int, m: int, keep_first: bool) -> DataFrame:
     """key, th, spans: for each document the runs (at, n) of windows, by their starts, that are repeated.
 
     A repeated window is one whose symbols also start elsewhere; with keep_first, one whose symbols also
     start earlier: at a smaller key, or in the same text further left.
-    windows: makes the rows of step 3 from the paths of a batch of texts; by default window_rows.
     """
     ship(base.sparkSession)
-    windows = windows or window_rows
 
     def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,31 +200,34 @@ def repeated_windows(base: DataFrame, symbols: Callable, k: int, m: int, keep_fi
         whole = whole.where(F.struct("key", "place") != F.col("first"))
     whole = whole.select("key", "place", "n")
 
-    branching = saved(spans.groupBy("mini").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("mini"))
-    copies = spans.join(branching, "mini").select("first.key", _th("first.place").alias("th"), _at("first.place").alias("at"), "n", "mini", "c")
-    # a repeated window holds half of what surrounds the minimizer to the left, or to the right: copies whose halves are found once go
-    halves = _with_text(base, copies.withColumn("sides", F.lit(3))).mapInArrow(
-        lambda batches: half_rows(batches, symbols, k, m), "mini bigint, side int, half bigint, key bigint, th bigint, at bigint, n int, c bigint"
+    # copies of the spans of branching minimizers, read again at their source, meet by minimizer; a hot one is dealt into salts
+    branching = saved(spans.groupBy("mini").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("mini", F.ceil(F.col("d") / SALTED).cast("int").alias("salts")))
+    copies = spans.join(branching, "mini").select("first.key", _th("first.place").alias("th"), _at("first.place").alias("at"), "n", "mini", "c", "salts")
+    buckets = max(1, -(-spans.count() // BUCKET))
+    per = copies.groupBy("key", "th").agg(F.collect_list(F.struct("at", "n", "mini", "c", "salts")).alias("copies"))
+    cut = base.join(per, ["key", "th"]).select("key", "th", "text", "copies").mapInArrow(
+        lambda batches: span_rows(batches, symbols, k), "mini bigint, salts int, key bigint, place bigint, n int, c bigint, span binary"
     )
-    shared_halves = halves.groupBy("mini", "side", "half").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("mini", "side", "half")
-    open_ = halves.join(shared_halves, ["mini", "side", "half"]).groupBy("key", "th", "at", "mini").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.bit_or("side").alias("sides"))
-    each = _with_text(base, open_).mapInArrow(lambda batches: windows(batches, symbols, k, m), "mini bigint, window bigint, key bigint, place bigint, c bigint, leads boolean")
+    salt = F.pmod(F.xxhash64("key", "place"), F.col("salts"))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("mini", salt), F.lit(buckets)).cast("int"))
+    resolved = saved(
+        dealt.groupBy("bucket").applyInArrow(
+            lambda block: resolved_block(block, symbols is byte_symbols, k, m, keep_first), "key bigint, place bigint, n int, mini bigint, window bigint, c bigint, open boolean"
+        )
+    )
+    single = resolved.where("NOT open").select("key", "place", "n")
+    # what is open, of salted minimizers only, meets by the window's hash
+    open_ = resolved.where("open")
     if keep_first:
-        least = each.where("leads").groupBy("mini", "window").agg(F.min(F.struct("key", "place")).alias("first"))
-        single = each.join(least, ["mini", "window"]).where(F.struct("key", "place") != F.col("first"))
+        least = open_.groupBy("mini", "window").agg(F.min(F.struct("key", "place")).alias("first"))
+        late = open_.join(least, ["mini", "window"]).where(F.struct("key", "place") != F.col("first"))
     else:
-        least = each.groupBy("mini", "window").agg(F.sum("c").alias("all")).where("all > 1").select("mini", "window")
-        single = each.where("c = 1").join(least, ["mini", "window"])
-    every = whole.unionAll(single.select("key", "place", F.lit(1).alias("n")))
+        least = open_.groupBy("mini", "window").agg(F.sum("c").alias("all")).where("all > 1").select("mini", "window")
+        late = open_.where("c = 1").join(least, ["mini", "window"])
+    every = whole.unionAll(single).unionAll(late.select("key", "place", "n"))
     return every.groupBy("key", _th("place").alias("th")).agg(F.collect_list(F.struct(_at("place").alias("at"), "n")).alias("spans"))
 
 
-def _with_text(base: DataFrame, copies: DataFrame) -> DataFrame:
-    """The documents that hold path copies, with these."""
-    per = copies.groupBy("key", "th").agg(F.collect_list(F.struct("at", "n", "mini", "c", "sides")).alias("copies"))
-    return base.join(per, ["key", "th"]).select("doc_id", "key", "th", "text", "copies")
-
-
 def _th(place: str) -> F.Column:
     return F.shiftright(F.col(place), PLACE_BITS)
 
@@ -230,51 +236,103 @@ def _at(place: str) -> F.Column:
     return F.col(place).bitwiseAND((1 << PLACE_BITS) - 1)
 
 
-class Copies:
-    """Path copies of a batch of texts: document, first window, number of windows, minimizer and its place, count, open sides."""
-
-    def __init__(self, batch: pa.RecordBatch, symbols: Callable, k: int, m: int):
-        self.values, self.at = symbols(batch.column(3))
-        lists = batch.column(4)
-        self.doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+def span_rows(batches: Iterator[pa.RecordBatch], symbols: Callable, k: int) -> Iterator[pa.RecordBatch]:
+    """The symbols of the path copies of a batch of texts: bytes as they are, or 8 bytes a word."""
+    for batch in small(batches):
+        if symbols is byte_symbols:
+            raw, at = byte_arrays(batch.column(2))
+            width = 1
+        else:
+            values, at = symbols(batch.column(2))
+            raw, width = values.view(np.uint8), 8
+        lists = batch.column(3)
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
         flat = lists.flatten()
-        first, self.n, self.mini, self.c, self.sides = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
-        self.start = self.at[self.doc] + first
-        # the minimizer is the leftmost gram of the path with its hash
-        length = self.n + (k - m)
-        begin = np.cumsum(length) - length
-        inner = np.arange(int(length.sum())) - np.repeat(begin, length)
-        where = np.repeat(self.start, length) + inner
-        same = hashes_at(self.values, where, m) == np.repeat(self.mini.view(np.uint64), length)
-        found = np.where(same, where, np.iinfo(np.int64).max)
-        self.anchor = np.minimum.reduceat(found, begin) if len(begin) else found
-
-    def windows(self, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """(copy, start) of the windows whose halves are open."""
-        half = (k - m) // 2
-        which = np.repeat(np.arange(len(self.n)), self.n)
-        start = np.repeat(self.start, self.n) + np.arange(len(which)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
-        anchor, sides = self.anchor[which], self.sides[which]
-        left, right = anchor - start >= half, start + k - anchor - m >= half
-        use = (~left | (sides & 1 > 0)) & (~right | (sides & 2 > 0))
-        return which[use], start[use]
-
-
-def half_rows(batches: Iterator[pa.RecordBatch], symbols: Callable, k: int, m: int) -> Iterator[pa.RecordBatch]:
-    """For each path copy the minimizer with half its surroundings to the left (side 1) and right (side 2), as far as a window reaches them."""
+        first, n, mini, c, salts = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+        begin, length = (at[doc] + first) * width, (n + k - 1) * width
+        offsets = np.append(0, np.cumsum(length))
+        inner = np.arange(offsets[-1]) - np.repeat(offsets[:-1], length)
+        data = raw[np.repeat(begin, length) + inner]
+        spans = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+        key, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(mini), pa.array(salts.astype(np.int32)), pa.array(key[doc]), pa.array((th[doc] << PLACE_BITS) | first), pa.array(n.astype(np.int32)), pa.array(c), spans],
+            ["mini", "salts", "key", "place", "n", "c", "span"],
+        )
+
+
+def resolved_block(block: pa.Table, is_bytes: bool, k: int, m: int, keep_first: bool) -> pa.Table:
+    """Repeated windows of the copies of a block, as runs; of salted minimizers the windows that have to meet those of other blocks."""
+    from slatewise.llm.suffix_dedup import Suffixes
+
+    mini, place, n, salts, c, key = (block.column(x).to_numpy().astype(np.int64) for x in ("mini", "place", "n", "salts", "c", "key"))
+    order = np.lexsort((place, key))
+    mini, place, n, salts, c, key = (x[order] for x in (mini, place, n, salts, c, key))
+    spans = pa.concat_arrays(block.column("span").chunks).take(pa.array(order)) if len(order) else pa.array([], pa.binary())
+    raw, at = byte_arrays(spans)
+    values = _BYTE[raw] if is_bytes else np.frombuffer(raw.tobytes(), np.uint64)
+    start = at[:-1] if is_bytes else at[:-1] // 8
+    # the minimizer is the leftmost gram of the path with its hash
+    length = n + (k - m)
+    begin = np.cumsum(length) - length
+    where = np.repeat(start - begin, length) + np.arange(int(length.sum()))
+    same = hashes_at(values, where, m) == np.repeat(mini.view(np.uint64), length)
+    anchor = np.minimum.reduceat(np.where(same, where, np.iinfo(np.int64).max), begin) if len(begin) else begin
+    # a window holds half of what surrounds the minimizer on one side at least: halves that are found once rule it out
     half = (k - m) // 2
-    for batch in small(batches):
-        x = Copies(batch, symbols, k, m)
-        key, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-        for side, begin, use in ((1, x.anchor - half, x.anchor - half >= x.start), (2, x.anchor, x.anchor + m + half <= x.start + x.n - 1 + k)):
-            doc = x.doc[use]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(x.mini[use]), pa.array(np.full(len(doc), side, np.int32)), pa.array(hashes_at(x.values, begin[use], m + half).view(np.int64)), pa.array(key[doc]), pa.array(th[doc]),
-                    pa.array(x.start[use] - x.at[doc]), pa.array(x.n[use].astype(np.int32)), pa.array(x.c[use]),
-                ],
-                ["mini", "side", "half", "key", "th", "at", "n", "c"],
-            )
+    open_sides = []
+    for first, fits in ((anchor - half, anchor - half >= start), (anchor, anchor + m + half <= start + n - 1 + k)):
+        own = np.flatnonzero(fits)
+        _, inverse, count = np.unique(hashes_at(values, first[own], m + half) ^ mix(mini[own].view(np.uint64)), return_inverse=True, return_counts=True)
+        open_ = np.zeros(len(n), bool)
+        open_[own] = count[inverse] > 1
+        open_sides.append(open_ | (salts > 1))
+    which = np.repeat(np.arange(len(n)), n)
+    p = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(len(which))
+    left, right = anchor[which] - p >= half, p + k - anchor[which] - m >= half
+    use = (~left | open_sides[0][which]) & (~right | open_sides[1][which])
+    which, p = which[use], p[use]
+    # equal windows have their minimizer at one offset; copies are in order of place, and the sort is stable
+    hashes = hashes_at(values, p, k)
+    group = mini[which].view(np.uint64) ^ mix((anchor[which] - p).astype(np.uint64))
+    order = np.argsort(group, kind="stable")
+    which, p, group, hashes = which[order], p[order], group[order], hashes[order]
+    if is_bytes:
+        suffixes = Suffixes(values, raw, k)
+        by = suffixes.sorted(p, group)
+        number = suffixes.classes(p[by], group[by])
+    else:
+        by = np.lexsort((hashes, group))
+        new = np.append(True, (hashes[by][1:] != hashes[by][:-1]) | (group[by][1:] != group[by][:-1]))[: len(by)]
+        number = np.cumsum(new)
+    which, p, hashes = which[by], p[by], hashes[by]
+    leads = np.append(True, number[1:] != number[:-1])[: len(number)]
+    salted = salts[which] > 1
+    if keep_first:
+        gone, unsure = ~leads, leads & salted
+    else:
+        total = np.bincount(number, c[which].astype(np.float64)) if len(number) else np.empty(0)
+        gone, unsure = (c[which] == 1) & (total[number] > 1) & ~salted, salted
+    at_place = place[which] + p - start[which]
+    # runs of neighbouring windows of one copy
+    g = np.flatnonzero(gone)
+    g = g[np.lexsort((p[g], which[g]))]
+    new = np.append(True, (which[g][1:] != which[g][:-1]) | (p[g][1:] != p[g][:-1] + 1))[: len(g)]
+    first = np.flatnonzero(new)
+    runs = np.diff(np.append(first, len(g)))
+    g, u = g[first], np.flatnonzero(unsure)
+    both = np.concatenate([g, u])
+    return pa.table(
+        {
+            "key": pa.array(key[which[both]], pa.int64()),
+            "place": pa.array(at_place[both], pa.int64()),
+            "n": pa.array(np.concatenate([runs, np.ones(len(u), np.int64)]), pa.int32()),
+            "mini": pa.array(mini[which[both]], pa.int64()),
+            "window": pa.array(hashes[both].view(np.int64), pa.int64()),
+            "c": pa.array(c[which[both]], pa.int64()),
+            "open": pa.array(np.repeat([False, True], [len(g), len(u)]), pa.bool_()),
+        }
+    )
 
 
 def hashes_at(values: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
@@ -288,29 +346,12 @@ def hashes_at(values: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def window_batch(batch: pa.RecordBatch, at, doc, start, mini, c, hashes, leads) -> pa.RecordBatch:
-    key, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-    place = (th[doc] << PLACE_BITS) | (start - at[doc])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(mini), pa.array(hashes.view(np.int64)), pa.array(key[doc]), pa.array(place), pa.array(c), pa.array(leads)],
-        ["mini", "window", "key", "place", "c", "leads"],
-    )
-
-
 def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
 
-def window_rows(batches: Iterator[pa.RecordBatch], symbols: Callable, k: int, m: int) -> Iterator[pa.RecordBatch]:
-    for batch in small(batches):
-        x = Copies(batch, symbols, k, m)
-        which, start = x.windows(k, m)
-        if len(start):
-            yield window_batch(batch, x.at, x.doc[which], start, x.mini[which], x.c[which], hashes_at(x.values, start, k), np.ones(len(start), bool))
-
-
 def covered(n: int, spans: list[dict] | None, k: int) -> np.ndarray:
     """Which of n symbols are in a window of the runs."""
     edge = np.zeros(n + 1, np.int32)

@@ -6,9 +6,10 @@ of two suffixes by binary search, so that a comparison takes some log(WINDOW) ha
 bottom-up mergesort runs all comparisons of a level at once. Neighbours in the order whose extension
 reaches WINDOW are one string, which is verified byte by byte: a hash collision splits the class.
 
-A task sorts the suffixes of the texts that it holds, in groups with one minimizer at one offset (equal
-strings share both). The first of each class goes on to Spark, keyed by minimizer and window hash, for
-the first place over all tasks; the others are known to be later already.
+The copies of a minimizer's spans meet in one task, which sorts the suffixes of its block in groups with
+one minimizer at one offset (equal strings share both). The first of a class stays and the others go.
+Minimizers with thousands of spans are dealt over several blocks; the first of each class of these goes
+on to Spark, keyed by minimizer and window hash, for the first place over all blocks.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from slatewise.llm.common import table
-from slatewise.llm.repeats import Copies, Prefix, based, byte_arrays, byte_symbols, covered, hashes_at, mix, repeated_windows, small, window_batch
+from slatewise.llm.repeats import Prefix, based, byte_symbols, covered, repeated_windows, small
 from slatewise.shipping import ship
 
 WINDOW = 100
@@ -98,28 +99,6 @@ class Suffixes:
         return np.cumsum(new)
 
 
-def suffix_rows(batches: Iterator[pa.RecordBatch], symbols, k: int, m: int) -> Iterator[pa.RecordBatch]:
-    """Rows of step 3 of repeats.py: the windows of path copies, of which the first of each class leads."""
-    for batch in small(batches, 200):
-        x = Copies(batch, symbols, k, m)
-        which, start = x.windows(k, m)
-        if not len(start):
-            continue
-        raw, _ = byte_arrays(batch.column(3))
-        key = batch.column(1).to_numpy(zero_copy_only=False)
-        th = batch.column(2).to_numpy(zero_copy_only=False)
-        # equal strings have their minimizer at one offset; in order of place, so that the stable sort leaves the first place first
-        group = x.mini[which].view(np.uint64) ^ mix((x.anchor[which] - start).astype(np.uint64))
-        doc = x.doc[which]
-        order = np.lexsort((start - x.at[doc], th[doc], key[doc], group))
-        which, start, group = which[order], start[order], group[order]
-        suffixes = Suffixes(x.values, raw, k)
-        by = suffixes.sorted(start, group)
-        leads = np.zeros(len(start), bool)
-        leads[by[np.unique(suffixes.classes(start[by], group[by]), return_index=True)[1]]] = True
-        yield window_batch(batch, x.at, x.doc[which], start, x.mini[which], x.c[which], hashes_at(x.values, start, k), leads)
-
-
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) and kept_sha256 of each row.
 
@@ -130,7 +109,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     """
     ship(docs.sparkSession)
     base = based(docs)
-    runs = repeated_windows(base, byte_symbols, window, gram, keep_first=True, windows=suffix_rows)
+    runs = repeated_windows(base, byte_symbols, window, gram, keep_first=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):

@@ -99,6 +99,14 @@ def test_suffix_documents(spark, documents):
     assert got == suffix_brute(sorted(documents.items()))
 
 
+def test_salted_minimizers(spark, sql, documents, monkeypatch):
+    monkeypatch.setattr(repeats, "SALTED", 2)
+    monkeypatch.setattr(repeats, "BUCKET", 50)
+    got = pairs_of(suffix_dedup.op5_suffix_dedup(spark, SF), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == suffix_brute(sorted(documents.items()))
+    assert rows_of(substring_dedup.op1_substring_dedup(spark, SF)) == rows_in(sql.sql(registry.oracle_sql()["op1_substring_dedup"]))
+
+
 def test_suffix_sort():
     random.seed(3)
     raw = np.frombuffer(bytes(random.choice(b"ab") for _ in range(600)), np.uint8)
