@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
+from slatewise.sources import package
 
 
 def collision_names(rows: DataFrame) -> DataFrame:
@@ -54,3 +55,24 @@ def media_listing(files: DataFrame, membership: DataFrame, master_only: DataFram
 def master_only(master: DataFrame, layout: DataFrame, content: DataFrame) -> DataFrame:
     """Media of masters and layouts that no slide uses. Each: filename."""
     return master.select("filename").union(layout.select("filename")).distinct().join(content.select("filename"), "filename", "left_anti")
+
+
+def references(plan: DataFrame) -> DataFrame:
+    """package, seq, old, new: both ways in which a part refers to a media file. plan: package, seq, old_name, new_name."""
+    ways = F.explode(F.array(F.lit("../media/"), F.lit("ppt/media/"))).alias("way")
+    each = plan.select("package", "seq", "old_name", "new_name", ways)
+    return each.select("package", F.struct("seq", F.col("way") != "../media/").alias("seq"), F.concat("way", "old_name").alias("old"), F.concat("way", "new_name").alias("new"))
+
+
+def patched(entries: DataFrame, plan: DataFrame, media: DataFrame) -> DataFrame:
+    """package, path, bytes of the patched packages: references rewritten, types registered, new files added; old files stay.
+
+    entries: package, path, bytes. plan: package, seq, old_name, new_name. media: package, new_name, bytes.
+    """
+    is_xml = F.col("path").endswith(".xml") | F.col("path").endswith(".rels")
+    parts = package.text(entries.where(is_xml).select("package", "path", "bytes"))
+    needed = plan.select("package", S.extension(F.col("new_name")).alias("ext"))
+    typed = package.register_types(parts, missing_content_types(needed, package.content_types(parts)))
+    changed = rewrite(typed, references(plan)).select("package", "path", F.encode("xml", "UTF-8").alias("bytes"))
+    added = media.select("package", F.concat(F.lit("ppt/media/"), "new_name").alias("path"), "bytes")
+    return changed.unionByName(entries.where(~is_xml).select("package", "path", "bytes")).unionByName(added)

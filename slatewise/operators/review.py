@@ -49,3 +49,20 @@ def retained(sessions: DataFrame, keep: int = 10) -> DataFrame:
     """Sessions to delete: all but the newest ``keep`` of each owner. sessions: owner, id, created."""
     newest = Window.partitionBy("owner").orderBy(F.desc("created"), F.desc("id"))
     return sessions.withColumn("n", F.row_number().over(newest)).where(F.col("n") > keep)
+
+
+def debug_json(mapping: DataFrame) -> DataFrame:
+    """degraded, json: the row as ground truth for later runs, with the stale score that older files carry as legacy_score."""
+    candidates = F.transform(
+        "candidates",
+        lambda c: F.struct(
+            c["ahash_distance"].alias("ahash_distance"),
+            F.when(c["score"] < float("inf"), c["score"]).alias("combined_score"),
+            F.when(c["score"] < float("inf"), c["ahash_distance"] + (c["score"] - c["phash_distance"]) / 4).alias("legacy_score"),
+            c["name"].alias("name"),
+            c["phash_distance"].alias("phash_distance"),
+            (c["name"] == F.col("choice")).alias("user_confirmed"),
+        ),
+    )
+    row = F.struct(candidates.alias("candidates"), F.col("choice").alias("confirmed_match"), F.col("degraded").alias("filename"), F.col("is_structural").alias("is_xml_exact"), "quality")
+    return mapping.select("degraded", F.to_json(row).alias("json"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
-from slatewise.operators import graph, match, patch
+from slatewise.operators import graph, match, patch, review
 
 FP = "filename string, ahash bigint, phash bigint, moments array<double>, width int, height int, ext string"
 PRIORITY = {"svg": 0, "pdf": 1, "png": 2, "jpg": 3, "gif": 5}
@@ -115,6 +115,10 @@ def test_pinned(spark):
     got = {r.degraded: r for r in match.mapping(match.pinned(top, st)).collect()}
     assert [k.name for k in got["a"].candidates] == ["y", "x", "z"] and got["a"].quality == "xml_exact" and got["a"].choice == "y"
     assert got["b"].is_structural and got["b"].quality == "poor" and got["b"].choice == "skip"
+    import json
+
+    debug = json.loads(review.debug_json(match.mapping(match.pinned(top, st))).where("degraded = 'a'").head().json)
+    assert debug["confirmed_match"] == "y" and [k["user_confirmed"] for k in debug["candidates"]] == [True, False, False] and debug["candidates"][0]["combined_score"] == 2.0
     assert got["c"].quality == "exact" and [k.name for k in got["d"].candidates] == ["w"] and got["d"].choice == "skip"
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from slatewise.operators import graph, patch
-from slatewise.sources import archive, images, package
+from slatewise.sources import archive, images, package, svg
 
 NS = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
 
@@ -124,3 +124,24 @@ def test_images(spark, tmp_path):
     assert got["grey.png"].ahash == 0 and got["half.png"].ahash & 0xFF == 0xF0 and got["half.png"].phash == got["same.png"].phash
     assert got["v.svg"].error == "render failed" and got["v.svg"].size == 6 and (got["half.png"].width, got["half.png"].height) == (64, 64)
     assert [round(x, 3) for x in got["grey.png"].moments[:3]] == [0.502, 0.0, 0.0]
+
+
+def test_patched_package(spark, deck):
+    entries = package.entries(spark, f"{deck}/a.pptx").cache()
+    name = entries.head().package
+    plan = spark.createDataFrame([(name, 1, "image1.png", "image1_repl.svg")], "package string, seq int, old_name string, new_name string")
+    media = spark.createDataFrame([(name, "image1_repl.svg", b"<svg/>")], "package string, new_name string, bytes binary")
+    [row] = package.zipped(patch.patched(entries, plan, media)).collect()
+    with zipfile.ZipFile(io.BytesIO(row.content)) as z:
+        assert z.read("ppt/media/image1_repl.svg") == b"<svg/>" and z.read("ppt/media/image1.png") == b"image1.png"
+        assert z.read("ppt/slides/_rels/slide1.xml.rels").count(b"../media/image1_repl.svg") == 2
+        assert b'Extension="svg"' in z.read("[Content_Types].xml")
+
+
+def test_svg_metrics(spark):
+    drawing = b'''<svg xmlns="http://www.w3.org/2000/svg" width="2.5CM" height="x" viewBox="0,0 10 20"><text transform="matrix(1 0 0 1 7.5 3)"> Hi <tspan>you</tspan></text>
+<text><tspan x="4">late</tspan></text><text>no place</text><text transform="translate(-3, 1)" x="9">t</text><svg width="9"/></svg>'''
+    rows = spark.createDataFrame([("a.svg", drawing), ("b.svg", b"<svg"), ("c.svg", None)], "filename string, bytes binary")
+    [got] = svg.metrics(rows).collect()
+    assert (got.width, got.width_unit, got.height, got.height_unit, got.vb_width, got.vb_height) == (2.5, "cm", 0.0, "x", 10.0, 20.0)
+    assert [(t.x, t.content) for t in got.texts] == [(7.5, "Hi you"), (4.0, "late"), (-3.0, "t")]
