@@ -29,7 +29,7 @@ SALTS = 64
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|template|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.S | re.I,
 )
@@ -40,14 +40,15 @@ _BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CONTAINER = frozenset("article body div main section td".split())
-_NEVER = frozenset("nav header footer aside form button select option menu dialog head noscript object canvas audio video".split())
+_NEVER = frozenset("nav header footer aside form button select option menu dialog head noscript object canvas audio video svg math iframe".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _AWAY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer"
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav(?:bar|igation)?|menu|breadcrumbs?|masthead|footer"
     r"|foot|side-?bar|aside|widgets?|related|recommend(?:ed|ations)?|share|sharing|social|newsletter|subscribe|signup|login|search|cookies?|consent|gdpr|notices?"
     r"|alert|popup|modal|overlay|comments?|comment-?list|disqus|replies|reply|respond|discussion|pagination|pager|toolbar|copyright|skip-?link|hidden)(?:$|[\s_-])",
     re.I,
 )
+_HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)  # of the site, not of an article
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|text|body|page)(?:$|[\s_-])", re.I)
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _DIGITS = re.compile(r"\d+")
@@ -76,7 +77,7 @@ def _is_away(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
         return True
     named = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-    return bool(named) and tag not in ("body", "html", "main", "article") and bool(_AWAY.search(named))
+    return bool(named) and tag not in ("body", "html", "main", "article") and bool(_AWAY.search(named) or not in_article and _HEADER.search(named))
 
 
 def parse(page: str) -> tuple[list[str], list[_Element]]:

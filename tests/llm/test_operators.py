@@ -330,6 +330,12 @@ def test_html(spark):
     assert html_text.extracted(spark.createDataFrame([], "page_id bigint, url string, html string, path string")).count() == 0
 
 
+def test_html_article_header_and_drawings():
+    page = """<body><div class="site-header">Site</div><article><div class="entry-header"><h1>Title</h1></div><svg/><p>One <svg><text>no</text></svg>two</p>
+<noscript>off</noscript><iframe src="x"></iframe><p>Three</article><p class="cookie">c</p></body>"""
+    assert html_text.text_at(page, None) == "Title\nOne two\nThree"
+
+
 def test_html_pages(spark):
     got = html_text.op9_html(spark, SF).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
