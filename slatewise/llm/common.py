@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,7 +70,10 @@ def saved(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
-    # what was shuffled for the table isn't needed any more: the cleaner drops the files of frames that the JVM has let go
-    gc.collect()
-    sc._jvm.System.gc()
+    # what was shuffled for the table isn't needed any more: the cleaner drops the files of frames that the JVM has let go,
+    # some of which only a second collection finds
+    for _ in range(2):
+        gc.collect()
+        sc._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(schema).parquet(path)
