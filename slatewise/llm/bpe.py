@@ -25,7 +25,7 @@ from slatewise.shipping import ship
 #: Fixed value: the published pattern that byte-level BPE cuts a text by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 REMEMBERED_LENGTH = 64
 
 
