@@ -277,6 +277,17 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert counts.get((1, False), 0) == 0 and counts.get((0, False), 0) > 10 * counts.get((0, True), 0)
 
 
+def test_quality_drops_stutter(spark):
+    d = "/root/testdata/sf0.1"
+    texts = {r.doc_id: WORD.findall(r.text or "") for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    stutter = {i for i, w in texts.items() if len(w) >= 20 and 10 * sum(a == b for a, b in zip(w, w[1:])) > 3 * (len(w) - 1)}
+    trusted = {r.doc_id for r in spark.read.parquet(f"{d}/labels.parquet").where("quality = 1").collect()}
+    passed = [r for r in quality.op7_quality(spark, d).collect() if not r.base_failed]
+    found = [r for r in passed if r.doc_id in stutter]
+    assert len(found) == 16 and not any(r.kept for r in found)
+    assert all(r.kept for r in passed if r.doc_id in trusted)
+
+
 def test_line_dedup_hard(hard, empty):
     out = line_dedup.dedup_lines(hard)
     assert set(hard.columns) - {"_key"} <= set(out.columns)
