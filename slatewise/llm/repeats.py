@@ -266,7 +266,11 @@ def resolved_block(block: pa.Table, is_bytes: bool, k: int, m: int, keep_first:
     from slatewise.llm.suffix_dedup import Suffixes
 
     mini, place, n, salts, c, key = (block.column(x).to_numpy().astype(np.int64) for x in ("mini", "place", "n", "salts", "c", "key"))
-    order = np.lexsort((place, key))
+    order = np.lexsort((mini, place, key))
+    # a row that comes twice is read twice: the same copy, not a later one
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (key, place, mini)], axis=0)
+    order = order[new]
     mini, place, n, salts, c, key = (x[order] for x in (mini, place, n, salts, c, key))
     spans = pa.concat_arrays(block.column("span").chunks).take(pa.array(order)) if len(order) else pa.array([], pa.binary())
     raw, at = byte_arrays(spans)

@@ -94,6 +94,13 @@ def test_suffix_hard(hard, empty):
     assert suffix_dedup.deduplicated(empty).count() == 0
 
 
+def test_suffix_row_twice(spark):
+    text = " ".join(f"word{i * i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, "p" + text + "q")]
+    got = pairs_of(suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == suffix_brute(rows)
+
+
 def test_suffix_documents(spark, documents):
     got = pairs_of(suffix_dedup.op5_suffix_dedup(spark, SF), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == suffix_brute(sorted(documents.items()))
