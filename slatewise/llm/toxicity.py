@@ -1,19 +1,22 @@
-"""Toxicity by a weighted grammar of finite-state transducers over clauses.
+"""Toxicity by a weighted grammar of composed finite-state transducers over clauses.
 
-Words are first put into classes: insult (with a weight), threat, target, negation, report. Insults are
+Words become symbols: insult (with its level), threat, target, negation, report, or other. Insults are
 learned from labelled documents: whole words, and stems of STEMS letters, that toxic documents hold
 far more often than others; short lists of threats, targets, negations and words of reported speech in
-four languages are given. Five small transducers then run over each clause, one after another, each
-rewriting the weighted symbols that it is passed:
+four languages are given. Five transducers, each a table of states and weighted arcs (symbol in, symbol
+out, weight, next state), rewrite the symbols of a clause:
 
-    insult    word -> I(w) for an insult, with the stem's or word's weight w
-    threat    a threat word -> T, heavier if a target follows within a few words
-    target    an insult next to a target -> I(w + TARGETED)
-    negation  an insult within a few words after a negation -> I(w * NEGATED)
-    report    an insult in a clause of reported speech -> I(w * REPORTED)
+    insult    an insult within NEAR words after another one rises by a level
+    threat    a threat with a target within NEAR words on either side -> an aimed threat
+    target    an insult with a target within NEAR words on either side -> an aimed insult
+    negation  what comes within NEAR words after a negation -> its negated form, NEGATED times the weight
+    report    everything in a clause that has a word of reported speech anywhere -> its reported form
 
-A clause's weight is the sum of what is left; a document's is the sum over matched clauses, passed
-through a logistic curve fitted to the labelled documents. Clauses without a match are not run.
+They are composed to one transducer (states are tuples, made when a clause first reaches them). A clause
+can only be judged when its end is known, so threat, target and report guess what follows and drop the
+paths whose guess fails: every clause has exactly one path, and its weight, the sum of its arcs, is the
+clause's. A document's weight is the sum over clauses; its logarithm passes through a logistic curve
+fitted to the labelled documents. Clauses without an insult or threat weigh 0 and are not run.
 
 Labels come only from documents whose crc32 of the id mod 5 is not 0, at most LABELLED of them (by a
 hash of the id): a bound on what the driver and the broadcast hold. Every document is scored alike.
@@ -23,7 +26,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.llm.common import id_key, mixed, table
+from slatewise.llm.common import id_key, mixed, saved, table
 from slatewise.shipping import ship
 
 LABELLED = 20_000
-LEXICON = 50_000
 STEMS = (4, 5, 6)
 LEAST_TOXIC = 3
-TARGETED, NEGATED, REPORTED, THREAT = 0.5, 0.4, 0.5, 1.0
+LEAST_ODDS = 20
+#: A level of an insult, and the highest one.
+LEVEL, LEVELS = 0.25, 8
+TARGETED, NEGATED, REPORTED, THREAT, UNAIMED = 0.5, 0.4, 0.5, 1.0, 0.5
 NEAR = 3
 
 # Short word lists of the grammar.
@@ -51,71 +55,205 @@ _CLAUSE = re.compile(r"[.!?;:\n]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
-def held_out(doc_id) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 5 == 0
-
-
 def features_of(text: str) -> set[str]:
     """Words, and stems marked by a trailing *, of a text."""
     found = set(_WORD.findall(text.lower()))
     return found | {f"{w[:n]}*" for w in found for n in STEMS if len(w) > n}
 
 
+class Transducer:
+    """Starts, final states and arcs: arcs[state, symbol in] is a list of (symbol out, weight, next state)."""
+
+    def __init__(self, starts: list, arcs: dict, final: set):
+        self.starts, self.table, self.final = starts, arcs, final
+
+    def arcs(self, state, symbol: str) -> list:
+        return self.table.get((state, symbol), [])
+
+    def accepts(self, state) -> bool:
+        return state in self.final
+
+
+class Composed:
+    """The composition of two transducers: what the first writes the second reads. Arcs are made once, when they are asked for."""
+
+    def __init__(self, first, second):
+        self.first, self.second = first, second
+        self.starts = [(a, b) for a in first.starts for b in second.starts]
+        self.made: dict = {}
+
+    def arcs(self, state, symbol: str) -> list:
+        found = self.made.get((state, symbol))
+        if found is None:
+            a, b = state
+            found = self.made[state, symbol] = [
+                (out, w1 + w2, (to_a, to_b)) for middle, w1, to_a in self.first.arcs(a, symbol) for out, w2, to_b in self.second.arcs(b, middle)
+            ]
+        return found
+
+    def accepts(self, state) -> bool:
+        return self.first.accepts(state[0]) and self.second.accepts(state[1])
+
+
+def weigh(machine, symbols: list[str]) -> float:
+    """Weight of the heaviest accepted path; the grammar's transducers have one path for each clause."""
+    now = dict.fromkeys(machine.starts, 0.0)
+    for symbol in symbols:
+        after: dict = {}
+        for state, weight in now.items():
+            for _, w, to in machine.arcs(state, symbol):
+                if after.get(to, -math.inf) < weight + w:
+                    after[to] = weight + w
+        now = after
+    return max((w for state, w in now.items() if machine.accepts(state)), default=0.0)
+
+
+#: Symbols: o(ther), y (target), n(egation), r(eport), t(hreat), i1, i2, ... (insults); T and I are aimed, ~ negated.
+INSULTS = [f"i{k}" for k in range(1, LEVELS + 1)]
+AIMED = [f"I{k}" for k in range(1, LEVELS + 1)]
+PLAIN = ["o", "y", "n", "r"]
+
+
+def value(symbol: str) -> float:
+    """What a symbol weighs before reported speech is known."""
+    if symbol[0] == "~":
+        return NEGATED * value(symbol[1:])
+    if symbol in PLAIN:
+        return 0.0
+    if symbol[0] in "tT":
+        return THREAT if symbol == "T" else UNAIMED
+    return LEVEL * int(symbol[1:]) + (TARGETED if symbol[0] == "I" else 0.0)
+
+
+def insult_transducer() -> Transducer:
+    """State: words for which an insult still raises the next one."""
+    arcs = {}
+    for state in range(NEAR + 1):
+        for x in [*PLAIN, "t"]:
+            arcs[state, x] = [(x, 0.0, max(state - 1, 0))]
+        for k in range(1, LEVELS + 1):
+            out = f"i{min(k + 1, LEVELS)}" if state else f"i{k}"
+            arcs[state, f"i{k}"] = [(out, value(out), NEAR)]
+    return Transducer([0], arcs, set(range(NEAR + 1)))
+
+
+def aiming_transducer(kinds: dict[str, str], others: list[str], base: float = 0.0) -> Transducer:
+    """Rewrites the symbols of kinds that have a target within NEAR words on either side to their aimed form.
+
+    State: (words that the last target still reaches, words that must hold no target, words by which one must come).
+    base is the weight of a rewritten or kept symbol that no transducer before gave it.
+    """
+    arcs: dict = {}
+    start = (0, 0, 0)
+    todo, known = [start], {start}
+
+    def passed(state):
+        """The state after a word that is no target; None where a promised target is overdue."""
+        reach, none, due = state
+        return None if due == 1 else (max(reach - 1, 0), max(none - 1, 0), max(due - 1, 0))
+
+    while todo:
+        state = todo.pop()
+        found = []
+        after = passed(state)
+        for x in others:
+            if x == "y":
+                if not state[1]:
+                    found.append((x, x, 0.0, (NEAR, 0, 0)))
+            elif after:
+                found.append((x, x, 0.0, after))
+        for x, aimed in kinds.items():
+            if not after:
+                continue
+            kept, risen = base * value(x), value(aimed) - (1 - base) * value(x)
+            if state[0]:
+                found.append((x, aimed, risen, after))
+            else:
+                found.append((x, aimed, risen, (after[0], after[1], after[2] or NEAR)))
+                if not after[2]:
+                    found.append((x, x, kept, (after[0], NEAR, 0)))
+        for symbol, out, weight, to in found:
+            arcs.setdefault((state, symbol), []).append((out, weight, to))
+            if to not in known:
+                known.add(to)
+                todo.append(to)
+    return Transducer([start], arcs, {s for s in known if not s[2]})
+
+
+def negation_transducer() -> Transducer:
+    """State: words that the last negation still reaches."""
+    arcs = {}
+    for state in range(NEAR + 1):
+        for x in PLAIN:
+            arcs[state, x] = [(x, 0.0, NEAR if x == "n" else max(state - 1, 0))]
+        for x in [*INSULTS, *AIMED, "t", "T"]:
+            out = f"~{x}" if state else x
+            arcs[state, x] = [(out, value(out) - value(x), max(state - 1, 0))]
+    return Transducer([0], arcs, set(range(NEAR + 1)))
+
+
+def report_transducer() -> Transducer:
+    """States: direct speech; reported speech whose report word is still to come; reported speech."""
+    arcs = {}
+    loaded = [*INSULTS, *AIMED, "t", "T"]
+    for x in [*PLAIN, *loaded, *(f"~{x}" for x in loaded)]:
+        if x != "r":
+            arcs["direct", x] = [(x, 0.0, "direct")]
+        for state in ("coming", "reported"):
+            arcs[state, x] = [(f'"{x}', (REPORTED - 1) * value(x), "reported" if x == "r" else state)]
+    return Transducer(["direct", "coming"], arcs, {"direct", "reported"})
+
+
+def transducers() -> list[Transducer]:
+    """The five in the order in which they are composed."""
+    return [
+        insult_transducer(),
+        aiming_transducer({"t": "T"}, [*PLAIN, *INSULTS], base=1.0),
+        aiming_transducer(dict(zip(INSULTS, AIMED)), [*PLAIN, "t", "T"]),
+        negation_transducer(),
+        report_transducer(),
+    ]
+
+
+def composed(parts: list):
+    out = parts[0]
+    for p in parts[1:]:
+        out = Composed(out, p)
+    return out
+
+
 class Grammar:
+    """Symbols of words by a lexicon (words, and stems with a trailing *, with their weights) and the composed transducers."""
+
     def __init__(self, lexicon: dict[str, float], slope: float = 1.0, bias: float = -1.0):
         self.words = {k: w for k, w in lexicon.items() if not k.endswith("*")}
         self.stems = {k[:-1]: w for k, w in lexicon.items() if k.endswith("*")}
         self.slope, self.bias = slope, bias
-        self.cache: dict[str, float] = {}
-
-    def weight(self, word: str) -> float:
-        """The insult transducer's output for a word, 0 where it isn't one."""
-        w = self.cache.get(word)
-        if w is None:
-            w = self.words.get(word, 0.0)
-            for n in STEMS:
-                if len(word) > n:
-                    w = max(w, self.stems.get(word[:n], 0.0))
+        self.machine = composed(transducers())
+        self.cache: dict[str, str] = {}
+
+    def symbol(self, word: str) -> str:
+        x = self.cache.get(word)
+        if x is None:
+            x = self._symbol(word)
             if len(self.cache) >= 500_000:
                 self.cache.clear()
-            self.cache[word] = w
-        return w
+            self.cache[word] = x
+        return x
+
+    def _symbol(self, word: str) -> str:
+        for name, listed in (("t", THREATS), ("n", NEGATIONS), ("r", REPORTS), ("y", TARGETS)):
+            if word in listed:
+                return name
+        weight = max([self.words.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in STEMS if len(word) > n)])
+        return f"i{max(1, min(LEVELS, round(weight / LEVEL)))}" if weight > 0 else "o"
 
     def clause(self, tokens: list[str]) -> float:
-        """Weight of a clause by the composed transducers, left to right with a state of a few counters."""
-        total, since_target, since_negation, reported = 0.0, NEAR + 1, NEAR + 1, False
-        threat_at, waiting = None, []  # waiting: insults that a target may still follow
-        for i, token in enumerate(tokens):
-            since_target += 1
-            since_negation += 1
-            if token in TARGETS:
-                since_target = 0
-                total += sum(TARGETED * f for at, f in waiting if i - at <= NEAR)
-                waiting = []
-                if threat_at is not None and i - threat_at <= NEAR:
-                    total += THREAT
-                    threat_at = None
-            if token in NEGATIONS:
-                since_negation = 0
-            elif token in REPORTS:
-                reported = True
-            elif token in THREATS:
-                threat_at = i
-            w = self.weight(token)
-            if w:
-                factor = (NEGATED if since_negation <= NEAR else 1.0) * (REPORTED if reported else 1.0)
-                total += w * factor
-                if since_target <= NEAR:
-                    total += TARGETED * factor
-                else:
-                    waiting.append((i, factor))
-        return total
+        return weigh(self.machine, [self.symbol(t) for t in tokens])
 
     def total(self, text: str) -> float:
         lowered = text.lower()
-        weight, known = self.weight, self.cache.get
-        # a text without an insult or threat has no matched clause
-        hit = {w for w in set(_WORD.findall(lowered)) if (known(w) if known(w) is not None else weight(w)) or w in THREATS}
+        hit = {w for w in set(_WORD.findall(lowered)) if self.symbol(w)[0] in "ti"}
         if not hit:
             return 0.0
         out = 0.0
@@ -126,7 +264,7 @@ class Grammar:
         return out
 
     def score(self, total: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * min(total, 10.0) + self.bias))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log1p(total) + self.bias))))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
@@ -135,7 +273,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     kept = labels.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5) != 0).where("toxic IS NOT NULL")
     kept = kept.groupBy(key).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     kept = kept.orderBy(mixed(F.col("_key"), 5), "_key").limit(limit)
-    return docs.select(key, "text").join(F.broadcast(kept), "_key").select("text", "toxic")
+    return saved(docs.select(key, F.col("text").cast("string").alias("text")).join(F.broadcast(kept), "_key").select("text", "toxic"))
 
 
 def learned(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Grammar:
@@ -155,24 +293,23 @@ def learned(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Gramma
             )
 
     counted = train.mapInArrow(count, "feature string, toxic bigint, other bigint").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    # five hits of toxic documents for each of others, at the rates of both; the strongest LEXICON features
-    chosen = counted.where((F.col("feature") == "") | ((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") > F.col("other"))))
-    rows = chosen.orderBy(F.col("feature") != "", F.desc(F.col("toxic") / (F.col("other") + 1)), "feature").limit(LEXICON).collect()
-    sizes = next(((r["toxic"], r["other"]) for r in rows if r["feature"] == ""), (0, 0))
-    lexicon = {}
-    for r in rows:
-        if r["feature"]:
-            odds = math.log((r["toxic"] + 0.5) / (sizes[0] + 1)) - math.log((r["other"] + 0.5) / (sizes[1] + 1))
-            if odds > math.log(20):
-                lexicon[r["feature"]] = min(odds / 4, 2.0)
+    counted = saved(counted)
+    sizes = (counted.where("feature = ''").select("toxic", "other").head()) or (0, 0)
+    # at LEAST_TOXIC toxic documents and LEAST_ODDS times the rate of others; labelled texts are bounded, and with them this list
+    odds = F.log((F.col("toxic") + 0.5) / (sizes[0] + 1)) - F.log((F.col("other") + 0.5) / (sizes[1] + 1))
+    chosen = counted.where((F.col("feature") != "") & (F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") > F.col("other"))).select("feature", odds.alias("odds")).where(F.col("odds") > math.log(LEAST_ODDS))
+    lexicon = {r["feature"]: r["odds"] / 4 for r in chosen.collect()}
     grammar = Grammar(lexicon)
     if not (sizes[0] and sizes[1]):
         return grammar
 
+    shipped = (lexicon,)
+
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [grammar.total(t.as_py() or "") for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([round(min(x, 10.0), 1) for x in found], pa.float64()), batch.column(1)], ["total", "toxic"])
+            own = Grammar(*shipped)
+            found = [round(math.log1p(own.total(t.as_py() or "")), 1) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1)], ["total", "toxic"])
 
     points = train.mapInArrow(totals, "total double, toxic int").groupBy("total").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).collect()
     grammar.slope, grammar.bias = fitted([(r["total"], r["t"], r["n"]) for r in sorted(points, key=lambda r: r["total"])])
@@ -180,7 +317,7 @@ def learned(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Gramma
 
 
 def fitted(points: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """Slope and bias of a logistic curve through (total, toxic, all) counts, by gradient steps with a small penalty."""
+    """Slope and bias of a logistic curve through (logarithm of 1 + total, toxic, all) counts, by gradient steps with a small penalty."""
     slope, bias = 1.0, -1.0
     whole = sum(n for _, _, n in points)
     for _ in range(3000):
@@ -219,4 +356,5 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scored() over all documents and labels."""
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
