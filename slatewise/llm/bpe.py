@@ -137,7 +137,8 @@ def encoded(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFra
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs, and ids if keep_ids.
 
     vocabulary: path of the vocabulary file, on the driver. A null text counts as empty: no ids, and
-    the hashes of nothing. Rows are taken one by one, so that repeated rows give repeated results.
+    the hashes of nothing. Rows are taken one by one, so that repeated rows give repeated results, and
+    an empty table gives none. Other columns are not looked at.
     """
     ship(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(open(vocabulary, encoding="utf-8").read())
@@ -175,4 +176,5 @@ def public_vocabulary() -> str:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encoded() over all documents."""
     return encoded(table(spark, sf_dir, "documents"), public_vocabulary())

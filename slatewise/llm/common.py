@@ -56,24 +56,41 @@ def mixed_sql(x: str, seed: int) -> str:
     return f"((xor({v}, {v} >> 15) * 48271 + 11) % {m})"
 
 
-def saved(df: DataFrame) -> DataFrame:
+def _folder(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names. Where it is unset a local run gets one; a cluster has to name it."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/slatewise-{uuid.uuid4().hex}")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame, sweep: bool = False) -> DataFrame:
     """The rows, computed once and written as a table in the shared checkpoint folder; lineage ends there.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) is one made.
+    With sweep, what was shuffled for the table is let go at once, and not when the JVM next collects.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/slatewise-{uuid.uuid4().hex}")
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/slatewise-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/slatewise-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
-    # what was shuffled for the table isn't needed any more: the cleaner drops the files of frames that the JVM has let go,
-    # some of which only a second collection finds
-    for _ in range(2):
+    # the cleaner drops the files of frames that the JVM has let go, some of which only a second collection finds
+    for _ in range(2 if sweep else 0):
         gc.collect()
         sc._jvm.System.gc()
         time.sleep(0.2)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of saved() whose last reader has been written."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.saved_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

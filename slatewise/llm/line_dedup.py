@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.llm.common import bound, id_key, table, without_spaces
+from slatewise.llm.common import bound, id_key, saved, table, without_spaces
 
 WINDOW = 3
 
@@ -36,7 +36,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     rows = base.select("_key", "_text_hash", F.posexplode(triples).alias("_at", "_window"))
     rows = rows.where(F.length(without_spaces(F.col("_window"))) > 0)
     rows = rows.select("_key", "_text_hash", "_at", F.xxhash64("_window").alias("_h1"), F.xxhash64(F.lit(WINDOW), F.col("_window")).alias("_h2"))
-    first = (
+    # written, so that the join below has a plain exchange on both sides and Spark can split a window that very many documents hold
+    first = saved(
         rows.groupBy("_h1", "_h2")
         .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_key", "_text_hash", "_at")).alias("_first"))
         .where("_n > 1")
@@ -48,32 +49,58 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return covered.select("_key", "_text_hash", F.array_distinct(spans).alias("_removed"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of docs with text replaced by its kept lines, plus n_lines and n_removed.
-
-    A null text stays null and has one empty line, as an empty one has. Where nothing is removed the
-    text is unchanged. Columns of docs that start with _ are kept as they are, but for _key,
-    _text_hash, _removed, which this operator uses.
-    """
-    others = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_key", "_text_hash", "_removed")]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in others], id_key(F.col("doc_id")).alias("_key"), F.xxhash64("text").alias("_text_hash"))
+def _deduplicated(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs), text (what is kept), n_lines, n_removed of each row."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col("text").alias("own"), id_key(F.col("doc_id")).alias("_key"), F.xxhash64("text").alias("_text_hash"))
     joined = keyed.join(repeated_lines(docs), ["_key", "_text_hash"], "left")
-    lines = _lines(F.col("text"))
+    lines = _lines(F.col("own"))
     kept = bound(
         lines,
         lambda own: F.array_join(
             F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("_removed")), lambda i: F.element_at(own, i + 1)), "\n"
         ),
     )
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
     return joined.select(
-        *[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in others],
+        "row",
+        F.when(F.col("_removed").isNull(), F.col("own")).otherwise(kept).alias("text"),
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """All columns of docs with text replaced by its kept lines, plus n_lines and n_removed.
+
+    A null text stays null and has one empty line, as an empty one has. Where nothing is removed the
+    text is unchanged. Input columns named n_lines or n_removed are replaced, all others stay as they
+    are, whatever their names. An empty table gives no rows; ties go to the smaller doc_id, then to the
+    smaller hash of the text, then to the earlier line.
+    """
+    others = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return _deduplicated(docs).select(*[(F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in others], "n_lines", "n_removed")
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, with the kept lines as text and its length as n_chars, where docs has that.
+
+    A row whose lines have all gone, or all but empty ones, is a copy of earlier text from end to end and
+    goes. Rows that lose no line stay as they are, null and empty texts among them.
+    """
+    out = _deduplicated(docs).where((F.col("n_removed") == 0) | (F.length(without_spaces(F.col("text"))) > 0))
+
+    def column(c: str) -> F.Column:
+        if c == "text":
+            return F.col("text")
+        if c == "n_chars":
+            return F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row")[c]).cast(docs.schema[c].dataType)
+        return F.col("row")[c]
+
+    return out.select([column(c).alias(c) for c in docs.columns])
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_lines() over all documents."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slatewise.llm.common import id_key, mixed, mixed_sql, table, words
+from slatewise.llm.common import id_key, mixed, mixed_sql, saved, table, words
 
 STRATUM = 256
 SEED = 7
@@ -26,7 +26,8 @@ def source_targets(sized: DataFrame, max_epochs: float = 3.0) -> DataFrame:
     """source, source_size, n_docs, target of each source of (source, size) rows.
 
     Sources by code point, null last, weigh 1, 2, 3, repeating. An empty table gives no rows; where
-    all sizes are 0 all targets are 0. One row per source is all that the windows here see.
+    all sizes are 0 all targets are 0. The windows here run in one task, over one row a source: some
+    hundred bytes each, so that millions of sources fit.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     ranked = per.withColumn("weight", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1)
@@ -46,15 +47,18 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = SEED) -> DataFrame
     """doc_id, source, size, source_size, target and copies (whole repetitions taken) of each document.
 
     Null texts have size 0; a null doc_id is an id like any other; repeated rows are documents of
-    their own. Only ids, sources and sizes are moved, never texts.
+    their own, taken as often as their own turn in the sample says. An empty table gives no rows. Only
+    ids, sources and sizes are moved, never texts.
     """
-    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
-    targets = source_targets(sized, max_epochs).withColumnRenamed("source", "its_source")
-    joined = sized.join(targets, sized["source"].eqNullSafe(targets["its_source"])).drop("its_source")
-    return with_copies(joined, seed)
+    sized = saved(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size")))
+    return _mixed(sized, max_epochs, seed)
 
 
-def with_copies(joined: DataFrame, seed: int) -> DataFrame:
+def _mixed(sized: DataFrame, max_epochs: float, seed: int) -> DataFrame:
+    """sized (doc_id, source, size and what it carries) with source_size, target and copies."""
+    targets = source_targets(sized, max_epochs).withColumnRenamed("source", "its_source")
+    joined = sized.join(targets, sized["source"].eqNullSafe(targets["its_source"])).drop("its_source")
+    carried = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
     key = id_key(F.col("doc_id"))
     stratum = mixed(key, seed) % F.ceil(F.col("n_docs") / STRATUM)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -65,21 +69,23 @@ def with_copies(joined: DataFrame, seed: int) -> DataFrame:
     n = F.row_number().over(order)
     ranked = dealt.withColumn("n", n)
     extra = F.floor(fraction * F.col("n") + start) - F.floor(fraction * (F.col("n") - 1) + start)
-    return ranked.select("doc_id", "source", "size", "source_size", "target", (F.floor("epochs") + extra).cast("long").alias("copies"))
+    return ranked.select("doc_id", "source", "size", "source_size", "target", (F.floor("epochs") + extra).cast("long").alias("copies"), *carried)
 
 
 def mixed_documents(docs: DataFrame, max_epochs: float = 3.0, seed: int = SEED) -> DataFrame:
-    """The mixture itself: each row of docs, all columns, as many times as the mix takes it."""
-    own = docs.select([F.col(f"`{c}`") for c in docs.columns])
-    copies = mix(docs, max_epochs, seed).groupBy(id_key(F.col("doc_id")).alias("_mix_key"), F.coalesce("source", F.lit("\0")).alias("_mix_source")).agg(
-        F.max("copies").alias("_mix_copies")
-    )
-    keyed = own.withColumn("_mix_key", id_key(F.col("doc_id"))).withColumn("_mix_source", F.coalesce("source", F.lit("\0")))
-    joined = keyed.join(copies, ["_mix_key", "_mix_source"]).where("_mix_copies > 0")
-    return joined.withColumn("_mix_n", F.explode(F.sequence(F.lit(1).cast("long"), "_mix_copies"))).select(docs.columns)
+    """The mixture itself: each row of docs, all columns as they are, as many times as the mix takes it.
+
+    A row carries its own number of copies through the strata, so that repeated rows, shared or missing
+    ids and sources of any name stay apart. Nulls and empty tables are as in mix().
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), row)
+    taken = _mixed(sized, max_epochs, seed).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix() over all documents, with the words taken."""
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
