@@ -1,33 +1,40 @@
 """Exact top-k by inner product with block-at-a-time pruning.
 
-The terms of a vector are its components. Each task cuts its rows, in order of id, into document-range
-blocks and keeps every term's maximum and minimum in a block. A query's bound for a block is the sum of
-what each term can add at most; blocks are scored in order of falling bound through their forward
-index (the block's rows as a matrix) until the bound is below the k-th best score so far, which is
-carried over from block to block and batch to batch. At a bound equal to the k-th score scoring goes
-on, since a tie goes to the smaller id.
-
-Queries go to the executors in chunks of QUERIES, each broadcast: QUERIES vectors at most, whatever the
-size of the table. Each task returns k rows a query at most; Spark ranks those of all tasks.
+Queries and rows are dealt into blocks by hashes of their own, and every block of queries meets every
+block of rows in a task: a grid of bounded groups, in which no query vector passes through the driver.
+
+The terms of a vector are its components. A task puts its rows in an order in which neighbours are
+alike (it splits them again and again by the direction from one far row to another) and cuts them into
+document ranges of RANGE rows, and these into pieces of PIECE rows; for each it keeps every term's
+maximum and minimum. A query's bound for a range or piece is the sum of what each term can add at most.
+Ranges are taken in order of falling bound; those of their pieces whose bound reaches the k-th best
+score so far are scored through their forward index (their rows as a matrix), until the next range's
+bound is below the k-th score. At a bound equal to it scoring goes on, since a tie goes to the smaller id.
+
+Before that each query is searched in one block alone; its k-th score there is a floor that it takes
+to all blocks. Each task returns k rows a query at most; Spark ranks those of all tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slatewise.llm.common import table
+from slatewise.llm.common import saved, table
 from slatewise.shipping import ship
 
 QUERIES = 4096
-BLOCK = 64
+#: Components of a block of rows, on average, and the least number of its rows.
+COMPONENTS = 1 << 21
+LEAST_ROWS = 1 << 10
+RANGE, PIECE = 64, 2
 STEP = 8
+AT_ONCE = 128
 EXACT = 2**53
+HUGE = 1e300
+LONG = 2**63 - 1
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -39,67 +46,126 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of a list column, floored; shorter ones are filled up with zeros."""
+    """Rows of a list column, floored; shorter ones are filled up with zeros, and what is huge stops at HUGE."""
     sizes = np.diff(column.offsets.to_numpy())
-    flat = np.floor(column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()])
+    flat = np.clip(np.floor(column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()]), -HUGE, HUGE)
     if len(sizes) and (sizes == width).all():
         return flat.reshape(len(sizes), width)
     out = np.zeros((len(sizes), width))
-    inside = np.arange(width)[None, :] < sizes[:, None]
-    keep = np.arange(sizes.max(initial=0))[None, :] < sizes[:, None]
-    padded = np.zeros(keep.shape)
-    padded[keep] = flat
-    out[inside] = padded[:, :width][inside[:, : padded.shape[1]]] if padded.shape[1] >= width else padded[keep]
+    out[np.arange(width)[None, :] < sizes[:, None]] = flat
     return out
 
 
 def products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer inner products."""
+    """Exact integer inner products; those beyond a long stop at its limits."""
     if np.abs(rows).max(initial=0) * np.abs(q).max(initial=0) * max(1, rows.shape[1]) < EXACT:
         return (rows @ q).astype(np.int64)
     whole = [int(x) for x in q]
-    return np.array([sum(int(a) * b for a, b in zip(r, whole)) for r in rows], dtype=object).astype(np.int64)
+    exact = (sum(int(a) * b for a, b in zip(r, whole)) for r in rows)
+    return np.array([max(-LONG, min(LONG, x)) for x in exact], dtype=np.int64)
+
+
+def alike(rows: np.ndarray) -> np.ndarray:
+    """An order of rows in which neighbours are alike: halves by the direction between two far rows, down to pieces."""
+    done, todo = [], [np.arange(len(rows))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= PIECE:
+            done.append(own)
+            continue
+        own_rows = rows[own]
+        far = own_rows[np.argmin(own_rows @ own_rows[0])]
+        along = own_rows @ (far - own_rows[np.argmin(own_rows @ far)])
+        size = RANGE if len(own) > RANGE else PIECE
+        half = max(size, len(own) // 2 // size * size)
+        order = np.argpartition(along, half)
+        todo += [own[order[half:]], own[order[:half]]]
+    return np.concatenate(done) if done else np.empty(0, np.int64)
 
 
 class Search:
-    """Top k of each query over the batches that it is given."""
+    """Top k of each query over the blocks of rows that it is given. floors: scores that the k-th best is known to reach."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None):
         self.ids, self.queries, self.k = ids, queries, k
-        self.plus, self.minus = np.maximum(queries, 0), np.minimum(queries, 0)
+        self.floors = np.full(len(ids), -LONG, np.int64) if floors is None else floors
         self.found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]  # scores, ids: best first
-        self.scored = 0
+        self.scored = np.zeros(len(ids), np.int64)
 
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        ids, rows = ids[order], rows[order]
-        starts = np.arange(0, len(ids), BLOCK)
-        if not len(starts):
+        if not len(ids):
             return
-        most, least = np.maximum.reduceat(rows, starts, axis=0), np.minimum.reduceat(rows, starts, axis=0)
-        bounds = self.plus @ most.T + self.minus @ least.T
-        # bounds of very large numbers are rounded: a little is added so that they stay bounds
-        bounds += np.abs(bounds) * 1e-12
-        for i, own in enumerate(self.ids):
-            scores, held = self.found[i]
-            falling = np.argsort(-bounds[i], kind="stable")
-            for at in range(0, len(falling), STEP):
-                some = falling[at : at + STEP]
-                if len(scores) == self.k:
-                    some = some[bounds[i][some] >= scores[-1]]
-                    if not len(some):
-                        break
-                inside = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-                inside = inside[inside < len(ids)]
-                self.scored += len(inside)
-                got = products(rows[inside], self.queries[i])
-                use = ids[inside] != own
-                if len(scores) == self.k:
-                    use &= got >= scores[-1]
-                s, h = np.concatenate([scores, got[use]]), np.concatenate([held, ids[inside][use]])
-                best = np.lexsort((h, -s))[: self.k]
-                scores, held = s[best], h[best]
-            self.found[i] = (scores, held)
+        with np.errstate(all="ignore"):
+            order = alike(rows)
+            ids, rows = ids[order], rows[order]
+            extremes = []
+            for size in (RANGE, PIECE):
+                starts = np.arange(0, len(ids), size)
+                extremes.append((np.maximum.reduceat(rows, starts, axis=0), np.minimum.reduceat(rows, starts, axis=0)))
+            for at in range(0, len(self.ids), AT_ONCE):
+                some = self.queries[at : at + AT_ONCE]
+                bounds = []
+                for most, least in extremes:
+                    b = np.maximum(some, 0) @ most.T + np.minimum(some, 0) @ least.T
+                    # bounds of very large numbers are rounded: a little is added so that they stay bounds
+                    bounds.append(np.nan_to_num(b + np.abs(b) * 1e-12, nan=np.inf))
+                for i in range(len(some)):
+                    self._search(at + i, ids, rows, bounds[0][i], bounds[1][i])
+
+    def _search(self, i: int, ids: np.ndarray, rows: np.ndarray, ranges: np.ndarray, pieces: np.ndarray) -> None:
+        scores, held = self.found[i]
+        falling = np.argsort(-ranges, kind="stable")
+        for at in range(0, len(falling), STEP):
+            kth = max(self.floors[i], scores[-1] if len(scores) == self.k else -LONG)
+            some = falling[at : at + STEP]
+            some = some[ranges[some] >= kth]
+            if not len(some):
+                break
+            inside = (some[:, None] * (RANGE // PIECE) + np.arange(RANGE // PIECE)).ravel()
+            inside = inside[inside < len(pieces)]
+            inside = inside[pieces[inside] >= kth]
+            inside = (inside[:, None] * PIECE + np.arange(PIECE)).ravel()
+            inside = inside[inside < len(ids)]
+            self.scored[i] += len(inside)
+            got = products(rows[inside], self.queries[i])
+            use = (ids[inside] != self.ids[i]) & (got >= kth)
+            s, h = np.concatenate([scores, got[use]]), np.concatenate([held, ids[inside][use]])
+            best = np.lexsort((h, -s))[: self.k]
+            scores, held = s[best], h[best]
+        self.found[i] = (scores, held)
+
+
+def _met(queries: pa.Table, rows: pa.Table, k: int) -> Search:
+    """The search of a block of queries (vec_id, v and perhaps floor) in a block of rows."""
+    vectors = [t.column("v").combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.float64())) for t in (queries, rows)]
+    width = max(1, *(int(np.diff(v.offsets.to_numpy()).max(initial=0)) for v in vectors))
+    floors = queries.column("floor").to_numpy() if "floor" in queries.column_names else None
+    search = Search(queries.column("vec_id").to_numpy(), matrix(vectors[0], width), k, floors)
+    search.add(rows.column("vec_id").to_numpy(), matrix(vectors[1], width))
+    return search
+
+
+def _searches(vectors: DataFrame, k: int, every: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of queries with their floors, and blocks of rows, both by q and r: what a grid of tasks joins."""
+    ship(vectors.sparkSession)
+    rows = usable(vectors)
+    n, asked, width = rows.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0), F.max(F.size("v"))).head()
+    row_blocks = max(1, -(-n // max(LEAST_ROWS, COMPONENTS // max(1, width or 1))), min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // LEAST_ROWS))
+    query_blocks = max(1, -(-asked // QUERIES))
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
+    dealt = rows.withColumn("r", F.pmod(F.xxhash64("vec_id", "v"), F.lit(row_blocks)).cast("int"))
+
+    def first(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        found = _met(queries, rows, k).found
+        kth = [int(scores[-1]) if len(scores) == k else -LONG for scores, _ in found]
+        return queries.select(["vec_id", "v", "q"]).append_column("floor", pa.array(kth, pa.int64()))
+
+    # each block of queries is searched in one block of rows, and blocks of rows go to the queries that start with them
+    starting = F.expr(f"filter(sequence(0, {query_blocks - 1}), q -> q % {row_blocks} = r)")
+    own = dealt.select("vec_id", "v", F.explode(starting).alias("q"))
+    floored = saved(queries.groupBy("q").cogroup(own.groupBy("q")).applyInArrow(first, "vec_id bigint, v array<double>, q int, floor bigint"))
+    grid = lambda name, size: F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(name)
+    return floored.select("vec_id", "v", "floor", "q", grid("r", row_blocks)), dealt.select("vec_id", "v", "r", grid("q", query_blocks))
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
@@ -107,45 +173,36 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
 
     Vectors that are null or hold nulls or non-finite components are neither queries nor candidates.
     Lengths may differ: what is missing counts as 0. Of repeated rows each is a candidate; a query's own
-    id is none of its candidates, and an id is one query, with the first of its vectors by value.
+    id is none of its candidates, and an id is one query, with the first of its vectors by value. Scores
+    beyond a long stop at its limits. An empty table, or one without queries, gives no rows.
     """
-    spark = vectors.sparkSession
-    ship(spark)
-    rows = usable(vectors)
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").toLocalIterator()
-    parts = []
-    while chunk := list(islice(queries, QUERIES)):
-        width = max(1, max(len(r["v"]) for r in chunk))
-        asked = np.zeros((len(chunk), width))
-        for i, r in enumerate(chunk):
-            asked[i, : len(r["v"])] = np.floor(r["v"])
-        sent = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in chunk]), asked))
-        parts.append(rows.mapInArrow(_searching(sent, k), "query_id bigint, vec_id bigint, score bigint"))
-    schema = "query_id bigint, rank int, vec_id bigint, score bigint"
-    if not parts:
-        return spark.createDataFrame([], schema)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
+    queries, rows = _searches(vectors, k, every)
+
+    def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        found = _met(queries, rows, k)
+        own = np.repeat(found.ids, [len(h) for _, h in found.found])
+        empty = np.empty(0, np.int64)
+        scores, held = (np.concatenate([empty, *(f[i] for f in found.found)]) for i in (0, 1))
+        return pa.table({"query_id": pa.array(own, pa.int64()), "vec_id": pa.array(held, pa.int64()), "score": pa.array(scores, pa.int64())})
+
+    found = queries.groupBy("q", "r").cogroup(rows.groupBy("q", "r")).applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _searching(sent, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, asked = sent.value
-        search = Search(ids, asked, k)
-        for batch in batches:
-            search.add(batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1), asked.shape[1]))
-        for i, own in enumerate(ids):
-            scores, held = search.found[i]
-            if len(held):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), own), pa.int64()), pa.array(held, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
+def pairs_scored(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
+    """query_id, scored, held: how many of the rows that a query meets in a block are scored, and how many there are."""
+    queries, rows = _searches(vectors, k, every)
+
+    def count(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        found = _met(queries, rows, k)
+        return pa.table({"query_id": pa.array(found.ids, pa.int64()), "scored": pa.array(found.scored), "held": pa.array(np.full(len(found.ids), rows.num_rows, np.int64))})
 
-    return run
+    return queries.groupBy("q", "r").cogroup(rows.groupBy("q", "r")).applyInArrow(count, "query_id bigint, scored bigint, held bigint")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """top_k() over all embeddings."""
     return top_k(table(spark, sf_dir, "embeddings"))
 
 

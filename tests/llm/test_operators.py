@@ -234,6 +234,24 @@ def test_top_k_prunes():
     assert search.scored < 4096
 
 
+def test_top_k_prunes_the_table(spark):
+    r = topk.pairs_scored(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).agg(F.sum("scored").alias("scored"), F.sum("held").alias("held")).head()
+    assert r.held == 20 * 2000 and 0 < r.scored < 0.9 * r.held
+
+
+def test_top_k_grid(spark, sql, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "LEAST_ROWS", 30)
+    monkeypatch.setattr(topk, "COMPONENTS", 30 * 64)
+    assert rows_of(topk.op4_topk(spark, SF)) == rows_in(sql.sql(topk.OP4_SQL))
+
+
+def test_top_k_huge(spark):
+    rows = [(0, [1e300, -1e308, 1.0]), (1, [1e300, 1e308, 0.0]), (2, [-1e300, 0.0, 5.0]), (3, [0.0, 0.0, 2.0]), (4, [1e-320, 0.0, 2.0])]
+    got = pairs_of(topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")), "query_id", "rank", "vec_id", "score")
+    assert got == [(0, 1, 3, 2048 * 1024), (0, 2, 4, 2048 * 1024), (0, 3, 1, 0), (0, 4, 2, -topk.LONG)]
+
+
 def test_bpe(spark, documents, hard, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = bpe.public_vocabulary()
