@@ -129,11 +129,11 @@ def points_per_unit(unit: Column) -> Column:
 
 def dimension_value(text: Column) -> Column:
     """Leading number of a length, 0 for a bad one."""
-    return F.coalesce(F.regexp_extract(F.trim(text), r"^([0-9.]+)", 1).try_cast("double"), F.lit(0.0))
+    return F.coalesce(F.regexp_extract(F.trim(text), r"^([0-9.-]+)", 1).try_cast("double"), F.lit(0.0))
 
 
 def dimension_unit(text: Column) -> Column:
-    u = F.lower(F.trim(F.regexp_replace(F.trim(text), r"^[0-9.]+", "")))
+    u = F.lower(F.regexp_replace(F.trim(text), r"^[0-9.-]+", ""))
     return F.when(u == "", "px").otherwise(u)
 
 
@@ -214,3 +214,18 @@ def slide_label(slides: Column) -> Column:
     return F.when(F.size(slides) == 0, "No slide").otherwise(
         F.concat(F.when(F.size(slides) == 1, "Slide ").otherwise("Slides "), F.array_join(F.transform(slides, lambda s: s.cast("string")), ", "))
     )
+
+
+def byte_count(size: Column) -> Column:
+    """"999 bytes", "12 KB", "3.4 MB": decimal units, one place from MB up."""
+    return (
+        F.when(size < 1000, F.concat(size.cast("string"), F.when(size == 1, " byte").otherwise(" bytes")))
+        .when(size < 1_000_000, F.concat(F.round(size / 1000).cast("bigint").cast("string"), F.lit(" KB")))
+        .when(size < 1_000_000_000, F.concat(F.format_number(size / 1_000_000, 1), F.lit(" MB")))
+        .otherwise(F.concat(F.format_number(size / 1_000_000_000, 2), F.lit(" GB")))
+    )
+
+
+def hex_hash(hash: Column) -> Column:
+    """A 64-bit hash as 16 lower-case hexadecimal digits."""
+    return F.lower(F.lpad(F.hex(hash), 16, "0"))

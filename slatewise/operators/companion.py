@@ -17,20 +17,72 @@ def candidates(items: DataFrame) -> DataFrame:
     return looked.join(pdf, ["stem", "pdf_id"]).select("svg", "pdf", (F.col("svg_id") - F.col("pdf_id")).alias("gap"))
 
 
+#: Confidence from which a PDF counts as an SVG's rendering, and how far the places of a word may differ, as a share of the width.
+CONFIDENT, X_NEAR = 0.65, 0.02
+
+
+def validated(found: DataFrame, drawings: DataFrame, pages: DataFrame) -> DataFrame:
+    """found (svg, pdf, gap) with delta, overlap, x_matches, x_total, confidence and is_pair.
+
+    drawings: as svg.metrics() gives them. pages: filename, width, height, words array<struct<text, x_min>>, the first
+    page of each PDF. A PDF without a page has confidence 0; an SVG without metrics has no size and no text.
+    """
+    positive = lambda c, other: F.when(c > 0, c).otherwise(other)
+    side = lambda c: F.coalesce(c, F.lit(0.0))
+    d = drawings.select(
+        F.col("filename").alias("svg"),
+        (side(F.col("width")) * S.points_per_unit(F.coalesce("width_unit", F.lit("px")))).alias("d_width"),
+        (side(F.col("height")) * S.points_per_unit(F.coalesce("height_unit", F.lit("px")))).alias("d_height"),
+        positive(positive(side(F.col("vb_width")), side(F.col("width"))), F.lit(1.0)).alias("d_span"),
+        "texts",
+    )
+    p = pages.select(F.col("filename").alias("pdf"), F.col("width").alias("p_width"), F.col("height").alias("p_height"), "words", F.lit(True).alias("readable"))
+    joined = found.join(d, "svg", "left").join(p, "pdf", "left")
+    texts = F.coalesce("texts", F.array().cast(drawings.schema["texts"].dataType))
+    words = F.coalesce("words", F.array().cast(pages.schema["words"].dataType))
+    drawn = F.array_distinct(F.flatten(F.transform(texts, lambda t: S.words_of(t["content"]))))
+    printed = F.array_distinct(F.filter(F.transform(words, lambda w: w["text"]), lambda w: w != ""))
+    sized = (side(F.col("d_width")) > 0) & (F.col("p_width") > 0)
+    delta = F.when(sized, F.greatest(F.abs(F.col("d_width") - F.col("p_width")), F.abs(F.col("d_height") - F.col("p_height")))).otherwise(float("inf"))
+    span = positive(F.col("p_width"), F.lit(1.0))
+
+    def distance(t: Column) -> Column:
+        first = F.try_element_at(S.words_of(t["content"]), F.lit(1))
+        place = F.try_element_at(F.filter(words, lambda w: w["text"] == first), F.lit(1))["x_min"]
+        return F.abs(t["x"] / F.coalesce("d_span", F.lit(1.0)) - place / span)
+
+    distances = F.filter(F.transform(texts, distance), lambda x: x.isNotNull())
+    made = joined.select(
+        *found.columns, "readable", delta.alias("delta"), S.word_jaccard(drawn, printed).alias("overlap"), (F.size(drawn) + F.size(printed) > 0).alias("has_text"),
+        F.size(F.filter(distances, lambda x: x < X_NEAR)).alias("x_matches"), F.size(distances).alias("x_total"),
+    )
+    ratio = F.when(F.col("x_total") > 0, F.col("x_matches") / F.col("x_total")).otherwise(0.0)
+    confidence = F.when(F.col("readable"), S.pair_confidence(F.col("delta"), F.col("has_text"), F.col("overlap"), ratio)).otherwise(0.0)
+    out = made.withColumn("confidence", confidence).withColumn("is_pair", F.col("confidence") >= CONFIDENT)
+    return out.select(*found.columns, "delta", "overlap", "x_matches", "x_total", "confidence", "is_pair")
+
+
 def pairs(found: DataFrame, valid: Column) -> DataFrame:
     """The nearest valid PDF of each SVG; one PDF may serve several."""
     nearest = Window.partitionBy("svg").orderBy("gap", "pdf")
     return found.where(valid).withColumn("n", F.row_number().over(nearest)).where("n = 1").drop("n")
 
 
+#: What an SVG takes from its PDF.
+BORROWED = ("ahash", "phash", "moments", "width", "height")
+
+
 def absorbed(fingerprints: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Fingerprints in which an SVG has its PDF's hashes and sizes, nulls included, and the PDFs used are gone."""
-    borrowed = fingerprints.select(F.col("filename").alias("pdf"), F.col("ahash").alias("b_ahash"), F.col("width").alias("b_width"), F.col("height").alias("b_height"))
-    joined = fingerprints.join(chosen.select(F.col("svg").alias("filename"), "pdf"), "filename", "left").join(borrowed, "pdf", "left")
-    used = F.col("pdf").isNotNull()
-    out = joined.select(
-        "filename", *[F.when(used, F.col(f"b_{c}")).otherwise(F.col(c)).alias(c) for c in ("ahash", "width", "height")], F.col("pdf").alias("borrowed_from")
-    )
+    """Fingerprints in which an SVG has its PDF's hashes, moments and sizes, nulls included, and the PDFs used are gone.
+
+    An SVG keeps its own where its PDF has no fingerprint; that PDF is used all the same. All else is the SVG's own.
+    """
+    lent = fingerprints.select(F.col("filename").alias("borrowed_from"), *[F.col(c).alias(f"b_{c}") for c in BORROWED])
+    joined = fingerprints.join(chosen.select(F.col("svg").alias("filename"), F.col("pdf").alias("borrowed_from")), "filename", "left")
+    joined = joined.join(lent.withColumn("lends", F.lit(True)), "borrowed_from", "left")
+    lends = F.col("lends").isNotNull()
+    own = [F.when(lends, F.col(f"b_{c}")).otherwise(F.col(c)).alias(c) if c in BORROWED else F.col(c) for c in fingerprints.columns]
+    out = joined.select(*own, F.when(lends, F.col("borrowed_from")).alias("borrowed_from"))
     return out.join(chosen.select(F.col("pdf").alias("filename")).distinct(), "filename", "left_anti")
 
 

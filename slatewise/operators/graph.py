@@ -9,33 +9,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rounds whose nodes are one table; more are put together.
+ROUNDS = 16
+
+
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut from its lineage in the session's checkpoint folder; one is made only where none is set."""
+    """Cut from its lineage in the session's checkpoint folder. Where it is unset a local run gets one; a cluster has to name it."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/slatewise-{uuid.uuid4().hex}")
     return df.checkpoint()
 
 
 def reachable(roots: DataFrame, edges: DataFrame, blocked: DataFrame) -> DataFrame:
-    """(slide_no, node) of all nodes that each slide's root reaches, itself included.
+    """(slide_no, node) of all nodes that each slide's root reaches, itself included; (package, slide_no, node) where all inputs have a package.
 
     roots: slide_no, node. edges: src, dst. blocked: node; template nodes are neither entered nor left.
     Nodes without edges are leaves; cycles end the search, as what is seen is not entered again. Each
-    round is one join of the frontier, and stops when that is empty.
+    round is one join of the frontier and writes what is new alone; it stops when that is empty.
     """
-    open_edges = edges.join(blocked.select(F.col("node").alias("dst")).distinct(), "dst", "left_anti").select("src", "dst").distinct()
-    frontier = _checkpointed(roots.select("slide_no", "node").join(blocked.select("node"), "node", "left_anti").select("slide_no", "node").distinct())
-    seen = frontier
-    while not frontier.isEmpty():
-        following = frontier.join(open_edges, frontier["node"] == open_edges["src"]).select("slide_no", F.col("dst").alias("node")).distinct()
-        frontier = _checkpointed(following.join(seen, ["slide_no", "node"], "left_anti"))
-        seen = _checkpointed(seen.unionByName(frontier))
-    return seen
+    own = [c for c in ("package",) if c in roots.columns]
+    at = [*own, "slide_no", "node"]
+    closed = blocked.select(*own, "node").distinct()
+    open_edges = edges.select(*own, "src", "dst").distinct().join(closed.withColumnRenamed("node", "dst"), [*own, "dst"], "left_anti").withColumnRenamed("src", "node")
+    seen = [_checkpointed(roots.select(*at).join(closed, [*own, "node"], "left_anti").select(*at).distinct())]
+    while not seen[-1].isEmpty():
+        following = seen[-1].join(open_edges, [*own, "node"]).select(*own, "slide_no", F.col("dst").alias("node")).distinct()
+        seen.append(_checkpointed(following.join(_all(seen), at, "left_anti").select(*at)))
+        if len(seen) > ROUNDS:
+            seen = [_checkpointed(_all(seen[:-1])), seen[-1]]
+    return _all(seen)
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def slide_assets(reached: DataFrame, data_edges: DataFrame) -> DataFrame:
-    """data_ref, slides: the sorted slides whose reached nodes refer to a data file. data_edges: obj, data_ref."""
-    joined = reached.join(data_edges, reached["node"] == data_edges["obj"])
-    return joined.groupBy("data_ref").agg(F.sort_array(F.collect_set("slide_no")).alias("slides"))
+    """data_ref, slides, and package where both have it: the sorted slides whose reached nodes refer to a data file. data_edges: obj, data_ref."""
+    own = [c for c in ("package",) if c in reached.columns]
+    joined = reached.join(data_edges.withColumnRenamed("obj", "node"), [*own, "node"])
+    return joined.groupBy(*own, "data_ref").agg(F.sort_array(F.collect_set("slide_no")).alias("slides"))

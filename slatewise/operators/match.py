@@ -1,8 +1,9 @@
 """Matching of degraded items with source items: gates, scores, collapse of near duplicates, top three.
 
 Inputs have filename, ahash, phash, moments, width, height, ext. Pairs are found through buckets of the
-aspect ratio, an equi-join; items of unknown ratio pass the gate with everything and meet the other
-side on a grid of GRID blocks. Nothing is broadcast on trust and no pair is made twice.
+aspect ratio, an equi-join; items of unknown ratio pass the gate with everything. A bucket is split by
+the counts of both its sides into cells of CELL x CELL items at most on average, so that a ratio that most
+items share is many tasks. What is broadcast has one row a bucket, of which ratios make a few hundred.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
+from slatewise.operators import keyed
 
-GRID = 16
+CELL = 4096
 TOP = 3
 
 
@@ -29,6 +31,17 @@ def _sides(degraded: DataFrame, source: DataFrame) -> tuple[DataFrame, DataFrame
     return d, s
 
 
+def _cells(d: DataFrame, s: DataFrame) -> DataFrame:
+    """Pairs of d and s with one bucket, cell by cell."""
+    size = F.ceil(F.count(F.lit(1)) / CELL).cast("int")
+    grid = d.groupBy("bucket").agg(size.alias("d_cells")).join(s.groupBy("bucket").agg(size.alias("s_cells")), "bucket")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = d.join(F.broadcast(grid), "bucket").withColumn("d_cell", own("d_filename", "d_cells")).withColumn("s_cell", every("s_cells"))
+    right = s.join(F.broadcast(grid), "bucket").withColumn("s_cell", own("s_filename", "s_cells")).withColumn("d_cell", every("d_cells"))
+    return left.drop("d_cells", "s_cells").join(right.drop("d_cells", "s_cells"), ["bucket", "d_cell", "s_cell"])
+
+
 def candidates(degraded: DataFrame, source: DataFrame) -> DataFrame:
     """Pairs that pass the aspect and aHash gates, with their distances and score."""
     d, s = _sides(degraded, source)
@@ -36,11 +49,10 @@ def candidates(degraded: DataFrame, source: DataFrame) -> DataFrame:
     near = S.hamming(F.col("d_ahash"), F.col("s_ahash")) <= S.AHASH_LIMIT
     gate = S.aspect_gate(F.col("d_width"), F.col("d_height"), F.col("s_width"), F.col("s_height"))
     around = d.where("d_bucket IS NOT NULL").withColumn("bucket", F.explode(F.array(*(F.col("d_bucket") + k for k in (-1, 0, 1)))))
-    known = around.join(s.where("s_bucket IS NOT NULL").withColumn("bucket", F.col("s_bucket")), "bucket").where(near & gate)
-    grid = F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(GRID)).cast("int")
-    one = d.where("d_bucket IS NULL").withColumn("bucket", grid).join(s.withColumn("bucket", block("s_filename")), "bucket").where(near)
-    other = d.where("d_bucket IS NOT NULL").withColumn("bucket", block("d_filename")).join(s.where("s_bucket IS NULL").withColumn("bucket", grid), "bucket").where(near)
+    known = _cells(around, s.where("s_bucket IS NOT NULL").withColumn("bucket", F.col("s_bucket"))).where(near & gate)
+    together = F.lit(0).alias("bucket")
+    one = _cells(d.where("d_bucket IS NULL").select("*", together), s.select("*", together)).where(near)
+    other = _cells(d.where("d_bucket IS NOT NULL").select("*", together), s.where("s_bucket IS NULL").select("*", together)).where(near)
     pairs = known.unionByName(one).unionByName(other)
     return scored(pairs).select("degraded", "source", "source_ext", "s_ahash", "s_phash", "ahash_distance", "phash_distance", "moment_distance", "score")
 
@@ -72,16 +84,7 @@ def collapsed(pairs: DataFrame, slots: int | None = None) -> DataFrame:
     A candidate of a better file kind takes the place of the one it merges into. With ``slots``, only so
     many are held: what happens in the first slots never depends on later ones.
     """
-    one = F.struct(
-        "score",
-        F.col("source").alias("name"),
-        F.col("s_ahash").alias("a"),
-        F.col("s_phash").alias("p"),
-        S.extension_priority(F.col("source_ext")).alias("priority"),
-        "ahash_distance",
-        "phash_distance",
-    )
-    grouped = pairs.groupBy("degraded").agg(F.sort_array(F.collect_list(one)).alias("c"))
+    grouped = pairs.groupBy("degraded").agg(F.sort_array(F.collect_list(candidate())).alias("c"))
     kind = grouped.schema["c"].dataType.simpleString()
 
     def near(k: Column, x: Column) -> Column:
@@ -99,15 +102,32 @@ def collapsed(pairs: DataFrame, slots: int | None = None) -> DataFrame:
     return grouped.select("degraded", F.aggregate("c", F.array().cast(kind), step).alias("kept"))
 
 
-def pinned(top: DataFrame, structural: DataFrame) -> DataFrame:
-    """degraded, is_structural, candidates: the structural match in front of two of the top three that differ from it.
+def candidate() -> Column:
+    """A scored pair as a candidate."""
+    return F.struct(
+        "score",
+        F.col("source").alias("name"),
+        F.col("s_ahash").alias("a"),
+        F.col("s_phash").alias("p"),
+        S.extension_priority(F.col("source_ext")).alias("priority"),
+        "ahash_distance",
+        "phash_distance",
+    )
+
 
-    structural: degraded, x (a candidate like those of collapsed()); x is null where the match has no fingerprint.
+def pinned(degraded: DataFrame, top: DataFrame, structural: DataFrame) -> DataFrame:
+    """degraded, is_structural, x, top3, candidates of every degraded item: the structural match in front of two of the top three that differ from it.
+
+    degraded: degraded. structural: degraded, x (a candidate like those of collapsed()); x is null where the
+    match has no fingerprint. An item with neither has no candidates.
     """
-    joined = top.join(structural, "degraded", "full_outer")
+    joined = degraded.select("degraded").join(top, "degraded", "left").join(structural.select("degraded", "x", F.lit(True).alias("is_structural")), "degraded", "left")
     kept = F.coalesce("kept", F.array().cast(top.schema["kept"].dataType))
-    with_x = F.concat(F.array("x"), F.slice(F.filter(kept, lambda c: c["name"] != F.col("x.name")), F.lit(1), F.lit(TOP - 1)))
-    return joined.select("degraded", F.coalesce("is_structural", F.lit(False)).alias("is_structural"), F.when(F.col("x").isNull(), F.slice(kept, F.lit(1), F.lit(TOP))).otherwise(with_x).alias("candidates"))
+    first = F.slice(kept, F.lit(1), F.lit(TOP))
+    with_x = F.concat(F.array("x"), F.slice(F.filter(first, lambda c: c["name"] != F.col("x.name")), F.lit(1), F.lit(TOP - 1)))
+    return joined.select(
+        "degraded", F.coalesce("is_structural", F.lit(False)).alias("is_structural"), "x", first.alias("top3"), F.when(F.col("x").isNull(), first).otherwise(with_x).alias("candidates")
+    )
 
 
 def structural_pairs(membership: DataFrame) -> DataFrame:
@@ -132,14 +152,41 @@ def claimed_once(pairs: DataFrame) -> DataFrame:
 
 
 def mapping(top: DataFrame) -> DataFrame:
-    """The result table: quality and default choice of each degraded item. top: degraded, is_structural, candidates."""
-    first = F.try_element_at("candidates", F.lit(1))
+    """The result table: quality and default choice of each degraded item, from pinned().
+
+    The structural match decides the quality and, if near enough, the choice; else the nearest of the top three does.
+    """
+    first, near = F.try_element_at("candidates", F.lit(1)), F.try_element_at("top3", F.lit(1))
     q = S.quality(first["phash_distance"], F.col("is_structural"))
-    return top.select(
-        "degraded",
-        "is_structural",
-        "candidates",
-        q.alias("quality"),
-        S.quality_ordinal(q).alias("ordinal"),
-        F.when(first["phash_distance"] < S.CONFIRMED_PHASH, first["name"]).otherwise("skip").alias("choice"),
-    )
+    choice = S.default_choice(F.col("x.name"), F.col("x.phash_distance"), near["name"], near["phash_distance"])
+    return top.select("degraded", "is_structural", "candidates", q.alias("quality"), S.quality_ordinal(q).alias("ordinal"), choice.alias("choice"))
+
+
+def with_prints(items: DataFrame, prints: DataFrame) -> DataFrame:
+    """Items that have a fingerprint, with it and their extension; of items with one name on a side the first by seq, if they have one."""
+    if "seq" in items.columns:
+        items = keyed.first_wins(items, ["side", "filename"], "seq")
+    return items.select("side", "filename").join(prints, ["side", "filename"]).withColumn("ext", S.extension(F.col("filename")))
+
+
+def matched(items: DataFrame, prints: DataFrame, membership: DataFrame) -> DataFrame:
+    """The mapping of every degraded item that has a fingerprint: candidates by distance, the structural match pinned, quality and choice.
+
+    items: side (degraded or source), filename, perhaps seq. prints: side, filename, ahash, phash, moments,
+    width, height. membership: side, filename, slide_no.
+    """
+    known = with_prints(items, prints)
+    degraded, source = known.where("side = 'degraded'").drop("side"), known.where("side = 'source'").drop("side")
+    structural = claimed_once(upgraded(structural_pairs(membership), items.where("side = 'source'").select("filename").distinct()))
+    d, s = _sides(degraded, source)
+    both = structural.join(d, structural["degraded"] == d["d_filename"]).join(s, structural["source"] == s["s_filename"])
+    x = scored(both.drop("degraded", "source")).select("degraded", candidate().alias("x"))
+    top = collapsed(candidates(degraded, source), TOP)
+    return mapping(pinned(degraded.select(F.col("filename").alias("degraded")), top, structural.select("degraded").join(x, "degraded", "left")))
+
+
+def slide_counts(membership: DataFrame) -> DataFrame:
+    """One row: degraded_slides (different ones), source_slides (the last one's number) and whether they differ."""
+    number = lambda side: F.when(F.col("side") == side, F.col("slide_no"))
+    per = membership.agg(F.count_distinct(number("degraded")).alias("degraded_slides"), F.max(number("source")).alias("source_slides"))
+    return per.withColumn("mismatch", F.col("degraded_slides") != F.col("source_slides"))

@@ -16,21 +16,40 @@ def collision_names(rows: DataFrame) -> DataFrame:
 
 
 def plan(mapping: DataFrame, mode: str = "vector_in_place") -> DataFrame:
-    """One row per replacement: old and new file name, its source file, kind and mime type; skipped items have none."""
-    chosen = mapping.where("choice <> 'skip'").withColumn(
-        "chosen", F.coalesce(F.try_element_at(F.filter("candidates", lambda c: c["name"] == F.col("choice")), F.lit(1)), F.try_element_at("candidates", F.lit(1)))
-    )
-    ext = S.extension(F.col("chosen.name"))
+    """One row per replacement: seq, old and new file name, its source file, kind, mime type, url of a custom file; skipped items have none.
+
+    A choice that is no candidate takes the first one; without candidates it is left out. Names that collide
+    are numbered in plan order, by quality and then name, which seq carries on.
+    """
+    own = F.try_element_at(F.filter("candidates", lambda c: c["name"] == F.col("choice")), F.lit(1))
+    url = F.col("custom_url") if "custom_url" in mapping.columns else F.lit(None).cast("string")
+    name = F.when(url.isNotNull(), F.col("choice")).otherwise(F.coalesce(own, F.try_element_at("candidates", F.lit(1)))["name"])
+    chosen = mapping.where("choice <> 'skip'").select("degraded", "ordinal", name.alias("name"), url.alias("url")).where("name IS NOT NULL")
+    ext = S.extension(F.col("name"))
     rows = chosen.select(
         F.col("degraded").alias("old_name"),
-        F.col("chosen.name").alias("source_name"),
+        F.col("name").alias("source_name"),
+        "url",
         S.replacement_kind(ext).alias("kind"),
         S.output_extension(ext, S.extension(F.col("degraded")), mode).alias("ext"),
         S.stem(F.col("degraded")).alias("stem"),
-        F.col("degraded").alias("seq"),
+        F.struct("ordinal", "degraded").alias("seq"),
     )
     named = collision_names(rows)
-    return named.select("old_name", F.concat("new_stem", F.lit("."), "ext").alias("new_name"), "source_name", "kind", S.mime_type(F.col("ext")).alias("mime"))
+    return named.select("seq", "old_name", F.concat("new_stem", F.lit("."), "ext").alias("new_name"), "source_name", "kind", S.mime_type(F.col("ext")).alias("mime"), "url")
+
+
+def materialised(plan: DataFrame, files: DataFrame) -> DataFrame:
+    """new_name, bytes, render_from of each replacement: what is copied has its source's bytes.
+
+    plan: as plan() gives it. files: filename, bytes of the source deck and of custom files. A vector that becomes
+    a bitmap isn't drawn here: it has no bytes, and render_from names the file to draw, the first PDF of an SVG's stem if there is one.
+    """
+    copied = (F.col("kind") == "raster") | (S.extension(F.col("new_name")) == F.col("kind"))
+    first = files.where(S.extension(F.col("filename")) == "pdf").groupBy(S.strip_id(S.stem(F.col("filename"))).alias("drawn_stem")).agg(F.min("filename").alias("pdf"))
+    own = plan.withColumn("copied", copied).withColumn("drawn_stem", F.when(~copied & (F.col("kind") == "svg"), S.strip_id(S.stem(F.col("source_name")))))
+    joined = own.join(first, "drawn_stem", "left").join(files.select(F.col("filename").alias("source_name"), "bytes"), "source_name", "left")
+    return joined.select("new_name", F.when(F.col("copied"), F.col("bytes")).alias("bytes"), F.when(~F.col("copied"), F.coalesce("pdf", "source_name")).alias("render_from"))
 
 
 def rewrite(parts: DataFrame, replacements: DataFrame) -> DataFrame:
@@ -45,16 +64,26 @@ def missing_content_types(needed: DataFrame, registered: DataFrame) -> DataFrame
     return needed.select("package", "ext").distinct().join(registered, ["package", "ext"], "left_anti")
 
 
+def _keys(rows: DataFrame) -> list[str]:
+    return [c for c in ("package", "filename") if c in rows.columns]
+
+
 def media_listing(files: DataFrame, membership: DataFrame, master_only: DataFrame) -> DataFrame:
-    """filename, slides of media files that are not on masters only; a file on no slide has []."""
-    per = membership.groupBy("filename").agg(F.sort_array(F.collect_list("slide_no")).alias("slides"))
-    kept = files.select("filename").distinct().join(master_only, "filename", "left_anti")
-    return kept.join(per, "filename", "left").select("filename", F.coalesce("slides", F.array().cast("array<bigint>")).alias("slides"))
+    """filename, slides, is_master_only of media files that are not on masters only, by name; a file on no slide has [].
+
+    With a package column in all three, files of different packages stay apart.
+    """
+    keys = _keys(files)
+    per = membership.groupBy(*keys).agg(F.sort_array(F.collect_list("slide_no")).alias("slides"))
+    kept = files.select(*keys).distinct().join(master_only, keys, "left_anti")
+    listed = kept.join(per, keys, "left").select(*keys, F.coalesce("slides", F.array().cast("array<bigint>")).alias("slides"), F.lit(False).alias("is_master_only"))
+    return listed.orderBy(*keys)
 
 
 def master_only(master: DataFrame, layout: DataFrame, content: DataFrame) -> DataFrame:
-    """Media of masters and layouts that no slide uses. Each: filename."""
-    return master.select("filename").union(layout.select("filename")).distinct().join(content.select("filename"), "filename", "left_anti")
+    """Media of masters and layouts that no slide uses. Each: filename, and package if there are several."""
+    keys = _keys(master)
+    return master.select(*keys).union(layout.select(*keys)).distinct().join(content.select(*keys), keys, "left_anti")
 
 
 def references(plan: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slatewise.functions import scalars as S
+
 
 def first_candidate() -> Column:
     return F.try_element_at("candidates", F.lit(1))
@@ -27,13 +29,19 @@ def confirm_all(mapping: DataFrame, visible: Column) -> DataFrame:
 
 
 def overridden(mapping: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Choices replaced by the last override of each item. overrides: degraded, seq, choice."""
-    last = overrides.groupBy("degraded").agg(F.max_by("choice", "seq").alias("new_choice"))
-    return mapping.join(last, "degraded", "left").withColumn("choice", F.coalesce("new_choice", "choice")).drop("new_choice")
+    """Choices replaced by the last override of each item, and custom_url. overrides: degraded, seq, choice, url.
+
+    An override with a url chooses a file of the user's own, by its name. Without a url column there are none.
+    """
+    url = F.col("url") if "url" in overrides.columns else F.lit(None).cast("string")
+    chosen = F.struct(F.when(url.isNotNull(), S.basename(url)).otherwise(F.col("choice")).alias("choice"), url.alias("url"))
+    last = overrides.groupBy("degraded").agg(F.max_by(chosen, "seq").alias("last"))
+    joined = mapping.join(last, "degraded", "left")
+    return joined.withColumn("choice", F.coalesce("last.choice", "choice")).withColumn("custom_url", F.col("last.url")).drop("last")
 
 
 def summary(mapping: DataFrame) -> DataFrame:
-    """One row: total, confirmed, skipped, and how many replacements are vectors or rasters."""
+    """One row: total, confirmed, skipped, how many replacements are vectors or rasters, and whether there is anything to apply."""
     ext = F.lower(F.regexp_extract("choice", r"\.([^./]+)$", 1))
     on = F.col("choice") != "skip"
     return mapping.agg(
@@ -42,6 +50,7 @@ def summary(mapping: DataFrame) -> DataFrame:
         F.count_if(~on).alias("skipped"),
         F.count_if(on & ext.isin("svg", "pdf")).alias("vectors"),
         F.count_if(on & ~ext.isin("svg", "pdf")).alias("rasters"),
+        (F.count_if(on) > 0).alias("can_apply"),
     )
 
 
@@ -51,12 +60,17 @@ def retained(sessions: DataFrame, keep: int = 10) -> DataFrame:
     return sessions.withColumn("n", F.row_number().over(newest)).where(F.col("n") > keep)
 
 
-def debug_json(mapping: DataFrame) -> DataFrame:
-    """degraded, json: the row as ground truth for later runs, with the stale score that older files carry as legacy_score."""
+def debug_json(mapping: DataFrame, slides: DataFrame | None = None) -> DataFrame:
+    """degraded, json: the row as ground truth for later runs, with the stale score that older files carry as legacy_score.
+
+    slides: degraded, slides (the numbers of its slides); items that it lacks have [].
+    """
+    mapping = mapping.join(slides, "degraded", "left") if slides is not None else mapping.withColumn("slides", F.lit(None).cast("array<bigint>"))
     candidates = F.transform(
         "candidates",
         lambda c: F.struct(
             c["ahash_distance"].alias("ahash_distance"),
+            F.when(c["score"] < float("inf"), (c["score"] - c["phash_distance"]) / 20).alias("cm_distance"),
             F.when(c["score"] < float("inf"), c["score"]).alias("combined_score"),
             F.when(c["score"] < float("inf"), c["ahash_distance"] + (c["score"] - c["phash_distance"]) / 4).alias("legacy_score"),
             c["name"].alias("name"),
@@ -64,5 +78,5 @@ def debug_json(mapping: DataFrame) -> DataFrame:
             (c["name"] == F.col("choice")).alias("user_confirmed"),
         ),
     )
-    row = F.struct(candidates.alias("candidates"), F.col("choice").alias("confirmed_match"), F.col("degraded").alias("filename"), F.col("is_structural").alias("is_xml_exact"), "quality")
+    row = F.struct(candidates.alias("candidates"), F.col("choice").alias("confirmed_match"), F.col("degraded").alias("filename"), F.col("is_structural").alias("is_xml_exact"), "quality", F.coalesce("slides", F.array().cast("array<bigint>")).alias("slides"))
     return mapping.select("degraded", F.to_json(row).alias("json"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
-from slatewise.operators import companion, graph, patch, review
+from slatewise.operators import companion, graph, keyed, patch, review
 from slatewise.plans.fixtures import FN_SQL, HREFS_SQL, filenames, hrefs, table
-from slatewise.sources import package
+from slatewise.sources import archive, package
 
 
 def path_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -16,15 +16,20 @@ def path_parts(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", S.basename(F.col("path")).alias("basename"), S.stem(F.col("path")).alias("stem"), S.extension(F.col("path")).alias("ext"))
 
 
+_ENDINGS = ("-12", "-", "--7", "-a7", "-3-44", "", "-5x", " -9", "7")
+
+
 def strip_id(spark: SparkSession, d: str) -> DataFrame:
     fn = filenames(spark, d)
-    return fn.select("doc_id", S.strip_id(S.stem(F.col("filename"))).alias("stripped"), S.drop_id(F.concat(F.col("stem"), F.lit("-"))).alias("dropped"))
+    name = F.concat("stem", F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % len(_ENDINGS) + 1).cast("int")))
+    return fn.select("doc_id", S.strip_id(S.stem(F.col("filename"))).alias("plain"), S.strip_id(name).alias("stripped"), S.drop_id(name).alias("dropped"))
 
 
 def trailing_id(spark: SparkSession, d: str) -> DataFrame:
     fn = filenames(spark, d)
     long_name = F.concat(S.stem(F.col("filename")), F.lit("99999999999999999999"))
-    return fn.select("doc_id", S.trailing_id(S.stem(F.col("filename"))).alias("id"), S.trailing_id(long_name).alias("too_long"))
+    name = F.concat("stem", F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % len(_ENDINGS) + 1).cast("int")))
+    return fn.select("doc_id", S.trailing_id(S.stem(F.col("filename"))).alias("id"), S.trailing_id(name).alias("edge"), S.trailing_id(long_name).alias("too_long"))
 
 
 def slide_number(spark: SparkSession, d: str) -> DataFrame:
@@ -87,15 +92,49 @@ def companion_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 _COMP = "comp AS (SELECT a.filename AS svg, b.filename AS pdf, a.id - b.id AS gap FROM fn a JOIN fn b ON a.ext = 'svg' AND b.ext = 'pdf' AND a.stem = b.stem AND b.id < a.id AND a.id - b.id <= 3)"
-_PAIRS = "prs AS (SELECT svg, pdf, gap FROM (SELECT *, row_number() OVER (PARTITION BY svg ORDER BY gap, pdf) AS n FROM comp WHERE (hash_of(svg) + gap) % 3 <> 0) WHERE n = 1)".replace(
-    "hash_of(svg)", "CAST(regexp_extract(svg, '-(\\d+)', 1) AS BIGINT)"
-)
+def _drawings(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the SVGs among the names: sizes from ids, every line of the document as a drawn text."""
+    fn = filenames(spark, d).where("ext = 'svg'")
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(((F.length(x) % 100) * 1.0).cast("double").alias("x"), F.trim(x).alias("content"))), lambda t: t["content"] != "")
+    width = (100 + (F.col("id") - F.col("id") % 4) / 4).cast("double")
+    return fn.select(
+        "filename", width.alias("width"), F.when(F.col("id") % 20 == 0, "pt").otherwise("px").alias("width_unit"), F.lit(50.0).alias("height"), F.lit("px").alias("height_unit"),
+        F.when(F.col("id") % 3 == 0, F.lit(200.0)).alias("vb_width"), F.lit(None).cast("double").alias("vb_height"), lines.alias("texts"),
+    )
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """First pages of the PDFs among the names: every word of the document with a place; some can't be read."""
+    fn = filenames(spark, d).where("ext = 'pdf' AND id % 7 <> 0")
+    words = F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: F.struct(w.alias("text"), ((F.length(w) % 50) * 1.0).cast("double").alias("x_min")))
+    return fn.select("filename", (100 + (F.col("id") - F.col("id") % 4) / 4).cast("double").alias("width"), F.when(F.col("id") % 5 == 0, 53.0).otherwise(50.0).alias("height"), words.alias("words"))
+
+
+# the three signals of a pair, by unnesting: sizes in points, overlap of words, places of the first word of each text
+_PAIRS = """pg AS (SELECT filename AS pdf, 100 + (id - id % 4) / 4 AS p_width, CASE WHEN id % 5 = 0 THEN 53.0::DOUBLE ELSE 50.0::DOUBLE END AS p_height, string_split(coalesce(text, ''), ' ') AS w FROM fn WHERE ext = 'pdf' AND id % 7 <> 0)
+, dr AS (SELECT filename AS svg, (100 + (id - id % 4) / 4) * CASE WHEN id % 20 = 0 THEN 96.0::DOUBLE / 72 ELSE 1.0::DOUBLE END AS d_width, CASE WHEN id % 3 = 0 THEN 200.0::DOUBLE ELSE 100 + (id - id % 4) / 4 END AS d_span,
+  string_split(coalesce(text, ''), chr(10)) AS lines FROM fn WHERE ext = 'svg')
+, j AS (SELECT comp.*, d_width, d_span, p_width, p_height, pg.pdf IS NOT NULL AS readable, lines, coalesce(w, []) AS w FROM comp JOIN dr USING (svg) LEFT JOIN pg USING (pdf))
+, ow AS (SELECT svg, pdf, list_distinct(list_filter(flatten(list_transform(lines, lambda x: string_split(trim(x), ' '))), lambda x: x <> '')) AS sw, list_distinct(list_filter(w, lambda x: x <> '')) AS pw FROM j)
+, ov AS (SELECT svg, pdf, len(list_intersect(sw, pw)) AS i, len(sw) + len(pw) AS n FROM ow)
+, tx AS (SELECT svg, pdf, d_span, p_width, w, (length(line) % 100) * 1.0::DOUBLE AS x, list_filter(string_split(trim(line), ' '), lambda v: v <> '')[1] AS word FROM (SELECT *, unnest(lines) AS line FROM j WHERE readable))
+, xm AS (SELECT svg, pdf, count(*) AS x_total, count(*) FILTER (WHERE abs(x / d_span - ((length(word) % 50) * 1.0::DOUBLE) / p_width) < 0.02::DOUBLE) AS x_matches FROM tx WHERE word IS NOT NULL AND list_contains(w, word) GROUP BY svg, pdf)
+, sg AS (SELECT j.svg, j.pdf, j.gap, readable, CASE WHEN readable THEN greatest(abs(d_width - p_width), abs(50.0::DOUBLE - p_height)) ELSE CAST('inf' AS DOUBLE) END AS delta,
+  CASE WHEN n > 0 THEN CAST(i AS DOUBLE) / (n - i) ELSE 0.0::DOUBLE END AS overlap, n > 0 AS has_text, coalesce(x_matches, 0) AS x_matches, coalesce(x_total, 0) AS x_total
+  FROM j JOIN ov ON ov.svg = j.svg AND ov.pdf = j.pdf LEFT JOIN xm ON xm.svg = j.svg AND xm.pdf = j.pdf)
+, bs AS (SELECT *, CASE WHEN delta < 2 THEN 0.5::DOUBLE ELSE greatest(0.0::DOUBLE, 0.5::DOUBLE - delta / 100) END AS base, CASE WHEN x_total > 0 THEN CAST(x_matches AS DOUBLE) / x_total ELSE 0.0::DOUBLE END AS ratio FROM sg)
+, val AS (SELECT *, CASE WHEN NOT readable THEN 0.0::DOUBLE ELSE least(CASE WHEN has_text THEN base + 0.35::DOUBLE * overlap + 0.15::DOUBLE * ratio WHEN delta < 2 THEN least(base + 0.3::DOUBLE, 0.8::DOUBLE) ELSE base END, 1.0::DOUBLE) END AS confidence FROM bs)
+, prs AS (SELECT svg, pdf, gap FROM (SELECT *, row_number() OVER (PARTITION BY svg ORDER BY gap, pdf) AS n FROM val WHERE confidence >= 0.65::DOUBLE) WHERE n = 1)"""
+
+
+def companion_validate(spark: SparkSession, d: str) -> DataFrame:
+    v = companion.validated(companion.candidates(_items(spark, d)), _drawings(spark, d), _pages(spark, d))
+    return v.select("svg", "pdf", F.round("delta", 6).alias("delta"), F.round("overlap", 6).alias("overlap"), "x_matches", "x_total", F.round("confidence", 6).alias("confidence"), "is_pair")
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    found = companion.candidates(_items(spark, d))
-    valid = (S.trailing_id(S.stem(F.col("svg"))) + F.col("gap")) % 3 != 0  # stands for the validator
-    return companion.pairs(found, valid)
+    found = companion.validated(companion.candidates(_items(spark, d)), _drawings(spark, d), _pages(spark, d))
+    return companion.pairs(found, F.col("is_pair")).select("svg", "pdf", "gap")
 
 
 def companion_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -103,8 +142,11 @@ def companion_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def companion_absorb(spark: SparkSession, d: str) -> DataFrame:
-    prints = filenames(spark, d).select("filename", F.when(F.col("id") % 5 != 0, F.col("id") * 31).alias("ahash"), F.col("n_chars").alias("width"), (F.col("n_chars") % 100).alias("height"))
-    return companion.absorbed(prints, _pairs(spark, d))
+    fn = filenames(spark, d).where("id % 13 <> 0")
+    prints = fn.select("filename", F.col("n_chars").alias("size"), F.when(F.col("id") % 5 != 0, F.col("id") * 31).alias("ahash"), (F.col("id") * 17).alias("phash"),
+                       F.array((F.col("id") % 7).cast("double")).alias("moments"), F.col("n_chars").alias("width"), (F.col("n_chars") % 100).alias("height"))
+    out = companion.absorbed(prints, _pairs(spark, d))
+    return out.select("filename", "size", "ahash", "phash", F.element_at("moments", 1).alias("moment"), "width", "height", "borrowed_from")
 
 
 def export_companion(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +192,7 @@ def unit_to_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dimension_parse(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit(" "), F.when(F.col("doc_id") % 9 == 0, "auto").otherwise(F.concat(F.col("n_chars"), F.lit(".5"))), F.upper(F.expr(_UNITS)))
+    text = F.concat(F.lit(" "), F.when(F.col("doc_id") % 9 == 0, "auto").when(F.col("doc_id") % 9 == 1, F.concat(F.lit("-"), "n_chars", F.lit(".5"))).otherwise(F.concat(F.col("n_chars"), F.lit(".5"))), F.upper(F.expr(_UNITS)))
     return table(spark, d, "documents").select("doc_id", S.dimension_value(text).alias("value"), S.dimension_unit(text).alias("unit"))
 
 
@@ -170,16 +212,17 @@ def svg_x(spark: SparkSession, d: str) -> DataFrame:
 
 def rels_slide_media(spark: SparkSession, d: str) -> DataFrame:
     """Media of each slide with duplicates, from relationship parts made of the pages' links."""
-    parts = _rels(spark, d)
-    found = package.relationships(parts).where(F.lower("target").contains("/media/")).select(S.slide_number(F.col("path")).alias("slide_no"), S.basename(F.col("target")).alias("filename")).where("filename <> ''")
+    found = package.slide_media(_rels(spark, d))
     return found.groupBy("filename").agg(F.array_join(F.sort_array(F.collect_list("slide_no")), ",").alias("slides"))
 
 
-def _rels(spark: SparkSession, d: str) -> DataFrame:
+def _rels(spark: SparkSession, d: str, folder: F.Column | None = None) -> DataFrame:
+    """Relationship parts of slides, or of masters and layouts where folder says so."""
+    folder = F.lit("ppt/slides/_rels/slide") if folder is None else folder
     target = F.concat(F.when(F.length("target") % 4 == 0, "../other/").otherwise("../Media/"), F.regexp_replace("target", r"[^A-Za-z0-9]", ""), F.lit(".png"))
     one = F.concat(F.lit('<Relationship Id="r" Target="'), target, F.lit('"/>'))
     per = hrefs(spark, d).groupBy("slide_no").agg(F.concat(F.lit('<Relationships xmlns="urn:x">'), F.array_join(F.collect_list(one), ""), F.lit("</Relationships>")).alias("xml"))
-    return per.select(F.concat(F.lit("ppt/slides/_rels/slide"), "slide_no", F.lit(".xml.rels")).alias("path"), "xml")
+    return per.select(F.concat(folder, "slide_no", F.lit(".xml.rels")).alias("path"), "xml")
 
 
 _MEDIA = """media AS (SELECT slide_no, regexp_replace(target, '[^A-Za-z0-9]', '', 'g') || '.png' AS filename FROM hrefs WHERE length(target) % 4 <> 0)"""
@@ -190,27 +233,33 @@ def _media(spark: SparkSession, d: str) -> DataFrame:
 
 
 def master_only_media(spark: SparkSession, d: str) -> DataFrame:
-    m = _media(spark, d)
-    return patch.master_only(m.where("slide_no % 10 = 0"), m.where("slide_no % 10 = 1"), m.where("slide_no % 10 > 1"))
+    n = F.col("slide_no") % 10
+    parts = _rels(spark, d, F.when(n == 0, "ppt/slideMasters/_rels/slideMaster").when(n == 1, "ppt/slideLayouts/_rels/slideLayout").otherwise("ppt/slides/_rels/slide"))
+    masters = package.master_media(parts)
+    return patch.master_only(masters, masters.limit(0), package.slide_media(parts))
 
 
 def src_media_listing(spark: SparkSession, d: str) -> DataFrame:
     m = _media(spark, d)
     listing = patch.media_listing(m, m.where("slide_no % 10 > 3"), m.where("slide_no % 10 = 0").select("filename").distinct())
-    return listing.select("filename", F.array_join(F.transform("slides", lambda x: x.cast("string")), ",").alias("slides"))
+    return listing.select("filename", F.array_join(F.transform("slides", lambda x: x.cast("string")), ",").alias("slides"), "is_master_only")
 
 
 def src_asset_listing(spark: SparkSession, d: str) -> DataFrame:
-    fn = filenames(spark, d).withColumn("name", _asset_name()).where(S.is_image(F.col("name")) & ~S.is_preview(F.col("name")))
-    slides = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("turns"))
-    return fn.join(slides, "doc_id", "left").select(F.col("name").alias("filename"), F.coalesce(S.trailing_id(S.stem(F.col("name"))).cast("string"), F.lit("")).alias("object_id"), F.coalesce("turns", F.lit(0)).alias("n_slides"))
+    paths = filenames(spark, d).select(F.col("source").alias("package"), F.concat(F.lit("Data/"), _asset_name()).alias("path"))
+    refs = table(spark, d, "conversations").join(filenames(spark, d).select(F.col("source").alias("package"), F.col("doc_id").alias("conv_id")), "conv_id")
+    sets = refs.groupBy("package", F.col("conv_id").alias("data_ref")).agg(F.sort_array(F.collect_set("turn")).alias("slides"))
+    files = archive.data_files(paths)
+    listing = archive.asset_listing(files, archive.named_assets(sets, files))
+    return listing.select("package", "filename", "object_id", F.array_join(F.transform("slides", lambda x: x.cast("string")), ",").alias("slides"))
 
 
 def content_type_missing(spark: SparkSession, d: str) -> DataFrame:
     fn = filenames(spark, d)
     needed = fn.select(F.col("source").alias("package"), S.extension(_asset_name()).alias("ext"))
-    registered = fn.where("id % 2 = 0").select(F.col("source").alias("package"), "ext").distinct().where("length(package) % 2 = 0")
-    return patch.missing_content_types(needed, registered)
+    own = fn.where("id % 2 = 0 AND length(source) % 2 = 0").groupBy(F.col("source").alias("package")).agg(F.collect_set(F.concat(F.lit('<Default Extension="'), F.upper("ext"), F.lit('"/>'))).alias("types"))
+    parts = own.select("package", F.lit("[Content_Types].xml").alias("path"), F.concat(F.lit('<Types xmlns="urn:x">'), F.array_join("types", ""), F.lit("</Types>")).alias("xml"))
+    return patch.missing_content_types(needed, package.content_types(parts))
 
 
 def rewrite_refs(spark: SparkSession, d: str) -> DataFrame:
@@ -265,10 +314,10 @@ def graph_slide_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def first_message_type(spark: SparkSession, d: str) -> DataFrame:
-    """Archives whose first message is of type 2: orders with their lines as messages."""
+    """Archives whose first message is a show: orders with their lines as messages."""
     lines = table(spark, d, "lineitem")
     per = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber"), (F.col("l_partkey") % 3).alias("type")))).alias("messages"))
-    return per.where(F.try_element_at("messages", F.lit(1))["type"] == 2).select(F.col("l_orderkey").alias("id"))
+    return per.where(archive.is_show(F.col("messages"))).select(F.col("l_orderkey").alias("id"))
 
 
 def session_retention(spark: SparkSession, d: str) -> DataFrame:
@@ -277,11 +326,11 @@ def session_retention(spark: SparkSession, d: str) -> DataFrame:
 
 
 def first_wins(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("kept"))
+    return keyed.first_wins(table(spark, d, "events"), ["user_id"], "event_id").select("user_id", F.col("event_type").alias("kept"))
 
 
 def last_wins(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("kept"))
+    return keyed.last_wins(table(spark, d, "events"), ["user_id"], "event_id").select("user_id", F.col("event_type").alias("kept"))
 
 
 def visible_rect(spark: SparkSession, d: str) -> DataFrame:
@@ -305,8 +354,12 @@ _U = "(['px','pt','mm','cm','in','','em'])[doc_id % 7 + 1]"
 QUERIES = {
     "path_parts": (path_parts, """WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path FROM pages), b AS (SELECT page_id, path, string_split(path, '/')[-1] AS basename FROM p)
 SELECT page_id, basename, regexp_replace(basename, '\\.[^./]+$', '') AS stem, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS ext FROM b"""),
-    "strip_id": (strip_id, f"WITH {FN_SQL} SELECT doc_id, stem AS stripped, stem AS dropped FROM fn"),
-    "trailing_id": (trailing_id, f"WITH {FN_SQL} SELECT doc_id, doc_id AS id, CAST(NULL AS BIGINT) AS too_long FROM fn"),
+    "strip_id": (strip_id, f"""WITH {FN_SQL}, n AS (SELECT doc_id, stem AS plain, stem || ({list(_ENDINGS)})[doc_id % {len(_ENDINGS)} + 1] AS name FROM fn), p AS (SELECT *, string_split(name, '-') AS parts FROM n)
+, l AS (SELECT *, parts[-1] AS tail, length(name) - length(parts[-1]) - 1 AS cut FROM p)
+SELECT doc_id, plain, CASE WHEN len(parts) > 1 AND tail SIMILAR TO '[0-9]+' THEN substr(name, 1, cut) ELSE name END AS stripped,
+  CASE WHEN len(parts) > 1 AND tail SIMILAR TO '[0-9]*' THEN substr(name, 1, cut) ELSE name END AS dropped FROM l"""),
+    "trailing_id": (trailing_id, f"""WITH {FN_SQL}, n AS (SELECT doc_id, filename, string_split(stem || ({list(_ENDINGS)})[doc_id % {len(_ENDINGS)} + 1], '-') AS parts FROM fn)
+SELECT doc_id, TRY_CAST(split_part(split_part(filename, '-', 2), '.', 1) AS BIGINT) AS id, CASE WHEN len(parts) > 1 THEN TRY_CAST(CASE WHEN parts[-1] SIMILAR TO '[0-9]+' THEN parts[-1] END AS BIGINT) END AS edge, TRY_CAST(doc_id || '99999999999999999999' AS BIGINT) AS too_long FROM n"""),
     "slide_number": (slide_number, "SELECT page_id, CAST(CASE WHEN page_id % 3 <> 0 THEN page_id END AS INTEGER) AS slide_no FROM pages"),
     "ext_whitelist": (ext_whitelist, f"WITH {FN_SQL}, n AS (SELECT doc_id, {_ASSET} AS name FROM fn) SELECT doc_id, name FROM n WHERE {_IMAGE.format('name')}"),
     "preview_filter": (preview_filter, f"WITH {FN_SQL}, n AS (SELECT doc_id, {_ASSET} AS name FROM fn) SELECT doc_id, name FROM n WHERE NOT {_PREVIEW.format('name')}"),
@@ -318,9 +371,12 @@ SELECT doc_id, CASE e WHEN 'svg' THEN 'image/svg+xml' WHEN 'pdf' THEN 'applicati
 SELECT doc_id, stem || '_repl' || CASE WHEN n = 0 THEN '' ELSE CAST(n AS VARCHAR) END AS new_stem FROM n"""),
     "companion_candidates": (companion_candidates, f"WITH {FN_SQL}, {_COMP} SELECT svg, pdf, gap FROM comp"),
     "companion_pairs": (companion_pairs, f"WITH {FN_SQL}, {_COMP}, {_PAIRS} SELECT svg, pdf, gap FROM prs"),
-    "companion_absorb": (companion_absorb, f"""WITH {FN_SQL}, {_COMP}, {_PAIRS}, f AS (SELECT filename, CASE WHEN id % 5 <> 0 THEN id * 31 END AS ahash, n_chars AS width, n_chars % 100 AS height FROM fn)
-SELECT f.filename, CASE WHEN p.pdf IS NOT NULL THEN b.ahash ELSE f.ahash END AS ahash, CASE WHEN p.pdf IS NOT NULL THEN b.width ELSE f.width END AS width,
-  CASE WHEN p.pdf IS NOT NULL THEN b.height ELSE f.height END AS height, p.pdf AS borrowed_from
+    "companion_validate": (companion_validate, f"""WITH {FN_SQL}, {_COMP}, {_PAIRS} SELECT svg, pdf, round(delta, 6) AS delta, round(overlap, 6) AS overlap, CAST(x_matches AS INTEGER) AS x_matches, CAST(x_total AS INTEGER) AS x_total,
+  round(confidence, 6) AS confidence, confidence >= 0.65::DOUBLE AS is_pair FROM val"""),
+    "companion_absorb": (companion_absorb, f"""WITH {FN_SQL}, {_COMP}, {_PAIRS}, f AS (SELECT filename, n_chars AS size, CASE WHEN id % 5 <> 0 THEN id * 31 END AS ahash, id * 17 AS phash, CAST(id % 7 AS DOUBLE) AS moment, n_chars AS width, n_chars % 100 AS height FROM fn WHERE id % 13 <> 0)
+SELECT f.filename, f.size, CASE WHEN b.filename IS NOT NULL THEN b.ahash ELSE f.ahash END AS ahash, CASE WHEN b.filename IS NOT NULL THEN b.phash ELSE f.phash END AS phash,
+  CASE WHEN b.filename IS NOT NULL THEN b.moment ELSE f.moment END AS moment, CASE WHEN b.filename IS NOT NULL THEN b.width ELSE f.width END AS width,
+  CASE WHEN b.filename IS NOT NULL THEN b.height ELSE f.height END AS height, b.filename AS borrowed_from
 FROM f LEFT JOIN prs p ON f.filename = p.svg LEFT JOIN f b ON b.filename = p.pdf WHERE f.filename NOT IN (SELECT pdf FROM prs)"""),
     "export_companion": (export_companion, f"WITH {FN_SQL}, p AS (SELECT stem, min(filename) AS pdf FROM fn WHERE ext = 'pdf' GROUP BY stem) SELECT filename AS svg, pdf FROM fn LEFT JOIN p USING (stem) WHERE ext = 'svg'"),
     "pair_jaccard": (pair_jaccard, """WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> '')) AS w FROM documents)
@@ -335,16 +391,16 @@ SELECT doc_id, count(*) AS found, round(count(*) FILTER (WHERE abs(x - page_x) <
 , v AS (SELECT doc_id, round(least(CASE WHEN t THEN base + 0.35::DOUBLE * j + 0.15::DOUBLE * r WHEN delta < 2 THEN least(base + 0.3::DOUBLE, 0.8::DOUBLE) ELSE base END, 1.0::DOUBLE), 6) AS confidence FROM b)
 SELECT doc_id, confidence, confidence >= 0.65::DOUBLE AS is_pair FROM v"""),
     "unit_to_points": (unit_to_points, f"SELECT doc_id, round(n_chars * CASE {_U} WHEN 'pt' THEN 96.0::DOUBLE / 72 WHEN 'mm' THEN 72 / 25.4::DOUBLE WHEN 'cm' THEN 72 / 2.54::DOUBLE WHEN 'in' THEN 72.0::DOUBLE ELSE 1.0::DOUBLE END, 6) AS points FROM documents"),
-    "dimension_parse": (dimension_parse, f"""SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 0.0::DOUBLE ELSE n_chars + 0.5::DOUBLE END AS value,
+    "dimension_parse": (dimension_parse, f"""SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 0.0::DOUBLE WHEN doc_id % 9 = 1 THEN -(n_chars + 0.5::DOUBLE) ELSE n_chars + 0.5::DOUBLE END AS value,
   CASE WHEN doc_id % 9 = 0 THEN 'auto' || {_U} WHEN {_U} = '' THEN 'px' ELSE {_U} END AS unit FROM documents"""),
     "viewbox_parse": (viewbox_parse, "SELECT doc_id, CAST(CASE WHEN doc_id % 5 <> 0 THEN n_chars END AS DOUBLE) AS width, CAST(CASE WHEN doc_id % 5 <> 0 THEN doc_id END AS DOUBLE) AS height FROM documents"),
     "svg_x": (svg_x, "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN doc_id + 0.5::DOUBLE WHEN 1 THEN CAST(-doc_id AS DOUBLE) WHEN 2 THEN CAST(doc_id AS DOUBLE) END AS x FROM documents"),
     "rels_slide_media": (rels_slide_media, f"WITH {HREFS_SQL}, {_MEDIA} SELECT filename, array_to_string(list_sort(list(slide_no)), ',') AS slides FROM media GROUP BY filename"),
     "master_only_media": (master_only_media, f"WITH {HREFS_SQL}, {_MEDIA} SELECT DISTINCT filename FROM media WHERE slide_no % 10 <= 1 AND filename NOT IN (SELECT filename FROM media WHERE slide_no % 10 > 1)"),
     "src_media_listing": (src_media_listing, f"""WITH {HREFS_SQL}, {_MEDIA}, s AS (SELECT filename, list_sort(list(slide_no)) AS slides FROM media WHERE slide_no % 10 > 3 GROUP BY filename)
-SELECT filename, coalesce(array_to_string(slides, ','), '') AS slides FROM (SELECT DISTINCT filename FROM media WHERE filename NOT IN (SELECT filename FROM media WHERE slide_no % 10 = 0)) LEFT JOIN s USING (filename)"""),
-    "src_asset_listing": (src_asset_listing, f"""WITH {FN_SQL}, n AS (SELECT doc_id, {_ASSET} AS name FROM fn), c AS (SELECT conv_id AS doc_id, count(*) AS turns FROM conversations GROUP BY 1)
-SELECT name AS filename, regexp_extract(regexp_replace(name, '\\.[^./]+$', ''), '-(\\d+)$', 1) AS object_id, coalesce(turns, 0) AS n_slides FROM n LEFT JOIN c USING (doc_id)
+SELECT filename, coalesce(array_to_string(slides, ','), '') AS slides, false AS is_master_only FROM (SELECT DISTINCT filename FROM media WHERE filename NOT IN (SELECT filename FROM media WHERE slide_no % 10 = 0)) LEFT JOIN s USING (filename)"""),
+    "src_asset_listing": (src_asset_listing, f"""WITH {FN_SQL}, n AS (SELECT doc_id, source, {_ASSET} AS name FROM fn), c AS (SELECT conv_id AS doc_id, array_to_string(list_sort(list(DISTINCT turn)), ',') AS slides FROM conversations GROUP BY 1)
+SELECT source AS package, name AS filename, regexp_extract(regexp_replace(name, '\\.[^./]+$', ''), '-(\\d+)$', 1) AS object_id, coalesce(slides, '') AS slides FROM n LEFT JOIN c USING (doc_id)
 WHERE {_IMAGE.format('name')} AND NOT {_PREVIEW.format('name')}"""),
     "content_type_missing": (content_type_missing, f"""WITH {FN_SQL}, n AS (SELECT DISTINCT source AS package, lower(regexp_extract({_ASSET}, '\\.([^./]+)$', 1)) AS ext FROM fn)
 SELECT package, ext FROM n EXCEPT SELECT source, ext FROM fn WHERE id % 2 = 0 AND length(source) % 2 = 0"""),

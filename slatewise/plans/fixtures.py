@@ -71,3 +71,16 @@ def hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HREFS_SQL = "hrefs AS (SELECT page_id AS slide_no, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages)"
+
+_DECK = """SELECT side, filename, CAST((pk - pk % 5) / 5 AS BIGINT) AS slide_no FROM {fp} WHERE (pk % 5 = 0 AND pk % 11 <> 0) OR (pk % 5 = 1 AND pk % 3 <> 0) OR (pk % 5 = 2 AND pk % 7 = 0)
+  UNION ALL SELECT side, filename, CAST(pk / 5 + 1 AS BIGINT) AS slide_no FROM {fp} WHERE pk % 30 = 0"""
+
+
+def deck(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """items, prints, membership of parts: some items without a fingerprint or slide, some slides with two sources, some sources claimed twice."""
+    fp = fingerprints(spark, sf_dir)
+    prints = fp.where("pk % 29 <> 0").select("side", "filename", "ahash", "phash", "moments", "width", "height")
+    return fp.select("side", "filename", F.col("pk").alias("seq")), prints, spark.sql(_DECK, fp=fp)
+
+
+DECK_SQL = "prints AS (SELECT * FROM fp WHERE pk % 29 <> 0), deck AS (" + _DECK.format(fp="fp") + ")"

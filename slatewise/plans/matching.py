@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
 from slatewise.operators import fingerprint, match, patch, review
-from slatewise.plans.fixtures import FP_SQL, MEMBERS_SQL, fingerprints, membership, sides, table
+from slatewise.plans.fixtures import DECK_SQL, FP_SQL, MEMBERS_SQL, deck, fingerprints, membership, sides, table
 
 _FLOAT = "CAST({} AS FLOAT)"
 _GATE = """(NOT (coalesce(d.width > 0 AND d.height > 0 AND s.width > 0 AND s.height > 0, false))
@@ -93,42 +93,37 @@ def top3(spark: SparkSession, d: str) -> DataFrame:
     return _top(spark, d).select("degraded", F.array_join(_shown(), " ").alias("kept"))
 
 
-def _pinned(spark: SparkSession, d: str) -> DataFrame:
-    """Degraded items whose structural match is the source with the next key, as far as that exists."""
-    degraded, source = sides(spark, d)
-    pairs = degraded.withColumn("s_pk", F.col("pk") + 1)
-    own = pairs.select(*[F.col(c).alias(f"d_{c}") for c in degraded.columns], "s_pk")
-    other = source.select(*[F.col(c).alias(f"s_{c}") for c in source.columns if c != "pk"], F.col("pk").alias("s_pk"))
-    scored = match.scored(own.join(other, "s_pk"))
-    x = F.struct("score", F.col("source").alias("name"), F.col("s_ahash").alias("a"), F.col("s_phash").alias("p"), S.extension_priority(F.col("source_ext")).alias("priority"), "ahash_distance", "phash_distance")
-    return match.pinned(_top(spark, d), scored.select("degraded", F.lit(True).alias("is_structural"), x.alias("x")))
-
-
-_PINNED = f"""st AS (
-  SELECT d.filename AS degraded, {{'score': CAST(coalesce(bit_count(xor(d.phash, s.phash)), 64) AS FLOAT) + CASE WHEN d.moments IS NULL OR s.moments IS NULL THEN CAST('inf' AS FLOAT)
+_X = f"""{{'score': CAST(coalesce(bit_count(xor(d.phash, s.phash)), 64) AS FLOAT) + CASE WHEN d.moments IS NULL OR s.moments IS NULL THEN CAST('inf' AS FLOAT)
       ELSE CAST(sqrt((d.moments[1] - s.moments[1]) * (d.moments[1] - s.moments[1]) + (d.moments[2] - s.moments[2]) * (d.moments[2] - s.moments[2])
         + (d.moments[3] - s.moments[3]) * (d.moments[3] - s.moments[3])) AS FLOAT) END * CAST(20 AS FLOAT),
     'name': s.filename, 'a': s.ahash, 'p': s.phash, 'priority': {_PRIORITY.format('s.ext')}, 'ahash_distance': CAST(coalesce(bit_count(xor(d.ahash, s.ahash)), 64) AS INTEGER),
-    'phash_distance': CAST(coalesce(bit_count(xor(d.phash, s.phash)), 64) AS INTEGER)}} AS x
-  FROM fp d JOIN fp s ON d.side = 'degraded' AND s.side = 'source' AND s.pk = d.pk + 1
+    'phash_distance': CAST(coalesce(bit_count(xor(d.phash, s.phash)), 64) AS INTEGER)}}"""
+# the rules of the result table, one after another: one source on the slides, claimed by no other item, pinned in front of two of the
+# top three; the choice is the pinned one below 16, else the first of the top three below 16, else none
+_PINNED = f"""raw AS (
+  SELECT a.filename AS degraded, min(b.filename) AS source FROM deck a JOIN deck b ON a.side = 'degraded' AND b.side = 'source' AND a.slide_no = b.slide_no
+  GROUP BY a.filename HAVING count(DISTINCT b.filename) = 1
+), st AS (
+  SELECT u.degraded, CASE WHEN s.filename IS NOT NULL THEN {_X} END AS x
+  FROM (SELECT min(degraded) AS degraded, source FROM raw GROUP BY source HAVING count(*) = 1) u JOIN prints d ON d.filename = u.degraded LEFT JOIN prints s ON s.filename = u.source
 ), pin AS (
-  SELECT coalesce(k.degraded, st.degraded) AS degraded, st.degraded IS NOT NULL AS is_structural,
-    CASE WHEN st.degraded IS NULL THEN k.kept[1:3] ELSE list_concat([st.x], coalesce(list_filter(k.kept, lambda c: c.name <> st.x.name)[1:2], [])) END AS candidates
-  FROM kept k FULL JOIN st ON k.degraded = st.degraded
+  SELECT p.filename AS degraded, st.degraded IS NOT NULL AS is_structural, st.x, coalesce(k.kept[1:3], []) AS top3,
+    CASE WHEN st.x IS NULL THEN coalesce(k.kept[1:3], []) ELSE list_concat([st.x], coalesce(list_filter(k.kept[1:3], lambda c: c.name <> st.x.name)[1:2], [])) END AS candidates
+  FROM prints p LEFT JOIN kept k ON k.degraded = p.filename LEFT JOIN st ON st.degraded = p.filename WHERE p.side = 'degraded'
 ), map AS (
   SELECT *, {_quality_sql('candidates[1].phash_distance', 'is_structural')} AS quality,
-    CASE WHEN candidates[1].phash_distance < 16 THEN candidates[1].name ELSE 'skip' END AS choice FROM pin
+    CASE WHEN x.phash_distance < 16 THEN x.name WHEN top3[1].phash_distance < 16 THEN top3[1].name ELSE 'skip' END AS choice FROM pin
 )"""
 _ORDINAL = "CAST(list_position(['xml_exact', 'exact', 'strong', 'review', 'poor', 'no_match'], quality) - 1 AS INTEGER)"
-_MAP = f"WITH RECURSIVE {FP_SQL}, {_CAND}, {_THREE}, {_PINNED}"
+_MAP = f"WITH RECURSIVE {FP_SQL}, {DECK_SQL}, {_CAND.replace('FROM fp d JOIN fp s', 'FROM prints d JOIN prints s')}, {_THREE}, {_PINNED}"
 
 
 def _mapping(spark: SparkSession, d: str) -> DataFrame:
-    return match.mapping(_pinned(spark, d))
+    return match.matched(*deck(spark, d))
 
 
 def xml_pinned(spark: SparkSession, d: str) -> DataFrame:
-    return _pinned(spark, d).select("degraded", "is_structural", F.array_join(_shown("candidates"), " ").alias("candidates"))
+    return _mapping(spark, d).select("degraded", "is_structural", F.array_join(_shown("candidates"), " ").alias("candidates"))
 
 
 def mapping_order(spark: SparkSession, d: str) -> DataFrame:
@@ -166,14 +161,19 @@ def confirm_all(spark: SparkSession, d: str) -> DataFrame:
 def _overrides(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels")
     key = F.concat(F.lit("p"), F.col("doc_id"), F.lit(".svg"))
-    return labels.select(key.alias("degraded"), F.col("doc_id").alias("seq"), F.when(F.col("quality") == 1, F.concat(F.lit("p"), F.col("doc_id") + 1, F.lit(".pdf"))).otherwise("skip").alias("choice"))
+    choice = F.when(F.col("quality") == 1, F.concat(F.lit("p"), F.col("doc_id") + 1, F.lit(".pdf"))).otherwise("skip")
+    url = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("https://files.example/own/"), F.col("doc_id"), F.lit(".svg")))
+    return labels.select(key.alias("degraded"), F.col("doc_id").alias("seq"), choice.alias("choice"), url.alias("url"))
 
 
 def override_choice(spark: SparkSession, d: str) -> DataFrame:
-    return review.overridden(_mapping(spark, d), _overrides(spark, d)).select("degraded", "choice")
+    return review.overridden(_mapping(spark, d), _overrides(spark, d)).select("degraded", "choice", "custom_url")
 
 
-_OVERRIDDEN = """ov AS (SELECT 'p' || doc_id || '.svg' AS degraded, CASE WHEN quality = 1 THEN 'p' || (doc_id + 1) || '.pdf' ELSE 'skip' END AS choice FROM labels)"""
+_OVERRIDDEN = """ov AS (
+  SELECT 'p' || doc_id || '.svg' AS degraded, CASE WHEN doc_id % 4 = 0 THEN doc_id || '.svg' WHEN quality = 1 THEN 'p' || (doc_id + 1) || '.pdf' ELSE 'skip' END AS choice,
+    CASE WHEN doc_id % 4 = 0 THEN 'https://files.example/own/' || doc_id || '.svg' END AS url FROM labels
+), mo AS (SELECT m.* EXCLUDE (choice), coalesce(ov.choice, m.choice) AS choice, ov.url AS custom_url FROM map m LEFT JOIN ov ON m.degraded = ov.degraded)"""
 
 
 def pending_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +181,7 @@ def pending_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def patch_plan(spark: SparkSession, d: str) -> DataFrame:
-    return patch.plan(_mapping(spark, d), "embed_png")
+    return patch.plan(review.overridden(_mapping(spark, d), _overrides(spark, d)), "embed_png").drop("seq")
 
 
 def debug_mapping(spark: SparkSession, d: str) -> DataFrame:
@@ -211,9 +211,7 @@ def sibling_upgrade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slide_count_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    m = membership(spark, d)
-    per = m.agg(F.count_distinct(F.when(F.col("side") == "degraded", F.col("slide_no"))).alias("degraded_slides"), F.max(F.when(F.col("side") == "source", F.col("slide_no"))).alias("source_slides"))
-    return per.withColumn("mismatch", F.col("degraded_slides") != F.col("source_slides"))
+    return match.slide_counts(membership(spark, d))
 
 
 _RAW = """raw AS (
@@ -278,13 +276,15 @@ SELECT filename, quality, CASE quality WHEN 'xml_exact' THEN 'XML exact' WHEN 'n
     "default_choice": (default_choice, f"{_MAP} SELECT degraded, choice FROM map"),
     "review_filter": (review_filter, f"{_MAP} SELECT degraded, {_VIEW} AS view FROM map"),
     "confirm_all": (confirm_all, f"{_MAP} SELECT degraded, CASE WHEN choice = 'skip' AND len(candidates) > 0 THEN candidates[1].name ELSE choice END AS choice FROM map"),
-    "override_choice": (override_choice, f"{_MAP}, {_OVERRIDDEN} SELECT m.degraded, coalesce(ov.choice, m.choice) AS choice FROM map m LEFT JOIN ov ON m.degraded = ov.degraded"),
+    "override_choice": (override_choice, f"{_MAP}, {_OVERRIDDEN} SELECT degraded, choice, custom_url FROM mo"),
     "pending_summary": (pending_summary, f"""{_MAP} SELECT count(*) AS total, count(*) FILTER (WHERE choice <> 'skip') AS confirmed, count(*) FILTER (WHERE choice = 'skip') AS skipped,
-  count(*) FILTER (WHERE choice SIMILAR TO '.*\\.(svg|pdf)') AS vectors, count(*) FILTER (WHERE choice <> 'skip' AND NOT choice SIMILAR TO '.*\\.(svg|pdf)') AS rasters FROM map"""),
-    "patch_plan": (patch_plan, f"""{_MAP}, c AS (SELECT degraded, choice, regexp_extract(choice, '\\.([^./]+)$', 1) AS e, regexp_extract(degraded, '\\.([^./]+)$', 1) AS de FROM map WHERE choice <> 'skip')
+  count(*) FILTER (WHERE choice SIMILAR TO '.*\\.(svg|pdf)') AS vectors, count(*) FILTER (WHERE choice <> 'skip' AND NOT choice SIMILAR TO '.*\\.(svg|pdf)') AS rasters, count(*) FILTER (WHERE choice <> 'skip') > 0 AS can_apply FROM map"""),
+    "patch_plan": (patch_plan, f"""{_MAP}, {_OVERRIDDEN}, n AS (
+  SELECT degraded, custom_url, CASE WHEN custom_url IS NOT NULL OR list_contains(list_transform(candidates, lambda c: c.name), choice) THEN choice ELSE candidates[1].name END AS choice FROM mo WHERE choice <> 'skip'
+), c AS (SELECT degraded, choice, custom_url, regexp_extract(choice, '\\.([^./]+)$', 1) AS e, regexp_extract(degraded, '\\.([^./]+)$', 1) AS de FROM n WHERE choice IS NOT NULL)
 SELECT degraded AS old_name, regexp_replace(degraded, '\\.[^./]+$', '') || '_repl.' || CASE WHEN e IN ('svg', 'pdf') THEN 'png' ELSE de END AS new_name, choice AS source_name,
   CASE WHEN e IN ('svg', 'pdf') THEN e ELSE 'raster' END AS kind,
-  CASE CASE WHEN e IN ('svg', 'pdf') THEN 'png' ELSE de END WHEN 'svg' THEN 'image/svg+xml' WHEN 'pdf' THEN 'application/pdf' WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' ELSE 'application/octet-stream' END AS mime FROM c"""),
+  CASE CASE WHEN e IN ('svg', 'pdf') THEN 'png' ELSE de END WHEN 'svg' THEN 'image/svg+xml' WHEN 'pdf' THEN 'application/pdf' WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' ELSE 'application/octet-stream' END AS mime, custom_url AS url FROM c"""),
     "debug_mapping": (debug_mapping, f"""{_MAP} SELECT degraded AS filename, quality, is_structural AS is_xml_exact, choice AS confirmed_match, CAST(len(candidates) AS INTEGER) AS n_candidates,
   coalesce(candidates[1].ahash_distance, 64) AS ahash_distance, CASE WHEN candidates[1].score < CAST('inf' AS FLOAT) THEN round(candidates[1].score, 2) END AS combined_score FROM map"""),
     "slide_label": (slide_label, f"""WITH {MEMBERS_SQL}, s AS (SELECT filename, list_sort(list(DISTINCT slide_no)) AS slides FROM membership GROUP BY filename)

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
+from slatewise.operators import keyed
 from slatewise.shipping import ship
 
 MESSAGES = "array<struct<type: bigint, length: bigint, object_refs: array<bigint>, data_refs: array<bigint>>>"
@@ -135,7 +136,7 @@ def archives_of(stream: bytes) -> list[tuple[int, list[tuple], bytes]]:
 
 
 def decoded(entries: DataFrame) -> DataFrame:
-    """archives of the .iwa entries under Index/. A broken file has none. entries: package, path, bytes."""
+    """package and archives of the .iwa entries directly under Index/. A broken file has none. entries: package, path, bytes."""
     ship(entries.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,16 +152,45 @@ def decoded(entries: DataFrame) -> DataFrame:
                     rows.append((package, identifier, bool(template), infos, payload))
             yield pd.DataFrame(rows, columns=["package", "id", "is_template", "message_infos", "payload"])
 
-    own = entries.where(F.col("path").rlike(r"(^|/)Index/.*\.iwa$")).select("package", S.is_template(F.col("path")).alias("is_template"), "bytes")
+    own = entries.where(F.col("path").rlike(r"(^|/)Index/[^/]*\.iwa$")).select("package", S.is_template(S.basename(F.col("path"))).alias("is_template"), "bytes")
     return own.mapInPandas(run, f"package string, {ARCHIVES}")
 
 
 def object_edges(archives: DataFrame) -> DataFrame:
-    return archives.select(F.col("id").alias("src"), F.explode(F.flatten(F.transform("message_infos", lambda m: m["object_refs"]))).alias("dst"))
+    """package, src, dst: the objects that an object's messages refer to."""
+    return archives.select("package", F.col("id").alias("src"), F.explode(F.flatten(F.transform("message_infos", lambda m: m["object_refs"]))).alias("dst"))
 
 
 def data_edges(archives: DataFrame) -> DataFrame:
-    return archives.select(F.col("id").alias("obj"), F.explode(F.flatten(F.transform("message_infos", lambda m: m["data_refs"]))).alias("data_ref"))
+    """package, obj, data_ref: the data files that an object's messages refer to."""
+    return archives.select("package", F.col("id").alias("obj"), F.explode(F.flatten(F.transform("message_infos", lambda m: m["data_refs"]))).alias("data_ref"))
+
+
+def template_nodes(archives: DataFrame) -> DataFrame:
+    return archives.where("is_template").select("package", F.col("id").alias("node"))
+
+
+def data_files(entries: DataFrame) -> DataFrame:
+    """package, filename, data_ref of the files directly under Data/; data_ref is null for a name without an id. entries: package, path."""
+    own = entries.where(F.col("path").rlike(r"(^|/)Data/[^/]+$"))
+    return own.select("package", S.basename(F.col("path")).alias("filename")).withColumn("data_ref", S.trailing_id(S.stem(F.col("filename")))).distinct()
+
+
+def named_assets(sets: DataFrame, files: DataFrame) -> DataFrame:
+    """package, filename, slides: slide sets by data_ref as those of files; refs without a file go, and of files with one ref the last name wins.
+
+    sets: package, data_ref, slides. files: as data_files() gives them.
+    """
+    named = keyed.last_wins(files.where("data_ref IS NOT NULL"), ["package", "data_ref"], "filename")
+    return sets.join(named, ["package", "data_ref"]).select("package", "filename", "slides")
+
+
+def asset_listing(files: DataFrame, assets: DataFrame) -> DataFrame:
+    """package, filename, object_id, slides of the image files of a source deck, previews left out. assets: as named_assets() gives them."""
+    own = files.where(S.is_image(F.col("filename")) & ~S.is_preview(F.col("filename")))
+    joined = own.join(assets.select("package", "filename", "slides"), ["package", "filename"], "left")
+    slides = F.coalesce("slides", F.array().cast(assets.schema["slides"].dataType))
+    return joined.select("package", "filename", F.coalesce(F.col("data_ref").cast("string"), F.lit("")).alias("object_id"), slides.alias("slides"))
 
 
 def show_slides(payload: bytes) -> list[int]:
@@ -174,19 +204,24 @@ def show_slides(payload: bytes) -> list[int]:
     return out
 
 
+def is_show(message_infos: Column) -> Column:
+    """Whether an archive's first message is a show."""
+    return F.coalesce(F.try_element_at(message_infos, F.lit(1))["type"] == SHOW, F.lit(False))
+
+
 def slide_roots(archives: DataFrame) -> DataFrame:
-    """slide_no from 1, node of the slides of show archives (the first message is of type 2)."""
+    """package, slide_no from 1, node of the slides of show archives (the first message is of type 2)."""
     ship(archives.sparkSession)
-    shows = archives.where(F.try_element_at("message_infos", F.lit(1))["type"] == SHOW).select("payload")
+    shows = archives.where(is_show(F.col("message_infos"))).select("package", "payload")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for payload in batch["payload"]:
+            for package, payload in zip(batch["package"], batch["payload"]):
                 try:
-                    rows += [(i + 1, node) for i, node in enumerate(show_slides(bytes(payload)))]
+                    rows += [(package, i + 1, node) for i, node in enumerate(show_slides(bytes(payload)))]
                 except Broken:
                     continue
-            yield pd.DataFrame(rows, columns=["slide_no", "node"]).astype({"slide_no": "int32", "node": "int64"})
+            yield pd.DataFrame(rows, columns=["package", "slide_no", "node"]).astype({"slide_no": "int32", "node": "int64"})
 
-    return shows.mapInPandas(run, "slide_no int, node bigint")
+    return shows.mapInPandas(run, "package string, slide_no int, node bigint")

@@ -1,8 +1,8 @@
-"""Fingerprints of decoded images, with numpy over Arrow batches; renderers of vector files are plugged in."""
+"""Fingerprints of decoded images, with numpy over Arrow batches. Vector files are not drawn: they give an error row."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,9 +15,6 @@ from slatewise.shipping import ship
 PRINTS = "filename string, size bigint, ahash bigint, phash bigint, moments array<float>, width int, height int, error string"
 LONGEST = 256
 
-#: Renderers by extension: bytes -> RGBA array, or None. Without one a vector file gives an error row.
-RENDERERS: dict[str, Callable[[bytes], np.ndarray | None]] = {}
-
 
 def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Box-averaged (or repeated, when larger) to height x width."""
@@ -29,7 +26,8 @@ def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
         part = np.clip(np.minimum(high, cells + 1) - np.maximum(low, cells), 0, None)
         return part / part.sum(axis=1, keepdims=True)
 
-    return np.einsum("ij,jkc,lk->ilc", weights(image.shape[0], height), image.astype(float), weights(image.shape[1], width))
+    rows = np.tensordot(weights(image.shape[0], height), image.astype(np.float32), axes=(1, 0))
+    return np.tensordot(rows, weights(image.shape[1], width), axes=(1, 1)).transpose(0, 2, 1)
 
 
 def on_background(rgba: np.ndarray) -> np.ndarray:
@@ -65,7 +63,7 @@ def fingerprint(rgba: np.ndarray) -> tuple[int, int, list[float]]:
 
 
 def fingerprints(spark: SparkSession, files: str) -> DataFrame:
-    """One row per file: rasters through Spark's image reader, vector files through RENDERERS; what can't be drawn has an error."""
+    """One row per file: rasters through Spark's image reader; what that can't read, vector files among it, has an error."""
     ship(spark)
     sizes = spark.read.format("binaryFile").load(files).select("path", F.col("length").alias("size"))
     rasters = spark.read.format("image").option("dropInvalid", True).load(files)

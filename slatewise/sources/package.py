@@ -55,16 +55,18 @@ def relationships(parts: DataFrame) -> DataFrame:
 
 
 def slide_media(parts: DataFrame) -> DataFrame:
-    """slide_no, filename for each media reference of slides, duplicates kept. parts: path, xml."""
+    """slide_no, filename for each media reference of slides, duplicates kept, and package where parts have it. parts: path, xml."""
     rels = relationships(parts.where(F.col("path").rlike(r"ppt/slides/_rels/[^/]*\.rels$")))
     found = rels.where(F.lower("target").contains("/media/"))
-    return found.select(S.slide_number(F.col("path")).alias("slide_no"), S.basename(F.col("target")).alias("filename")).where("filename <> '' AND slide_no IS NOT NULL")
+    package = [c for c in ("package",) if c in parts.columns]
+    return found.select(*package, S.slide_number(F.col("path")).alias("slide_no"), S.basename(F.col("target")).alias("filename")).where("filename <> '' AND slide_no IS NOT NULL")
 
 
 def master_media(parts: DataFrame) -> DataFrame:
-    """filename of media that masters or layouts refer to."""
+    """filename, and package where parts have it, of media that masters or layouts refer to."""
+    package = [c for c in ("package",) if c in parts.columns]
     rels = relationships(parts.where(F.col("path").rlike(r"ppt/(slideMasters|slideLayouts)/_rels/[^/]*\.rels$")))
-    return rels.where(F.lower("target").contains("/media/")).select(S.basename(F.col("target")).alias("filename")).distinct()
+    return rels.where(F.lower("target").contains("/media/")).select(*package, S.basename(F.col("target")).alias("filename")).where("filename <> ''").distinct()
 
 
 def content_types(parts: DataFrame) -> DataFrame:

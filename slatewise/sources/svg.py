@@ -16,7 +16,7 @@ METRICS = (
     "filename string, width double, width_unit string, height double, height_unit string, vb_width double, vb_height double,"
     " texts array<struct<x: double, content: string>>"
 )
-_LENGTH = re.compile(r"^\s*([0-9.]*)\s*(.*?)\s*$", re.S)
+_LENGTH = re.compile(r"^\s*([0-9.-]*)(.*?)\s*$", re.S)
 _MATRIX = re.compile(r"matrix\(([^)]*)\)")
 _TRANSLATE = re.compile(r"translate\(([^)]*)\)")
 
@@ -67,7 +67,7 @@ class _Reader(xml.sax.ContentHandler):
         elif name == "text":
             self.x, self.parts = place(attrs), []
         elif name == "tspan" and self.parts is not None and self.x is None:
-            self.x = number(attrs.get("x"))
+            self.x = place(attrs)
 
     def characters(self, content):
         if self.parts is not None:

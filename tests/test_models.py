@@ -111,14 +111,21 @@ def test_pinned(spark):
     kind = "array<struct<score: float, name: string, a: bigint, p: bigint, priority: int, ahash_distance: int, phash_distance: int>>"
     c = lambda n, d: (float(d), n, 1, 1, 0, d, d)
     top = spark.createDataFrame([("a", [c("x", 1), c("y", 2), c("z", 3)]), ("b", [c("x", 20)]), ("c", [c("q", 0)])], f"degraded string, kept {kind}")
-    st = spark.createDataFrame([("a", True, c("y", 2)), ("b", True, None), ("d", True, c("w", 20))], f"degraded string, is_structural boolean, x {kind[6:-1]}")
-    got = {r.degraded: r for r in match.mapping(match.pinned(top, st)).collect()}
+    top = top.union(spark.createDataFrame([("f", [c("near", 2), c("x", 9)])], top.schema))
+    st = spark.createDataFrame([("a", c("y", 2)), ("b", None), ("d", c("w", 20)), ("f", c("far", 30))], f"degraded string, x {kind[6:-1]}")
+    degraded = spark.createDataFrame([(n,) for n in "abcdef"], "degraded string")
+    whole = match.mapping(match.pinned(degraded, top, st))
+    got = {r.degraded: r for r in whole.collect()}
     assert [k.name for k in got["a"].candidates] == ["y", "x", "z"] and got["a"].quality == "xml_exact" and got["a"].choice == "y"
     assert got["b"].is_structural and got["b"].quality == "poor" and got["b"].choice == "skip"
     import json
 
-    debug = json.loads(review.debug_json(match.mapping(match.pinned(top, st))).where("degraded = 'a'").head().json)
+    debug = json.loads(review.debug_json(whole, spark.createDataFrame([("a", [1, 4])], "degraded string, slides array<bigint>")).where("degraded = 'a'").head().json)
     assert debug["confirmed_match"] == "y" and [k["user_confirmed"] for k in debug["candidates"]] == [True, False, False] and debug["candidates"][0]["combined_score"] == 2.0
+    assert debug["slides"] == [1, 4] and debug["candidates"][0]["cm_distance"] == 0.0
+    # a far structural match is shown first, but the near candidate is chosen; an item with neither is a row
+    assert [k.name for k in got["f"].candidates] == ["far", "near", "x"] and got["f"].quality == "no_match" and got["f"].choice == "near"
+    assert got["e"].candidates == [] and got["e"].quality == "no_match" and got["e"].choice == "skip"
     assert got["c"].quality == "exact" and [k.name for k in got["d"].candidates] == ["w"] and got["d"].choice == "skip"
 
 
@@ -144,3 +151,66 @@ def test_rewrite_in_plan_order(spark):
     parts = spark.createDataFrame([("p", "a.rels", "x.png y.png"), ("q", "b.rels", "x.png")], "package string, path string, xml string")
     plan = spark.createDataFrame([("p", 2, "x_repl.png", "z.png"), ("p", 1, "x.png", "x_repl.png")], "package string, seq int, old string, new string")
     assert {r.path: r.xml for r in patch.rewrite(parts, plan).collect()} == {"a.rels": "z.png y.png", "b.rels": "x.png"}
+
+
+def test_plan_order_and_files(spark):
+    kind = "array<struct<score: float, name: string, a: bigint, p: bigint, priority: int, ahash_distance: int, phash_distance: int>>"
+    c = lambda n: (1.0, n, 1, 1, 0, 1, 1)
+    rows = [("x.jpg", [c("s-1.svg")], 3, "s-1.svg", None), ("x.png", [c("r.tiff")], 1, "gone", None), ("y.png", [], 0, "s.svg", None), ("z.gif", [], 2, "own.pdf", "file:/a/own.pdf"), ("w.png", [c("s-1.svg")], 5, "skip", None)]
+    mapping = spark.createDataFrame(rows, f"degraded string, candidates {kind}, ordinal int, choice string, custom_url string")
+    plan = patch.plan(mapping, "embed_png")
+    assert {r.old_name: (r.new_name, r.source_name, r.url) for r in plan.collect()} == {"x.png": ("x_repl.png", "r.tiff", None), "x.jpg": ("x_repl1.png", "s-1.svg", None), "z.gif": ("z_repl.png", "own.pdf", "file:/a/own.pdf")}
+    files = spark.createDataFrame([("s-1.svg", b"svg"), ("s-7.pdf", b"pdf"), ("r.tiff", b"tiff"), ("own.pdf", b"own")], "filename string, bytes binary")
+    made = lambda p: {r.new_name: (r.bytes and bytes(r.bytes), r.render_from) for r in patch.materialised(p, files).collect()}
+    assert made(plan) == {"x_repl.png": (b"tiff", None), "x_repl1.png": (None, "s-7.pdf"), "z_repl.png": (None, "own.pdf")}
+    assert made(patch.plan(mapping)) == {"x_repl.png": (b"tiff", None), "x_repl1.svg": (b"svg", None), "z_repl.pdf": (b"own", None)}
+
+
+def test_matched_is_whole(spark):
+    """Items without a fingerprint give no row, those without candidates give one; a source that two items claim pins neither."""
+    h = 0x0F0F0F0F0F0F0F0F
+    far = ~h
+    prints = [("degraded", "a.png", h, h, None, 10, 10), ("degraded", "b.png", far, far, None, 10, 10), ("degraded", "c.png", h, h, None, 10, 10), ("source", "s.svg", h, h, None, 10, 10), ("source", "t.pdf", far, h, None, 10, 10)]
+    items = [(p[0], p[1], n) for n, p in enumerate(prints)] + [("degraded", "none.png", 9), ("source", "s.svg", 10)]
+    members = [("degraded", "a.png", 1), ("source", "t.pdf", 1), ("degraded", "b.png", 2), ("degraded", "c.png", 3), ("source", "s.svg", 3), ("degraded", "none.png", 4), ("source", "s.svg", 4)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = {r.degraded: r for r in match.matched(
+        frame(items, "side string, filename string, seq int"),
+        frame(prints, "side string, filename string, ahash bigint, phash bigint, moments array<double>, width int, height int"),
+        frame(members, "side string, filename string, slide_no bigint"),
+    ).collect()}
+    assert sorted(got) == ["a.png", "b.png", "c.png"]
+    assert got["a.png"].is_structural and [c.name for c in got["a.png"].candidates] == ["t.pdf", "s.svg"] and got["a.png"].choice == "t.pdf"
+    assert not got["c.png"].is_structural and got["c.png"].choice == "s.svg" and got["c.png"].quality == "exact"
+    assert [c.name for c in got["b.png"].candidates] == ["t.pdf"] and got["b.png"].choice == "skip"
+
+
+def test_validator(spark):
+    from slatewise.operators import companion
+
+    metrics = "filename string, width double, width_unit string, height double, height_unit string, vb_width double, vb_height double, texts array<struct<x: double, content: string>>"
+    drawings = spark.createDataFrame([
+        ("same.svg", 72.0, "pt", 36.0, "pt", 100.0, 50.0, [(10.0, "Hello  world"), (50.0, "axis")]),
+        ("bare.svg", 96.0, "px", 48.0, "px", None, None, []),
+        ("other.svg", 300.0, "px", 48.0, "px", None, None, [(10.0, "Hello")]),
+    ], metrics)
+    pages = spark.createDataFrame([("p.pdf", 96.0, 48.0, [("Hello", 9.6), ("world", 30.0), ("axis", 90.0)]), ("empty.pdf", 96.0, 48.0, [])], "filename string, width double, height double, words array<struct<text: string, x_min: double>>")
+    found = spark.createDataFrame([("same.svg", "p.pdf", 1), ("bare.svg", "empty.pdf", 1), ("other.svg", "p.pdf", 2), ("same.svg", "lost.pdf", 3)], "svg string, pdf string, gap int")
+    got = {(r.svg, r.pdf): (round(r.confidence, 4), r.is_pair, r.x_matches, r.x_total) for r in companion.validated(found, drawings, pages).collect()}
+    assert got == {("same.svg", "p.pdf"): (0.925, True, 1, 2), ("bare.svg", "empty.pdf"): (0.8, True, 0, 0), ("other.svg", "p.pdf"): (0.1167, False, 0, 1), ("same.svg", "lost.pdf"): (0.0, False, 0, 0)}
+
+
+def test_absorbed(spark):
+    from slatewise.operators import companion
+
+    schema = "filename string, size bigint, ahash bigint, phash bigint, moments array<double>, width int, height int, error string"
+    rows = [("a.svg", 1, 10, 11, [1.0], 5, 5, "e"), ("a.pdf", 2, None, 21, None, 7, 8, None), ("b.svg", 3, 30, 31, [3.0], 5, 5, None)]
+    chosen = spark.createDataFrame([("a.svg", "a.pdf"), ("b.svg", "lost.pdf")], "svg string, pdf string")
+    got = {r.filename: tuple(r)[1:] for r in companion.absorbed(spark.createDataFrame(rows, schema), chosen).collect()}
+    assert got == {"a.svg": (1, None, 21, None, 7, 8, "e", "a.pdf"), "b.svg": (3, 30, 31, [3.0], 5, 5, None, None)}
+
+
+def test_formats(spark):
+    rows = [(1, 0), (999, 255), (12_345, -1), (3_449_999, None), (2_500_000_000, 1)]
+    got = [tuple(r) for r in spark.createDataFrame(rows, "size bigint, hash bigint").select(S.byte_count(F.col("size")), S.hex_hash(F.col("hash"))).collect()]
+    assert got == [("1 byte", "0" * 16), ("999 bytes", "00000000000000ff"), ("12 KB", "f" * 16), ("3.4 MB", None), ("2.50 GB", "0" * 15 + "1")]

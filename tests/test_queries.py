@@ -16,5 +16,5 @@ def test_query(spark, sql, name):
 
 
 def test_entry(spark):
-    assert __spark_entry__.entry(spark).count() == 40
+    assert __spark_entry__.entry(spark).count() == 38
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(QUERIES) <= set(__spark_entry__.oracle_sql())

@@ -69,10 +69,10 @@ def test_zip_entries(spark, deck):
 def test_relationships_and_listing(spark, deck):
     parts = package.text(package.entries(spark, f"{deck}/a.pptx", r"\.(rels|xml)$"))
     media = package.slide_media(parts)
-    assert sorted(map(tuple, media.collect())) == [(1, "image1.png"), (1, "image1.png"), (2, "image1.png"), (2, "image2.png")]
+    assert sorted(map(tuple, media.select("slide_no", "filename").collect())) == [(1, "image1.png"), (1, "image1.png"), (2, "image1.png"), (2, "image2.png")]
     only = patch.master_only(package.master_media(parts), package.master_media(parts), media)
     assert [r.filename for r in only.collect()] == ["logo.png"]
-    files = package.entries(spark, f"{deck}/a.pptx", "^ppt/media/").selectExpr("element_at(split(path, '/'), -1) AS filename")
+    files = package.entries(spark, f"{deck}/a.pptx", "^ppt/media/").selectExpr("package", "element_at(split(path, '/'), -1) AS filename")
     listing = {r.filename: r.slides for r in patch.media_listing(files, media, only).collect()}
     assert listing == {"image1.png": [1, 1, 2], "image2.png": [2], "orphan.png": []}
 
@@ -92,9 +92,9 @@ def test_archives(spark, deck):
     found = archive.decoded(package.entries(spark, f"{deck}/a.key")).cache()
     assert sorted((r.id, r.is_template) for r in found.collect()) == [(1, False), (10, False), (11, False), (20, False), (30, True), (40, False)]
     roots = archive.slide_roots(found)
-    assert sorted(map(tuple, roots.collect())) == [(1, 10), (2, 11)]
-    reached = graph.reachable(roots, archive.object_edges(found), found.where("is_template").selectExpr("id AS node"))
-    assert sorted(map(tuple, reached.collect())) == [(1, 10), (1, 20), (2, 10), (2, 11), (2, 20)]
+    assert sorted(map(tuple, roots.select("slide_no", "node").collect())) == [(1, 10), (2, 11)]
+    reached = graph.reachable(roots, archive.object_edges(found), archive.template_nodes(found))
+    assert sorted(map(tuple, reached.select("slide_no", "node").collect())) == [(1, 10), (1, 20), (2, 10), (2, 11), (2, 20)]
     sets = graph.slide_assets(reached, archive.data_edges(found))
     assert {r.data_ref: r.slides for r in sets.collect()} == {1: [1, 2], 2: [1, 2]}
 
@@ -145,3 +145,49 @@ def test_svg_metrics(spark):
     [got] = svg.metrics(rows).collect()
     assert (got.width, got.width_unit, got.height, got.height_unit, got.vb_width, got.vb_height) == (2.5, "cm", 0.0, "x", 10.0, 20.0)
     assert [(t.x, t.content) for t in got.texts] == [(7.5, "Hi you"), (4.0, "late"), (-3.0, "t")]
+
+
+def test_decks_stay_apart(spark, tmp_path):
+    """Two decks with the same ids, slides and file names; nested archives and files are no part of a deck."""
+    show = field(3, field(2, field(1, 10)))
+    for name, refs, extra in (("a.key", [1], "Index/x/Nested.iwa"), ("b.key", [2], "Data/sub/deep-1.png")):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("Index/Document.iwa", chunk(one_archive(1, 2, payload=show) + one_archive(10, 5, [20], []) + one_archive(20, 6, [], refs)))
+            z.writestr(extra, chunk(one_archive(99, 2, payload=show)))
+            for n in ("pic-1.png", "pic-2.svg", "pic-0001.pdf", "st-ab-9.png", "notes.txt", "plain.png"):
+                z.writestr(f"Data/{n}", n)
+    entries = package.entries(spark, f"{tmp_path}/*").cache()
+    found = archive.decoded(entries).cache()
+    assert found.where("id = 99").count() == 0
+    roots = archive.slide_roots(found)
+    assert roots.count() == 2
+    sets = graph.slide_assets(graph.reachable(roots, archive.object_edges(found), archive.template_nodes(found)), archive.data_edges(found))
+    files = archive.data_files(entries)
+    got = {(r.package[-5:], r.filename): (r.object_id, r.slides) for r in archive.asset_listing(files, archive.named_assets(sets, files)).collect()}
+    assert got == {
+        ("a.key", "pic-1.png"): ("1", [1]), ("a.key", "pic-2.svg"): ("2", []), ("a.key", "pic-0001.pdf"): ("1", []), ("a.key", "plain.png"): ("", []),
+        ("b.key", "pic-1.png"): ("1", []), ("b.key", "pic-2.svg"): ("2", [1]), ("b.key", "pic-0001.pdf"): ("1", []), ("b.key", "plain.png"): ("", []),
+    }
+
+
+def test_listing_of_two_packages(spark):
+    files = spark.createDataFrame([("p", "b.png"), ("p", "a.png"), ("q", "a.png")], "package string, filename string")
+    members = spark.createDataFrame([("p", "a.png", 3), ("p", "a.png", 1)], "package string, filename string, slide_no bigint")
+    only = spark.createDataFrame([("q", "a.png")], "package string, filename string")
+    assert [tuple(r) for r in patch.media_listing(files, members, only).collect()] == [("p", "a.png", [1, 3], False), ("p", "b.png", [], False)]
+
+
+def test_large_picture():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    picture = rng.integers(0, 256, (2000, 3000, 4), dtype=np.uint8)
+    picture[..., 3] = 255
+    began = time.time()
+    images.fingerprint(picture)
+    assert time.time() - began < 20
+    small = picture[:40, :60]
+    want = small.reshape(8, 5, 12, 5, 4).mean(axis=(1, 3))
+    assert np.allclose(images.resized(small, 8, 12), want, atol=1e-3)
