@@ -94,6 +94,41 @@ def test_suffix_hard(hard, empty):
     assert suffix_dedup.deduplicated(empty).count() == 0
 
 
+def weak(seed):
+    """Few different symbols for the first seed: many strings agree by hash alone."""
+    return (np.arange(256, dtype=np.uint64) % np.uint64(3) if seed == 0 else np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(seed)
+
+
+def test_collisions_change_nothing(spark, documents, monkeypatch):
+    monkeypatch.setattr(repeats, "symbol_table", weak)
+    monkeypatch.setattr(suffix_dedup, "symbol_table", weak)
+    tried = []
+    whole = repeats.spans_found
+    for module in (suffix_dedup, substring_dedup):
+        monkeypatch.setattr(module, "spans_found", lambda base, is_bytes, k, m, seed: (tried.append(seed), whole(base, is_bytes, k, m, seed))[1])
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(rng.randrange(2, 9))) for _ in range(80))
+    twin = "".join(chr(ord(x) + 3) if x != " " else x for x in text)  # the same symbols under the first seed
+    rows = [(n, t) for n, t in sorted(documents.items()) if t and len(t) < 3000][:40]
+    rows += [(5000, text), (5001, twin), (5002, "one more " + twin), (5003, text[:300] + twin[300:]), (5004, twin[200:])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = pairs_of(suffix_dedup.deduplicated(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == suffix_brute(rows) and tried[-1] > 0
+    tried.clear()
+    got = pairs_of(substring_dedup.deduplicated(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == substring_brute(rows) and tried[-1] > 0
+
+
+def test_passages(spark):
+    w, x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "wxyz")
+    rows = [(1, f"{x} {y}"), (2, f"{x} {y}"), (3, f"own {z} {x}"), (4, f"{z} end"), (5, None), (6, "short")]
+    found = lambda rows: sorted((r.n_words, r.copies, r.doc_id, r["at"]) for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    # no repeated edge but that to y leaves x: one path of both; z is another
+    assert found(rows) == [(60, 2, 3, 1), (120, 2, 1, 0)]
+    # the node at the end of x branches to y and w: x is a path of its own
+    assert found(rows + [(7, f"{x} {w}"), (8, f"{x} {w}")]) == [(60, 2, 3, 1), (60, 5, 1, 0), (94, 2, 1, 26), (94, 2, 7, 26)]
+
+
 def test_suffix_row_twice(spark):
     text = " ".join(f"word{i * i}" for i in range(60))
     rows = [(1, text), (1, text), (2, "p" + text + "q")]
@@ -107,8 +142,8 @@ def test_suffix_documents(spark, documents):
 
 
 def test_salted_minimizers(spark, sql, documents, monkeypatch):
-    monkeypatch.setattr(repeats, "SALTED", 2)
-    monkeypatch.setattr(repeats, "BUCKET", 50)
+    monkeypatch.setattr(suffix_dedup, "SALTED", 2)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 50)
     got = pairs_of(suffix_dedup.op5_suffix_dedup(spark, SF), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == suffix_brute(sorted(documents.items()))
     assert rows_of(substring_dedup.op1_substring_dedup(spark, SF)) == rows_in(sql.sql(registry.oracle_sql()["op1_substring_dedup"]))
