@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from slatewise.llm.common import discard, saved, table
 from slatewise.llm.components import components
-from slatewise.llm.repeats import agrees, based, compared, covered, mix, part, Prefix, small, spans_found, symbols_of, units, until_agreed, whole_places
+from slatewise.llm.repeats import Prefix, agrees, based, compared, covered, mix, small, spans_found, symbols_of, units, until_agreed, whole_places
 
 WINDOW = 35
 GRAM = 8
@@ -38,8 +38,9 @@ def edges(base: DataFrame, spans: DataFrame, branching: DataFrame, k: int, seed:
     symbols = symbols_of(False, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in small(batches, 100):
             values, begun = symbols(batch.column(2))
+            hashed = Prefix(values)
             lists = batch.column(3)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             at, n, c = (lists.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
@@ -50,7 +51,7 @@ def edges(base: DataFrame, spans: DataFrame, branching: DataFrame, k: int, seed:
                 inner = np.arange(len(which)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
                 place = at[which] + inner
                 start = begun[doc[which]] + place
-                u, v = (node_hashes(values, x, k - 1) for x in (start, start + 1))
+                u, v = (mix(hashed.of(x, k - 1)) for x in (start, start + 1))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(c[which]), pa.array(key[doc[which]]), pa.array(th[doc[which]]), pa.array(place)], ["u", "v", "c", "key", "th", "at"]
                 )
@@ -58,12 +59,6 @@ def edges(base: DataFrame, spans: DataFrame, branching: DataFrame, k: int, seed:
     return base.join(per, ["key", "th"]).select("key", "th", "text", "own").mapInArrow(run, "u bigint, v bigint, c bigint, key bigint, th bigint, at bigint")
 
 
-def node_hashes(values: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of so many words at each place."""
-    prefix = Prefix(values)
-    return mix(prefix.of(start, length))
-
-
 def repeated_edges(all_edges: DataFrame) -> DataFrame:
     """u, v, c, src: the edges that are found twice, with the first of their source coordinates (key, th, at)."""
     return all_edges.groupBy("u", "v").agg(F.sum("c").alias("c"), F.min(F.struct("key", "th", "at")).alias("src")).where("c > 1")
@@ -140,7 +135,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts:
         found, spans, branching = spans_found(base, False, window, gram, seed)
         every = saved(edges(base, spans, branching, window, seed), sweep=True)
         repeated = saved(repeated_edges(every), sweep=True)
-        cut = saved(segments(repeated, joined_edges(repeated)), sweep=True)
+        joins = saved(joined_edges(repeated), sweep=True)
+        cut = saved(segments(repeated, joins), sweep=True)
+        discard(repeated, joins)
         # what only one copy of a branching span holds repeats its edge's place on the path
         late = every.where("c = 1").join(cut, ["u", "v"]).select(every["key"], every["th"], every["at"], F.lit(1).alias("n"), F.col("src.key").alias("rkey"), F.col("src.th").alias("rth"), F.col("src.at").alias("rat"))
         places = whole_places(found, spans, keep_first=False).unionByName(late)
