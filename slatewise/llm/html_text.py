@@ -7,8 +7,13 @@ are counted per host in Spark, and pages are extracted again from the winning pa
 page without an element at that path uses its own best container.
 
 Parsing is a tokenizer over the page with a stack of open elements, as forgiving as browsers are with
-missing end tags. The vote table has one row per host; it joins back by host and one of SALTS salts,
-so that the pages of a host with a third of all rows are dealt to many tasks.
+missing end tags. The vote table has one row per host and is written. Where it is small, by its measured
+size, it is broadcast and no page moves. Else the pages of hosts with very many pages, of which there can
+only be few, meet their rows by a broadcast, and those of all others by a join on the host.
+
+Inside the winning container only what isn't the article goes: elements that are menus, headers, footers,
+sidebars, forms and the like by their tag or role, and those that are notices, adverts or reader comments
+by a whole name in their class or id.
 """
 
 from __future__ import annotations
@@ -21,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatewise.llm.common import table
+from slatewise.llm.common import saved, table
 from slatewise.shipping import ship
 
-#: Parts that the pages of each host are dealt into for the join with their path.
-SALTS = 64
+#: Bytes of a vote table that is broadcast; pages of a host that has a broadcast row of its own, and how many such hosts there can be.
+BROADCAST = 32 << 20
+MANY_PAGES, MANY_HOSTS = 1_000_000, 10_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -40,12 +46,12 @@ _BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CONTAINER = frozenset("article body div main section td".split())
-_NEVER = frozenset("nav header footer aside form button select option menu dialog head noscript object canvas audio video svg math iframe".split())
+_NEVER = frozenset("nav header footer aside form button select option menu dialog head noscript object canvas audio video svg iframe".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _AWAY = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav(?:bar|igation)?|menu|breadcrumbs?|masthead|footer"
-    r"|foot|side-?bar|aside|widgets?|related|recommend(?:ed|ations)?|share|sharing|social|newsletter|subscribe|signup|login|search|cookies?|consent|gdpr|notices?"
-    r"|alert|popup|modal|overlay|comments?|comment-?list|disqus|replies|reply|respond|discussion|pagination|pager|toolbar|copyright|skip-?link|hidden)(?:$|[\s_-])",
+    r"|side-?bar|widgets?|related-?(?:posts|articles|links)|share-?(?:buttons?|bar|links)|social-?(?:buttons?|bar|links|media)|newsletter|subscribe|signup|login|cookies?|consent|gdpr|notices?"
+    r"|popup|comments|comment-?(?:list|section|thread|form)|disqus|pagination|pager|toolbar|skip-?link)(?:$|[\s_-])",
     re.I,
 )
 _HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)  # of the site, not of an article
@@ -211,7 +217,7 @@ def host_of(url) -> F.Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path: the path with most votes among each host's pages, the smaller path at a tie."""
+    """host, path, pages: the path with most votes among each host's pages, the smaller path at a tie, and how many voted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,19 +226,30 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     voted = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string").where("path IS NOT NULL")
     votes = voted.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
-    return votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("path"))
+    return votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("path"), F.sum("votes").alias("pages"))
+
+
+def with_paths(pages: DataFrame, winners: DataFrame) -> DataFrame:
+    """pages (host and others) with the path of their host, null without one. winners: a written table of host, path, pages."""
+    rows = winners.select("host", "path")
+    size, every = winners.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64), F.sum("pages")).head()
+    if (size or 0) <= BROADCAST:
+        return pages.join(F.broadcast(rows), "host", "left")
+    least = max(MANY_PAGES, every // MANY_HOSTS)  # no more than MANY_HOSTS hosts can have more pages than that
+    many = F.broadcast(winners.where(F.col("pages") > least).select("host", "path"))
+    others = pages.join(many.select("host"), "host", "left_anti").join(rows.hint("merge"), "host", "left")
+    return pages.join(many, "host").unionByName(others)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages.
 
     Null or empty html gives an empty text; so does a page whose whole text is boilerplate. A null url
-    belongs to the host "". Repeated rows give repeated results; other columns are not looked at.
+    belongs to the host "". At tied votes the smaller path wins. Repeated rows give repeated results and
+    vote each; an empty table gives no rows. Other columns are not looked at.
     """
     ship(pages.sparkSession)
-    winners = host_paths(pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int").alias("salt"))
-    joined = own.join(winners, ["host", "salt"], "left")
+    joined = with_paths(pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")), saved(host_paths(pages)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,4 +263,5 @@ def extracted(pages: DataFrame) -> DataFrame:
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extracted() over all pages."""
     return extracted(table(spark, sf_dir, "pages"))

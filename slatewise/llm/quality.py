@@ -1,4 +1,4 @@
-"""Quality rules: hashed n-gram importance of a document under trusted text against the raw corpus.
+"""Quality rules: log-likelihood ratio of a document's hashed n-grams under trusted text against the raw corpus.
 
 Each word gives its trailing character trigram, which carries case, punctuation and word endings in
 any language; trigrams are hashed into BUCKETS buckets. Each pair of neighbouring words gives the pair
@@ -162,5 +162,6 @@ def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judged() over all documents and labels."""
     out = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "pair_score")

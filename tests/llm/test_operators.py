@@ -405,6 +405,26 @@ def test_html_article_header_and_drawings():
     assert html_text.text_at(page, None) == "Title\nOne two\nThree"
 
 
+def test_html_keeps_the_article_whole():
+    page = """<body><nav>menu</nav><article><h1>Title</h1><p>Let <math><mi>x</mi></math> be.</p><section class="discussion"><p>We discuss.</p></section>
+<table class="table-foot"><tr><td>cell</td></tr></table><div class="search-methods"><p>Searching.</p></div><p class="share-price">Up 3</p><div class="alert"><p>Mind this.</p></div>
+<div class="comment-list"><p>first!</p></div><div class="cookie-notice">c</div><div class="ad">buy</div></article><div id="comments"><p>reader</p></div></body>"""
+    assert html_text.text_at(page, None) == "Title\nLet x be.\nWe discuss.\ncell\nSearching.\nUp 3\nMind this."
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_html_hosts(spark, monkeypatch, limit):
+    """Tied votes go to the smaller path; hosts with many pages and others, by broadcast and by joins, give the same."""
+    monkeypatch.setattr(html_text, "BROADCAST", limit)
+    monkeypatch.setattr(html_text, "MANY_PAGES", 3)
+    body = lambda c, t: f'<body><div class="{c}"><p>{t} with words enough to be the text</p></div><div class="z"><a href="#">many links here and there</a></div></body>'
+    rows = [(i, f"http://many.example/{i}", body("a", i)) for i in range(5)] + [(10, "http://tie.example", body("b", 10)), (11, "http://tie.example", body("c", 11)), (12, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.host: r.path for r in html_text.host_paths(pages).collect()} == {"many.example": "/body/div.a", "tie.example": "/body/div.b"}
+    got = {r.page_id: r.text for r in html_text.extracted(pages).collect()}
+    assert len(got) == 8 and got[3] == "3 with words enough to be the text" and got[10] == "10 with words enough to be the text" and got[11].startswith("11 with words enough") and got[12] == ""
+
+
 def test_html_pages(spark):
     got = html_text.op9_html(spark, SF).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
