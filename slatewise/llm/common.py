@@ -70,7 +70,8 @@ def _folder(spark: SparkSession) -> str:
 def saved(df: DataFrame, sweep: bool = False) -> DataFrame:
     """The rows, computed once and written as a table in the shared checkpoint folder; lineage ends there.
 
-    With sweep, what was shuffled for the table is let go at once, and not when the JVM next collects.
+    On a cluster the driver's JVM collects after each table, which keeps its heap small. With sweep, what was
+    shuffled for the table is let go as well, and not when the JVM would next collect.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -78,11 +79,12 @@ def saved(df: DataFrame, sweep: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
-    # the cleaner drops the files of frames that the JVM has let go, some of which only a second collection finds
-    for _ in range(2 if sweep else 0):
-        gc.collect()
-        sc._jvm.System.gc()
-        time.sleep(0.2)
+    if not sc.master.startswith("local"):
+        # the cleaner drops the files of frames that the JVM has let go, some of which only a second collection finds
+        for _ in range(2 if sweep else 1):
+            gc.collect()
+            sc._jvm.System.gc()
+            time.sleep(0.2 if sweep else 0)
     out = spark.read.schema(schema).parquet(path)
     out.saved_at = path
     return out
