@@ -92,32 +92,56 @@ def _literal(ratios: list[float]) -> Column:
     return F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
 
 
-def features(docs: DataFrame, ratios: list[float], pair_ratios: list[float]) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and pair_score; columns of these names are replaced."""
-    text = F.coalesce("text", F.lit(""))
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "pair_score")
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in made]
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(without_spaces(x)) > 0)
+def _measures(ratios: list[float], pair_ratios: list[float]):
+    """From an array of words to (n, r, failed, score, pair_score): how many, how many repeat, and how they fare."""
     literal, pair_literal = _literal(ratios), _literal(pair_ratios)
 
-    def measured(w: Column) -> Column:
+    def totals(w: Column) -> Column:
         total = F.aggregate(w, F.lit(0.0), lambda acc, x: acc + F.element_at(literal, bucket(x) + 1))
         pairs = F.aggregate(_pairs(w, 1, 1, pair_bucket), F.lit(0.0), lambda acc, b: acc + F.element_at(pair_literal, b + 1))
         return F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"), total.alias("total"), pairs.alias("pairs"))
 
+    def scores(x: Column) -> Column:
+        n, r = x["n"], x["r"]
+        return F.struct(
+            n.alias("n"),
+            r.alias("r"),
+            ((n < LEAST_WORDS) | (100 * r > 30 * n)).alias("failed"),
+            F.when(n > 0, x["total"] / n).otherwise(0.0).alias("score"),
+            F.when(n > 1, x["pairs"] / (n - 1)).otherwise(0.0).alias("pair_score"),
+        )
+
+    return lambda w: bound(bound(w, totals), scores)
+
+
+def _passes(failed: Column, score: Column, pair_score: Column, threshold: float, pair_threshold: float) -> Column:
+    return (~failed) & (score >= threshold) & (pair_score >= pair_threshold)
+
+
+def features(docs: DataFrame, ratios: list[float], pair_ratios: list[float]) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and pair_score; columns of these names are replaced."""
+    text = F.coalesce("text", F.lit(""))
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "pair_score")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in made]
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(without_spaces(x)) > 0)
     out = docs.select(
         *others,
-        bound(words(F.col("text")), measured).alias("_per"),
+        _measures(ratios, pair_ratios)(words(F.col("text"))).alias("_per"),
         F.length(without_spaces(text)).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]", ""))).cast("long").alias("n_symbols"),
         bound(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
     )
-    n, r = F.col("_per.n"), F.col("_per.r")
-    failed = (n < LEAST_WORDS) | (100 * r > 30 * n)
-    score = F.when(n > 0, F.col("_per.total") / n).otherwise(0.0)
-    pair_score = F.when(n > 1, F.col("_per.pairs") / (n - 1)).otherwise(0.0)
+    per = F.col("_per")
     return out.select(
-        *others, n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), failed.alias("base_failed"), score.alias("score"), pair_score.alias("pair_score")
+        *others,
+        per["n"].alias("n_words"),
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        per["r"].alias("n_repeat_words"),
+        per["failed"].alias("base_failed"),
+        per["score"].alias("score"),
+        per["pair_score"].alias("pair_score"),
     )
 
 
@@ -152,13 +176,17 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, pai
     judged alike. An empty table gives no rows; without trusted documents the base rules decide.
     """
     out = features(docs, *bucket_ratios(docs, labels))
-    return out.withColumn("kept", (~F.col("base_failed")) & (F.col("score") >= threshold) & (F.col("pair_score") >= pair_threshold))
+    return out.withColumn("kept", _passes(F.col("base_failed"), F.col("score"), F.col("pair_score"), threshold, pair_threshold))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns as they are, that are kept."""
-    carried = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return judged(carried, labels, threshold).where("kept").select("_row.*")
+def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, pair_threshold: float = PAIR_THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns as they are, that judged() keeps.
+
+    The verdict is one expression: a condition on columns of judged() would be taken apart, pushed below them and
+    computed, tables of ratios and all, once for each column that it names.
+    """
+    measures = _measures(*bucket_ratios(docs.select("doc_id", "text"), labels))
+    return docs.where(bound(measures(words(F.col("text"))), lambda per: _passes(per["failed"], per["score"], per["pair_score"], threshold, pair_threshold)))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,13 @@ def test_verdicts_are_those_of_the_loops(spark):
         score, pair_score = want[r.doc_id]
         assert r.score == pytest.approx(score, abs=1e-9) and r.pair_score == pytest.approx(pair_score, abs=1e-9)
         assert r.kept == (not r.base_failed and score >= quality.THRESHOLD and pair_score >= quality.PAIR_THRESHOLD)
+
+
+def test_kept_documents_are_those_judged_kept_and_their_plan_stays_short(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    kept = quality.kept_documents(docs, labels)
+    want = quality.judged(docs, labels).where("kept").select("doc_id").collect()
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in want)
+    # the tables of ratios are in the plan once; each copy is more than a million characters
+    assert len(kept._jdf.queryExecution().executedPlan().toString()) < 2_000_000
