@@ -37,6 +37,8 @@ from slatewise.shipping import ship
 CHUNK = 1 << 19
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _RINV = np.uint64(pow(int(_R), -1, 1 << 64))
+#: Texts whose symbols are made at once.
+ROWS = 2000
 #: Hash seeds that are tried.
 SEEDS = 8
 
@@ -196,12 +198,12 @@ def spans_found(base: DataFrame, is_bytes: bool, k: int, m: int, seed: int) -> t
     symbols = symbols_of(is_bytes, seed)
 
     def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, ROWS):
             for mini, _, _, _ in paths(*symbols(batch.column(0)), k, m):
                 yield pa.RecordBatch.from_arrays([pa.array(mini.view(np.int64))], ["mini"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, ROWS):
             values, at = symbols(batch.column(2))
             key, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for mini, span, start, count in paths(values, at, k, m):
