@@ -8,9 +8,13 @@ only one copy of each different span is read again and gives its edges, with the
    its source coordinates, which names it.
 2. Nodes are met by both their sides: one with one repeated edge in and one out is nonbranching and
    joins the two. Joins that go on in one source document compact to segments, the others glue
-   segments: chains of glued segments are paths, found as connected components by joins.
-3. Each place of a repeated edge repeats a place of its path. Places that go on along a path are long
-   spans; the words of both ends are read at their source coordinates and have to agree.
+   segments: chains of glued segments are paths, found as connected components by joins (passages()).
+3. Each place of a repeated edge repeats the edge's first source coordinates. Places that go on along one
+   document are long spans; the words of both ends are read at their source coordinates and have to agree.
+
+What deduplicated() removes follows from the repeated edges and their source coordinates alone, and for
+spans that are found twice as a whole from their first place: it makes the segments, but its rows would be
+the same without them. Only passages() depends on how edges compact.
 """
 
 from __future__ import annotations

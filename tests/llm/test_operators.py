@@ -94,6 +94,13 @@ def test_suffix_hard(hard, empty):
     assert suffix_dedup.deduplicated(empty).count() == 0
 
 
+def test_texts_in_parts_of_a_batch(hard, monkeypatch):
+    monkeypatch.setattr(repeats, "ROWS", 3)
+    one, rows = hard.coalesce(1), [r[:2] for r in hard_rows()]
+    assert pairs_of(substring_dedup.deduplicated(one), "doc_id", "n_words", "n_removed", "kept_sha256") == substring_brute(rows)
+    assert pairs_of(suffix_dedup.deduplicated(one), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == suffix_brute(rows)
+
+
 def weak(seed):
     """Few different symbols for the first seed: many strings agree by hash alone."""
     return (np.arange(256, dtype=np.uint64) % np.uint64(3) if seed == 0 else np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(seed)
