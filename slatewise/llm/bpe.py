@@ -43,7 +43,7 @@ class Bpe:
         vocab = spec["model"]["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank_of = {vocab[a] << 20 | vocab[b]: rank for rank, (a, b) in enumerate(pairs)}.get
-        self.made_of = [vocab[a + b] for a, b in pairs]
+        self.made_of = {vocab[a] << 20 | vocab[b]: vocab[a + b] for a, b in pairs}
         of_symbol = {s: b for b, s in enumerate(byte_symbols())}
         self.first = [vocab[s] for s in byte_symbols()]
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -73,7 +73,7 @@ class Bpe:
             if ranks[i] != rank:
                 continue  # stale
             j = after[i]
-            ids[i] = made = made_of[rank]
+            ids[i] = made = made_of[ids[i] << 20 | ids[j]]
             ids[j], ranks[j] = -1, None
             after[i] = k = after[j]
             if k < n:
