@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slatewise import shared
 
 #: Rounds whose nodes are one table; more are put together.
 ROUNDS = 16
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut from its lineage in the session's checkpoint folder. Where it is unset a local run gets one; a cluster has to name it."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/slatewise-{uuid.uuid4().hex}")
+    """Cut from its lineage in the shared folder."""
+    shared.folder(df.sparkSession)
     return df.checkpoint()
 
 

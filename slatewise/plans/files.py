@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slatewise import shared
 from slatewise.functions import scalars as S
 from slatewise.operators import companion, graph, keyed, patch, review
 from slatewise.plans.fixtures import FN_SQL, HREFS_SQL, filenames, hrefs, table
-from slatewise.sources import archive, package
+from slatewise.sources import archive, package, zips
 
 
 def path_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -262,6 +265,16 @@ def content_type_missing(spark: SparkSession, d: str) -> DataFrame:
     return patch.missing_content_types(needed, package.content_types(parts))
 
 
+def package_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Pages written as parts of 50 packages to the shared folder, and every second one read back by its place."""
+    folder = f"{shared.folder(spark)}/packages-{uuid.uuid4().hex}"
+    pages = table(spark, d, "pages").select(F.concat((F.col("page_id") % 50).cast("string"), F.lit(".pptx")).alias("package"), "page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("bytes"))
+    path = F.concat(F.when(F.col("page_id") % 2 == 0, "ppt/slides/slide").otherwise("ppt/media/"), "page_id", F.lit(".xml"))
+    zips.write(pages.select("package", path.alias("path"), "bytes"), folder)
+    back = package.entries(spark, f"{folder}/*.pptx", "^ppt/slides/")
+    return back.select(S.basename(F.col("package")).alias("package"), "path", F.octet_length("bytes").cast("long").alias("size"), F.md5("bytes").alias("digest"))
+
+
 def rewrite_refs(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
     parts = pages.select((F.col("page_id") % 50).cast("string").alias("package"), F.col("page_id").cast("string").alias("path"), F.col("html").alias("xml"))
@@ -404,6 +417,8 @@ SELECT source AS package, name AS filename, regexp_extract(regexp_replace(name,
 WHERE {_IMAGE.format('name')} AND NOT {_PREVIEW.format('name')}"""),
     "content_type_missing": (content_type_missing, f"""WITH {FN_SQL}, n AS (SELECT DISTINCT source AS package, lower(regexp_extract({_ASSET}, '\\.([^./]+)$', 1)) AS ext FROM fn)
 SELECT package, ext FROM n EXCEPT SELECT source, ext FROM fn WHERE id % 2 = 0 AND length(source) % 2 = 0"""),
+    "package_round_trip": (package_round_trip, """SELECT page_id % 50 || '.pptx' AS package, 'ppt/slides/slide' || page_id || '.xml' AS path, octet_length(encode(coalesce(html, ''))) AS size, md5(coalesce(html, '')) AS digest
+FROM pages WHERE page_id % 2 = 0"""),
     "rewrite_refs": (rewrite_refs, """WITH p AS (SELECT page_id, page_id % 50 AS k, html AS h0 FROM pages)
 , a AS (SELECT *, replace(h0, 'p' || (k % 2) || '>', 'q' || k || '>') AS h1 FROM p), b AS (SELECT *, replace(h1, 'p' || ((k + 25) % 2) || '>', 'q' || (k + 25) || '>') AS h2 FROM a)
 , c AS (SELECT *, replace(h2, 'p' || ((k + 50) % 2) || '>', 'q' || (k + 50) || '>') AS h3 FROM b), d AS (SELECT *, replace(h3, 'p' || ((k + 75) % 2) || '>', 'q' || (k + 75) || '>') AS h4 FROM c)

@@ -1,46 +1,23 @@
-"""Office packages as tables: zip entries, relationship and content-type parts, and package sinks."""
+"""Office packages as tables: zip entries, relationship and content-type parts."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
-from slatewise.shipping import ship
-
-ENTRIES = "package string, path string, bytes binary, error string"
+from slatewise.sources import zips
 
 
 def entries(spark: SparkSession, files: str, wanted: str = "") -> DataFrame:
-    """package_entries of all zip files at a path or pattern; wanted: a pattern that entry paths must match.
+    """package, path, bytes, error of all entries of zip files at a path or pattern; wanted: a pattern that entry paths must match.
 
-    A file that is no zip archive gives one row with an error and nothing else.
+    Of entries that aren't wanted no bytes are read, and no file is read as a whole. A file that is no zip
+    archive gives one row with an error and nothing else, a file without bytes none.
     """
-    ship(spark)
-    packages = spark.read.format("binaryFile").load(files).select(F.col("path").alias("package"), F.col("content"))
-
-    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        for batch in batches:
-            for name, content in zip(batch["package"], batch["content"]):
-                rows = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for info in z.infolist():
-                            if not info.is_dir() and re.search(wanted, info.filename):
-                                rows.append((name, info.filename, z.read(info), None))
-                except (zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:
-                    rows = [(name, None, None, str(e))]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["package", "path", "bytes", "error"])
-
-    return packages.mapInPandas(unzip, ENTRIES)
+    found = spark.read.format("binaryFile").load(files).select(F.col("path").alias("package"), "length")
+    listed = zips.directory(found)
+    return zips.contents(listed.where(F.col("path").isNull() | F.col("path").rlike(wanted)))
 
 
 def text(parts: DataFrame) -> DataFrame:
@@ -85,17 +62,3 @@ def register_types(parts: DataFrame, missing: DataFrame) -> DataFrame:
     here = (F.col("path") == "[Content_Types].xml") & F.col("added").isNotNull()
     xml = F.when(here, F.concat(F.regexp_replace("xml", r"</(\w+:)?Types>\s*$", ""), "added", F.regexp_extract("xml", r"(</(?:\w+:)?Types>)\s*$", 1))).otherwise(F.col("xml"))
     return joined.select("package", "path", xml.alias("xml"))
-
-
-def zipped(parts: DataFrame) -> DataFrame:
-    """package, content: a zip archive of each package's parts, in order of path. parts: package, path, bytes."""
-    ship(parts.sparkSession)
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for row in group.sort_values("path").itertuples():
-                z.writestr(zipfile.ZipInfo(row.path), bytes(row.bytes))
-        return pd.DataFrame({"package": [group["package"].iloc[0]], "content": [out.getvalue()]})
-
-    return parts.select("package", "path", "bytes").groupBy("package").applyInPandas(one, "package string, content binary")
