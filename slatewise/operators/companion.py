@@ -29,33 +29,34 @@ def validated(found: DataFrame, drawings: DataFrame, pages: DataFrame) -> DataFr
     """
     positive = lambda c, other: F.when(c > 0, c).otherwise(other)
     side = lambda c: F.coalesce(c, F.lit(0.0))
+    span = positive(positive(side(F.col("vb_width")), side(F.col("width"))), F.lit(1.0))
     d = drawings.select(
         F.col("filename").alias("svg"),
         (side(F.col("width")) * S.points_per_unit(F.coalesce("width_unit", F.lit("px")))).alias("d_width"),
         (side(F.col("height")) * S.points_per_unit(F.coalesce("height_unit", F.lit("px")))).alias("d_height"),
-        positive(positive(side(F.col("vb_width")), side(F.col("width"))), F.lit(1.0)).alias("d_span"),
-        "texts",
+        F.array_distinct(F.flatten(F.transform("texts", lambda t: S.words_of(t["content"])))).alias("drawn"),
     )
-    p = pages.select(F.col("filename").alias("pdf"), F.col("width").alias("p_width"), F.col("height").alias("p_height"), "words", F.lit(True).alias("readable"))
-    joined = found.join(d, "svg", "left").join(p, "pdf", "left")
-    texts = F.coalesce("texts", F.array().cast(drawings.schema["texts"].dataType))
-    words = F.coalesce("words", F.array().cast(pages.schema["words"].dataType))
-    drawn = F.array_distinct(F.flatten(F.transform(texts, lambda t: S.words_of(t["content"]))))
-    printed = F.array_distinct(F.filter(F.transform(words, lambda w: w["text"]), lambda w: w != ""))
+    p = pages.select(
+        F.col("filename").alias("pdf"), F.col("width").alias("p_width"), F.col("height").alias("p_height"), F.lit(True).alias("readable"),
+        F.array_distinct(F.filter(F.transform("words", lambda w: w["text"]), lambda w: w != "")).alias("printed"),
+    )
+    # each text starts with a word and each word of a page has a first place: both lists are made once a file and meet by the word
+    starts = drawings.select(F.col("filename").alias("svg"), span.alias("d_span"), F.explode("texts").alias("t"))
+    starts = starts.select("svg", F.try_element_at(S.words_of(F.col("t.content")), F.lit(1)).alias("word"), (F.col("t.x") / F.col("d_span")).alias("x")).where("word IS NOT NULL AND x IS NOT NULL")
+    printed = pages.select(F.col("filename").alias("pdf"), positive(F.col("width"), F.lit(1.0)).alias("span"), F.posexplode("words").alias("at", "w"))
+    firsts = printed.groupBy("pdf", F.col("w.text").alias("word")).agg(F.min_by(F.col("w.x_min") / F.col("span"), "at").alias("place")).where("place IS NOT NULL")
+    near = F.abs(F.col("x") - F.col("place")) < X_NEAR
+    met = found.select("svg", "pdf").distinct().join(starts, "svg").join(firsts, ["pdf", "word"])
+    placed = met.groupBy("svg", "pdf").agg(F.count_if(near).cast("int").alias("x_matches"), F.count(F.lit(1)).cast("int").alias("x_total"))
+
+    joined = found.join(d, "svg", "left").join(p, "pdf", "left").join(placed, ["svg", "pdf"], "left").fillna(0, ["x_matches", "x_total"])
+    none = F.array().cast("array<string>")
+    drawn, printed_words = F.coalesce("drawn", none), F.coalesce("printed", none)
     sized = (side(F.col("d_width")) > 0) & (F.col("p_width") > 0)
     delta = F.when(sized, F.greatest(F.abs(F.col("d_width") - F.col("p_width")), F.abs(F.col("d_height") - F.col("p_height")))).otherwise(float("inf"))
-    span = positive(F.col("p_width"), F.lit(1.0))
-
-    def distance(t: Column) -> Column:
-        first = F.try_element_at(S.words_of(t["content"]), F.lit(1))
-        place = F.try_element_at(F.filter(words, lambda w: w["text"] == first), F.lit(1))["x_min"]
-        return F.abs(t["x"] / F.coalesce("d_span", F.lit(1.0)) - place / span)
-
-    distances = F.filter(F.transform(texts, distance), lambda x: x.isNotNull())
     made = joined.select(
-        *found.columns, "readable", delta.alias("delta"), S.word_jaccard(drawn, printed).alias("overlap"), (F.size(drawn) + F.size(printed) > 0).alias("has_text"),
-        F.size(F.filter(distances, lambda x: x < X_NEAR)).alias("x_matches"), F.size(distances).alias("x_total"),
-    )
+        *found.columns, "readable", delta.alias("delta"), S.word_jaccard(drawn, printed_words).alias("overlap"), (F.size(drawn) + F.size(printed_words) > 0).alias("has_text"), "x_matches", "x_total"
+    )
     ratio = F.when(F.col("x_total") > 0, F.col("x_matches") / F.col("x_total")).otherwise(0.0)
     confidence = F.when(F.col("readable"), S.pair_confidence(F.col("delta"), F.col("has_text"), F.col("overlap"), ratio)).otherwise(0.0)
     out = made.withColumn("confidence", confidence).withColumn("is_pair", F.col("confidence") >= CONFIDENT)
@@ -78,12 +79,14 @@ def absorbed(fingerprints: DataFrame, chosen: DataFrame) -> DataFrame:
     An SVG keeps its own where its PDF has no fingerprint; that PDF is used all the same. All else is the SVG's own.
     """
     lent = fingerprints.select(F.col("filename").alias("borrowed_from"), *[F.col(c).alias(f"b_{c}") for c in BORROWED])
-    joined = fingerprints.join(chosen.select(F.col("svg").alias("filename"), F.col("pdf").alias("borrowed_from")), "filename", "left")
+    none = F.lit(None).cast("string")
+    sides = F.explode(F.array(F.struct(F.col("svg").alias("filename"), F.col("pdf").alias("borrowed_from"), F.lit(False).alias("used")), F.struct(F.col("pdf").alias("filename"), none.alias("borrowed_from"), F.lit(True).alias("used"))))
+    roles = chosen.select(sides.alias("r")).select("r.*").groupBy("filename").agg(F.max("borrowed_from").alias("borrowed_from"), F.max("used").alias("used"))
+    joined = fingerprints.join(roles, "filename", "left").where("used IS NULL OR NOT used").drop("used")
     joined = joined.join(lent.withColumn("lends", F.lit(True)), "borrowed_from", "left")
     lends = F.col("lends").isNotNull()
     own = [F.when(lends, F.col(f"b_{c}")).otherwise(F.col(c)).alias(c) if c in BORROWED else F.col(c) for c in fingerprints.columns]
-    out = joined.select(*own, F.when(lends, F.col("borrowed_from")).alias("borrowed_from"))
-    return out.join(chosen.select(F.col("pdf").alias("filename")).distinct(), "filename", "left_anti")
+    return joined.select(*own, F.when(lends, F.col("borrowed_from")).alias("borrowed_from"))
 
 
 def export_companion(items: DataFrame) -> DataFrame:

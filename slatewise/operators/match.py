@@ -9,12 +9,16 @@ items share is many tasks. What is broadcast has one row a bucket, of which rati
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
 from slatewise.operators import keyed
+from slatewise.shipping import ship
+from slatewise.sources import package
 
 CELL = 4096
 TOP = 3
@@ -82,24 +86,62 @@ def collapsed(pairs: DataFrame, slots: int | None = None) -> DataFrame:
     """degraded, kept: candidates in order of score, near duplicates merged into the first kept one that is near.
 
     A candidate of a better file kind takes the place of the one it merges into. With ``slots``, only so
-    many are held: what happens in the first slots never depends on later ones.
+    many are held: what happens in the first slots never depends on later ones. Candidates of an item come sorted
+    to one task and are folded as they stream by, so that a task holds the kept ones of one item whatever the number of candidates.
     """
-    grouped = pairs.groupBy("degraded").agg(F.sort_array(F.collect_list(candidate())).alias("c"))
-    kind = grouped.schema["c"].dataType.simpleString()
-
-    def near(k: Column, x: Column) -> Column:
-        return F.coalesce((S.hamming(k["a"], x["a"]) <= S.NEAR_AHASH) | (k["p"] == x["p"]), F.lit(False))
-
-    def step(kept: Column, x: Column) -> Column:
-        at = F.array_position(F.transform(kept, lambda k: near(k, x)), True)
-        merged = F.element_at(
-            F.transform(F.array(at), lambda n: F.transform(kept, lambda k, i: F.when((i == n - 1) & (x["priority"] < k["priority"]), x).otherwise(k))), 1
-        )
-        added = F.concat(kept, F.array(x))
-        room = F.lit(True) if slots is None else F.size(kept) < slots
-        return F.when(F.exists(kept, lambda k: near(k, x)), merged).when(room, added).otherwise(kept)
-
-    return grouped.select("degraded", F.aggregate("c", F.array().cast(kind), step).alias("kept"))
+    ship(pairs.sparkSession)
+    sample = pairs.select("degraded", candidate().alias("c")).select("degraded", "c.*")
+    kind = pairs.select(candidate().alias("c")).schema["c"].dataType.simpleString()
+    fields = sample.columns[1:]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item, kept, done = None, [], []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(*columns):
+                if row[0] != item:
+                    if kept:
+                        done.append((item, kept))
+                    item, kept = row[0], []
+                hold(kept, row[1:], slots)
+            if done:
+                yield _kept(done, fields, batch.schema)
+                done = []
+            schema = batch.schema
+        if kept:
+            yield _kept([(item, kept)], fields, schema)
+
+    dealt = sample.where("degraded IS NOT NULL").repartition("degraded").sortWithinPartitions(*sample.columns)
+    return dealt.mapInArrow(fold, f"degraded string, kept array<{kind}>")
+
+
+def hold(kept: list[tuple], new: tuple, slots: int | None) -> None:
+    """Takes one more candidate, (score, name, a, p, priority, ...), into those that are kept."""
+    a, p, priority = new[2:5]
+    for k, (_, _, other_a, other_p, other_priority, *_) in enumerate(kept):
+        if _near(a, other_a) or p is not None and p == other_p:
+            if priority < other_priority:
+                kept[k] = new
+            return
+    if slots is None or len(kept) < slots:
+        kept.append(new)
+
+
+def _near(a: int | None, b: int | None) -> bool:
+    return a is not None and b is not None and ((a ^ b) & _BITS).bit_count() <= S.NEAR_AHASH
+
+
+_BITS = (1 << 64) - 1
+
+
+def _kept(done: list[tuple[str, list[tuple]]], fields: list[str], schema: pa.Schema) -> pa.RecordBatch:
+    rows = [x for _, kept in done for x in kept]
+    ends = [0]
+    for _, kept in done:
+        ends.append(ends[-1] + len(kept))
+    parts = [pa.array([r[k] for r in rows], schema.field(k + 1).type) for k in range(len(fields))]
+    structs = pa.StructArray.from_arrays(parts, fields)
+    return pa.RecordBatch.from_arrays([pa.array([item for item, _ in done], pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)], ["degraded", "kept"])
 
 
 def candidate() -> Column:
@@ -131,11 +173,15 @@ def pinned(degraded: DataFrame, top: DataFrame, structural: DataFrame) -> DataFr
 
 
 def structural_pairs(membership: DataFrame) -> DataFrame:
-    """degraded, source where exactly one source item shares a slide with the degraded one. membership: side, filename, slide_no."""
-    d = membership.where("side = 'degraded'").select("slide_no", F.col("filename").alias("degraded")).distinct()
-    s = membership.where("side = 'source'").select("slide_no", F.col("filename").alias("source")).distinct()
-    pairs = d.join(s, "slide_no").groupBy("degraded").agg(F.min("source").alias("source"), F.max("source").alias("last"))
-    return pairs.where("source = last").select("degraded", "source")
+    """degraded, source where exactly one source item shares a slide with the degraded one. membership: side, filename, slide_no.
+
+    A slide is its first and its last source; an item's first and last over its slides are the same where there is one. So
+    no pairs of a slide are made, and rows stay those of the membership.
+    """
+    per = membership.where("side = 'source'").groupBy("slide_no").agg(F.min("filename").alias("first"), F.max("filename").alias("last"))
+    d = membership.where("side = 'degraded'").select("slide_no", F.col("filename").alias("degraded"))
+    found = d.join(per, "slide_no").groupBy("degraded").agg(F.min("first").alias("source"), F.max("last").alias("last"))
+    return found.where("source = last").select("degraded", "source")
 
 
 def upgraded(pairs: DataFrame, source_names: DataFrame) -> DataFrame:
@@ -185,8 +231,15 @@ def matched(items: DataFrame, prints: DataFrame, membership: DataFrame) -> DataF
     return mapping(pinned(degraded.select(F.col("filename").alias("degraded")), top, structural.select("degraded").join(x, "degraded", "left")))
 
 
-def slide_counts(membership: DataFrame) -> DataFrame:
-    """One row: degraded_slides (different ones), source_slides (the last one's number) and whether they differ."""
-    number = lambda side: F.when(F.col("side") == side, F.col("slide_no"))
-    per = membership.agg(F.count_distinct(number("degraded")).alias("degraded_slides"), F.max(number("source")).alias("source_slides"))
-    return per.withColumn("mismatch", F.col("degraded_slides") != F.col("source_slides"))
+def slide_counts(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """package, degraded_slides, source_slides and whether they differ, for the packages of either deck.
+
+    paths: package, path of the degraded deck's entries: a slide is a relationship part of its own, with media or
+    without. roots: package, slide_no of the source deck's shows (archive.slide_roots()): as many slides as the longest show lists.
+    A deck that the other table lacks has 0.
+    """
+    number = F.when(F.col("path").rlike(package.SLIDE_RELS), S.slide_number(F.col("path")))
+    own = paths.groupBy("package").agg(F.count_distinct(number).alias("degraded_slides"))
+    shown = roots.groupBy("package").agg(F.max("slide_no").cast("bigint").alias("source_slides"))
+    both = own.join(shown, "package", "full").fillna(0, ["degraded_slides", "source_slides"])
+    return both.withColumn("mismatch", F.col("degraded_slides") != F.col("source_slides"))

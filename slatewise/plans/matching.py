@@ -211,7 +211,13 @@ def sibling_upgrade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slide_count_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    return match.slide_counts(membership(spark, d))
+    """Pages as entries of degraded decks, some with links and some not; conversations as shows of source decks, turns as their slides."""
+    i = F.col("page_id")
+    folder = F.when(i % 6 == 0, "ppt/slideLayouts/_rels/slideLayout").when(i % 6 == 1, "ppt/slides/slide").otherwise("ppt/slides/_rels/slide")
+    paths = table(spark, d, "pages").select((i % 40).cast("string").alias("package"), F.concat(folder, i, F.when(i % 6 == 1, ".xml").otherwise(".xml.rels")).alias("path"))
+    c = table(spark, d, "conversations")
+    roots = c.select((F.col("conv_id") % 50).cast("string").alias("package"), (F.col("turn") + 1).cast("int").alias("slide_no"), F.col("conv_id").alias("node"))
+    return match.slide_counts(paths, roots)
 
 
 _RAW = """raw AS (
@@ -293,8 +299,9 @@ SELECT filename, CASE WHEN len(slides) = 1 THEN 'Slide ' ELSE 'Slides ' END || a
     "structural_unique": (structural_unique, f"WITH {MEMBERS_SQL}, {_RAW} SELECT min(degraded) AS degraded, source FROM raw GROUP BY source HAVING count(*) = 1"),
     "sibling_upgrade": (sibling_upgrade, f"""WITH {MEMBERS_SQL}, {_RAW}, svg AS (SELECT regexp_replace(filename, '-\\d+\\.svg$', '') AS stem, min(filename) AS svg FROM membership WHERE side = 'source' AND filename LIKE '%.svg' GROUP BY 1)
 SELECT degraded, coalesce(CASE WHEN source LIKE '%.pdf' THEN svg END, source) AS source FROM raw LEFT JOIN svg ON regexp_replace(source, '-\\d+\\.pdf$', '') = svg.stem"""),
-    "slide_count_mismatch": (slide_count_mismatch, f"""WITH {MEMBERS_SQL}, c AS (SELECT count(DISTINCT slide_no) FILTER (WHERE side = 'degraded') AS degraded_slides, max(slide_no) FILTER (WHERE side = 'source') AS source_slides FROM membership)
-SELECT *, degraded_slides <> source_slides AS mismatch FROM c"""),
+    "slide_count_mismatch": (slide_count_mismatch, """WITH d AS (SELECT CAST(page_id % 40 AS VARCHAR) AS package, count(*) FILTER (WHERE page_id % 6 > 1) AS degraded_slides FROM pages GROUP BY 1)
+, s AS (SELECT CAST(conv_id % 50 AS VARCHAR) AS package, CAST(max(turn) + 1 AS BIGINT) AS source_slides FROM conversations GROUP BY 1)
+SELECT package, coalesce(degraded_slides, 0) AS degraded_slides, coalesce(source_slides, 0) AS source_slides, coalesce(degraded_slides, 0) <> coalesce(source_slides, 0) AS mismatch FROM d FULL JOIN s USING (package)"""),
     "fp_ahash": (fp_ahash, f"WITH {_V}, e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(v) AS x, list_sum(v) / 64 AS m FROM v) " + _ahash_sql("x > m", "e").format("ahash")),
     "fp_phash": (fp_phash, f"WITH {_V}, {_DCT}, e AS (SELECT vec_id, k AS i, y, m FROM dct JOIN med USING (vec_id)) " + _ahash_sql("y > m", "e").format("phash")),
     "fp_moments": (fp_moments, f"""WITH {_V}, m AS (SELECT vec_id, v, list_sum(v) / 64 AS m FROM v)

@@ -136,24 +136,36 @@ def archives_of(stream: bytes) -> list[tuple[int, list[tuple], bytes]]:
 
 
 def decoded(entries: DataFrame) -> DataFrame:
-    """package and archives of the .iwa entries directly under Index/. A broken file has none. entries: package, path, bytes."""
+    """package, path, position in it and archives of the .iwa entries directly under Index/. A broken file has none. entries: package, path, bytes."""
     ship(entries.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for package, template, data in zip(batch["package"], batch["is_template"], batch["bytes"]):
+            for package, path, template, data in zip(batch["package"], batch["path"], batch["is_template"], batch["bytes"]):
                 try:
                     found = archives_of(unframed(bytes(data)))
                 except Broken:
                     continue
-                for identifier, messages, payload in found:
+                for position, (identifier, messages, payload) in enumerate(found):
                     infos = [{"type": t, "length": n, "object_refs": o, "data_refs": r} for t, n, o, r in messages]
-                    rows.append((package, identifier, bool(template), infos, payload))
-            yield pd.DataFrame(rows, columns=["package", "id", "is_template", "message_infos", "payload"])
+                    rows.append((package, path, position, identifier, bool(template), infos, payload))
+            yield pd.DataFrame(rows, columns=["package", "path", "position", "id", "is_template", "message_infos", "payload"])
 
-    own = entries.where(F.col("path").rlike(r"(^|/)Index/[^/]*\.iwa$")).select("package", S.is_template(S.basename(F.col("path"))).alias("is_template"), "bytes")
-    return own.mapInPandas(run, f"package string, {ARCHIVES}")
+    own = entries.where(F.col("path").rlike(r"(^|/)Index/[^/]*\.iwa$")).select("package", "path", S.is_template(S.basename(F.col("path"))).alias("is_template"), "bytes")
+    return own.mapInPandas(run, f"package string, path string, position int, {ARCHIVES}")
+
+
+def last_of_each(archives: DataFrame) -> DataFrame:
+    """One archive of each package and id: the last one, by path and position; a template if any of them is one.
+
+    Ids and places meet first, so that a payload moves once and only that of the last.
+    """
+    place = F.struct("path", "position")
+    last = archives.groupBy("package", "id").agg(F.max(place).alias("last"), F.max("is_template").alias("any_template"))
+    last = last.select("package", "id", "last.path", "last.position", "any_template")
+    joined = archives.join(last, ["package", "id", "path", "position"])
+    return joined.withColumn("is_template", F.col("any_template")).select(archives.columns)
 
 
 def object_edges(archives: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from slatewise.functions import scalars as S
 from slatewise.sources import zips
 
+SLIDE_RELS = r"ppt/slides/_rels/[^/]*\.rels$"
+
 
 def entries(spark: SparkSession, files: str, wanted: str = "") -> DataFrame:
     """package, path, bytes, error of all entries of zip files at a path or pattern; wanted: a pattern that entry paths must match.
@@ -33,7 +35,7 @@ def relationships(parts: DataFrame) -> DataFrame:
 
 def slide_media(parts: DataFrame) -> DataFrame:
     """slide_no, filename for each media reference of slides, duplicates kept, and package where parts have it. parts: path, xml."""
-    rels = relationships(parts.where(F.col("path").rlike(r"ppt/slides/_rels/[^/]*\.rels$")))
+    rels = relationships(parts.where(F.col("path").rlike(SLIDE_RELS)))
     found = rels.where(F.lower("target").contains("/media/"))
     package = [c for c in ("package",) if c in parts.columns]
     return found.select(*package, S.slide_number(F.col("path")).alias("slide_no"), S.basename(F.col("target")).alias("filename")).where("filename <> '' AND slide_no IS NOT NULL")
