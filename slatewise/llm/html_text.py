@@ -11,9 +11,16 @@ missing end tags. The vote table has one row per host and is written. Where it i
 size, it is broadcast and no page moves. Else the pages of hosts with very many pages, of which there can
 only be few, meet their rows by a broadcast, and those of all others by a join on the host.
 
-Inside the winning container only what isn't the article goes: elements that are menus, headers, footers,
-sidebars, forms and the like by their tag or role, and those that are notices, adverts or reader comments
-by a whole name in their class or id.
+Inside the winning container only what isn't the article goes. Elements that are menus, headers, footers,
+sidebars or forms by their tag, role or a hidden state go, and so do adverts, sidebars, navigation and reader comments by
+their class or id. Names that an article may use itself (menu, notice, footer, promotion, ...) only raise a doubt, which
+the element's own text settles when it ends: lists and tables go if most of their text is links, a block with such a
+whole name if it has less than SHORT characters outside links, a block with such a part of a name if most of it is links.
+Paragraphs, headings, cells and figures of such names stay. A button's word in a paragraph stays.
+
+Time and memory grow with a page, however deep it is or however many of its elements never end: sums are kept once
+and not in every open element, an element holds its own part of its path alone, and below DEPTH levels
+elements are not told apart.
 """
 
 from __future__ import annotations
@@ -48,42 +55,80 @@ _BLOCK = frozenset(
 _CONTAINER = frozenset("article body div main section td".split())
 _NEVER = frozenset("nav header footer aside form button select option menu dialog head noscript object canvas audio video svg iframe".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-_AWAY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav(?:bar|igation)?|menu|breadcrumbs?|masthead|footer"
-    r"|side-?bar|widgets?|related-?(?:posts|articles|links)|share-?(?:buttons?|bar|links)|social-?(?:buttons?|bar|links|media)|newsletter|subscribe|signup|login|cookies?|consent|gdpr|notices?"
-    r"|popup|comments|comment-?(?:list|section|thread|form)|disqus|pagination|pager|toolbar|skip-?link)(?:$|[\s_-])",
-    re.I,
+#: Parts of names that tell what isn't the article, and names of the same kind that are told by two parts.
+_GONE = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored sidebar nav navbar navigation breadcrumb breadcrumbs newsletter pagination gdpr masthead".split())
+_READERS = frozenset("comment comments disqus responses replies respond".split())
+_DOUBTED = frozenset(
+    "menu footer banner notice notices promo promos promotion promotions widget widgets consent cookie cookies related share sharing social subscribe signup login popup toolbar pager skip recommended".split()
 )
-_HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)  # of the site, not of an article
+_PAIRED = (frozenset("cookie cookies privacy".split()), frozenset("banner notice consent bar popup message overlay policy".split()))
+_SITE_HEADER = frozenset("header site-header page-header".split())
+#: Elements that such names can remove, and those of them that are lists.
+_LISTS = frozenset("ul ol dl table menu".split())
+_BLOCKS = _LISTS | frozenset("div section span".split())
+SHORT, DEPTH = 200, 512
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|text|body|page)(?:$|[\s_-])", re.I)
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _DIGITS = re.compile(r"\d+")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "away", "text", "links", "paragraphs", "score", "start", "end")
+    __slots__ = ("tag", "above", "part", "depth", "away", "doubt", "text", "links", "paragraphs", "score", "start", "end", "containers")
 
-    def __init__(self, tag: str, path: str, away: bool, start: int):
-        self.tag, self.path, self.away, self.start, self.end = tag, path, away, start, -1
-        self.text = self.links = self.paragraphs = 0
+    def __init__(self, tag: str, above: _Element | None, part: str, away: bool, doubt: int):
+        self.tag, self.above, self.part, self.away, self.doubt = tag, above, part, away, doubt
+        self.depth = above.depth + bool(part) if above else 0
+        self.text = self.links = self.paragraphs = self.start = self.containers = 0
+        self.end = -1
         self.score = 0.0
 
+    def parts(self) -> list[str]:
+        """Parts of the path, from the element up; inline elements have none."""
+        out, e = [], self
+        while e is not None:
+            if e.part:
+                out.append(e.part)
+            e = e.above
+        return out
+
+    @property
+    def path(self) -> str:
+        return "".join(f"/{p}" for p in reversed(self.parts()))
+
 
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v[1:-1] if v[:1] in "\"'" else v) for k, v in _ATTR.findall(raw)} if raw.strip() else {}
 
 
-def _is_away(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+WHOLE, PART = 1, 2
+
+
+def _standing(tag: str, attrs: dict[str, str], in_article: bool, in_paragraph: bool) -> tuple[bool, int]:
+    """Whether an element is no part of an article, and what its name says against it: 0, WHOLE or PART."""
     if tag in _NEVER:
-        return not (tag == "header" and in_article)
+        return not (tag == "header" and in_article or tag == "button" and in_paragraph), 0
     if not attrs:
-        return False
+        return False, 0
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in _ROLES:
-        return True
+        return True, 0
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
-        return True
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-    return bool(named) and tag not in ("body", "html", "main", "article") and bool(_AWAY.search(named) or not in_article and _HEADER.search(named))
+        return True, 0
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
+    if tag not in _BLOCKS:
+        return tag == "p" and not _GONE.isdisjoint(names), 0
+    doubt = 0
+    for name in names:
+        parts = set(_PARTS.split(name))
+        if not _GONE.isdisjoint(parts) or not _READERS.isdisjoint(parts) or all(not p.isdisjoint(parts) for p in _PAIRED):
+            return True, 0
+        if name in _DOUBTED or name in _SITE_HEADER and not in_article:
+            doubt = WHOLE
+        elif not doubt and not _DOUBTED.isdisjoint(parts):
+            doubt = PART
+    return False, doubt
+
+
+_PARTS = re.compile(r"[-_]")
 
 
 def parse(page: str) -> tuple[list[str], list[_Element]]:
@@ -92,28 +137,38 @@ def parse(page: str) -> tuple[list[str], list[_Element]]:
     Events are texts that are kept, each with the place where its block starts: (block number, text).
     """
     events: list = []  # (block, text)
-    root = _Element("html", "", False, 0)
+    root = _Element("html", None, "", False, 0)
     stack, found = [root], [root]
-    block = at = 0
+    block = at = text = links = 0  # text, links: characters so far; an element has what came while it was open
+    is_open: dict[str, int] = {}
+    deeper: dict[str, int] = {}
 
-    def put(text: str) -> None:
-        if not text or stack[-1].away:
+    def put(raw: str) -> None:
+        nonlocal text, links
+        if not raw or stack[-1].away:
             return
-        events.append((block, text))
-        n = len(text.strip())
+        events.append((block, raw))
+        n = len(raw.strip())
         if n:
-            linked = any(e.tag == "a" for e in stack[-4:])
-            for e in stack:
-                e.text += n
-                if linked:
-                    e.links += n
+            text += n
+            if any(e.tag == "a" for e in stack[-4:]):
+                links += n
             if any(e.tag == "p" for e in stack[-3:]):
                 for e in stack[-5:]:
                     e.paragraphs += n
 
     def close(down_to: int) -> None:
+        nonlocal text, links
         while len(stack) > down_to:
-            stack.pop().end = len(events)
+            e = stack.pop()
+            is_open[e.tag] -= 1
+            own, linked = text - e.text, links - e.links
+            if e.doubt and not e.away and (linked * 2 >= own if e.doubt == PART or e.tag in _LISTS else own - linked < SHORT):
+                del events[e.start :], found[e.containers :]
+                text, links = e.text, e.links
+                for outer in stack[-4:]:
+                    outer.paragraphs = max(0, outer.paragraphs - e.paragraphs)
+            e.text, e.links, e.end = own, linked, len(events)
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -125,6 +180,11 @@ def parse(page: str) -> tuple[list[str], list[_Element]]:
         if m["end"]:
             if tag in _BLOCK:
                 block += 1
+            if deeper.get(tag):
+                deeper[tag] -= 1
+                continue
+            if not is_open.get(tag):
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     close(k)
@@ -151,21 +211,24 @@ def parse(page: str) -> tuple[list[str], list[_Element]]:
                         break
         if tag in _VOID or (m["attrs"] or "").endswith("/") and tag not in _BLOCK:
             continue
+        if len(stack) > DEPTH:
+            deeper[tag] = deeper.get(tag, 0) + 1
+            continue
         attrs = _attributes(m["attrs"] or "")
         top = stack[-1]
-        away = top.away or _is_away(tag, attrs, any(e.tag == "article" for e in stack))
-        if tag in _BLOCK:
-            path = f"{top.path}/{tag}" + "".join(f".{c}" for c in sorted(_DIGITS.sub("N", attrs.get("class", "")).split()))
-        else:
-            path = top.path
-        e = _Element(tag, path, away, len(events))
+        away, doubt = _standing(tag, attrs, bool(is_open.get("article")), any(e.tag == "p" for e in stack[-3:]))
+        part = tag + "".join(f".{c}" for c in sorted(_DIGITS.sub("N", attrs.get("class", "")).replace("/", "_").split())) if tag in _BLOCK else ""
+        e = _Element(tag, top, part, top.away or away, doubt)
+        e.start, e.containers, e.text, e.links = len(events), len(found), text, links
         stack.append(e)
-        if tag in _CONTAINER and not away:
+        is_open[tag] = is_open.get(tag, 0) + 1
+        if tag in _CONTAINER and not e.away:
             found.append(e)
             e.score = 1.0 if _GOOD.search(f"{attrs.get('class', '')} {attrs.get('id', '')} {tag}") else 0.0
     if at < len(page) and not page.startswith("<", at):
         put(html.unescape(page[at:]))
-    close(0)
+    close(1)
+    root.text, root.links, root.end = text, links, len(events)
     return events, found
 
 
@@ -175,7 +238,7 @@ def scores(found: list[_Element]) -> list[float]:
     out = []
     for e in found:
         own = (e.text - 2 * e.links) / whole
-        out.append(own + 0.3 * e.paragraphs / whole + {"article": 0.5, "main": 0.4}.get(e.tag, 0.2 * e.score) * own + 0.01 * e.path.count("/"))
+        out.append(own + 0.3 * e.paragraphs / whole + {"article": 0.5, "main": 0.4}.get(e.tag, 0.2 * e.score) * own + 0.01 * min(e.depth, 30))
     return out
 
 
@@ -191,7 +254,8 @@ def best_path(page: str) -> str | None:
 def text_at(page: str, path: str | None) -> str:
     """The blocks under the elements at a path, or under the page's best container where there is none with text."""
     events, found = parse(page)
-    chosen = [e for e in found if e.path == path and e.text] if path is not None else []
+    parts = (path or "").split("/")[:0:-1]
+    chosen = [e for e in found if e.depth == len(parts) and e.text and e.parts() == parts] if path is not None else []
     if not chosen:
         points = scores(found)
         chosen = [found[max(range(len(found)), key=lambda k: (points[k], -k))]]
