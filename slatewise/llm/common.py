@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slatewise.shared import folder
+
 #: White space that separates words; everything else belongs to a word.
 SPACES = "\t\n\x0b\x0c\r "
 LEAST_ID = -(2**63)
@@ -56,37 +59,35 @@ def mixed_sql(x: str, seed: int) -> str:
     return f"((xor({v}, {v} >> 15) * 48271 + 11) % {m})"
 
 
-def _folder(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names. Where it is unset a local run gets one; a cluster has to name it."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/slatewise-{uuid.uuid4().hex}")
-    return sc._jsc.sc().getCheckpointDir().get()
+_made: ContextVar[list | None] = ContextVar("made", default=None)
+_collected = 0.0
+#: Seconds after which the driver's JVM collects again.
+COLLECT = 5
 
 
 def saved(df: DataFrame, sweep: bool = False) -> DataFrame:
     """The rows, computed once and written as a table in the shared checkpoint folder; lineage ends there.
 
-    On a cluster the driver's JVM collects after each table, which keeps its heap small. With sweep, what was
-    shuffled for the table is let go as well, and not when the JVM would next collect.
+    The driver's JVM collects every COLLECT seconds, which keeps its heap small. With sweep it does so in any case, so that what was
+    shuffled for the table is let go at once.
     """
+    global _collected
     spark = df.sparkSession
-    sc = spark.sparkContext
-    path = f"{_folder(spark)}/slatewise-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/slatewise-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
-    if not sc.master.startswith("local"):
+    if sweep or time.monotonic() - _collected > COLLECT:
         # the cleaner drops the files of frames that the JVM has let go, some of which only a second collection finds
         for _ in range(2 if sweep else 1):
             gc.collect()
-            sc._jvm.System.gc()
+            spark.sparkContext._jvm.System.gc()
             time.sleep(0.2 if sweep else 0)
+        _collected = time.monotonic()
     out = spark.read.schema(schema).parquet(path)
     out.saved_at = path
+    if _made.get() is not None:
+        _made.get().append(out)
     return out
 
 
@@ -96,3 +97,17 @@ def discard(*tables: DataFrame) -> None:
         sc = t.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(t.saved_at)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def finished(make: Callable[[], DataFrame], sweep: bool = False) -> DataFrame:
+    """saved(make()), and all other tables that saved() wrote for it deleted."""
+    outer, made, done = _made.get(), [], None
+    token = _made.set(made)
+    try:
+        done = saved(make(), sweep)
+    finally:
+        _made.reset(token)
+        discard(*[t for t in made if t is not done])
+    if outer is not None:
+        outer.append(done)
+    return done

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatewise.llm.common import SPACES, discard, id_key, saved
+from slatewise.llm.common import SPACES, discard, finished, id_key, saved
 from slatewise.shipping import ship
 
 #: Symbols that are worked on at once; longer texts go in overlapping pieces.
@@ -298,7 +298,7 @@ def until_agreed(attempt: Callable[[int], DataFrame]) -> DataFrame:
     """attempt(seed), a table with a column wrong, of the first seed whose rows are all right; without that column."""
     for seed in range(SEEDS):
         try:
-            done = saved(attempt(seed))
+            done = finished(lambda: attempt(seed))  # noqa: B023
         except Collision:
             continue
         if done.where("wrong").isEmpty():

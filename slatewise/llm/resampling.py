@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slatewise.llm.common import saved, table
+from slatewise.llm.common import finished, saved, table
 from slatewise.shipping import ship
 
 #: Bytes of a chunk's own words, about.
@@ -166,9 +166,13 @@ def resampled(
     logarithm: some 100,000 values at most, whatever the table) say how many rows are above each, and rows of one score
     are numbered among themselves.
     """
-    w = weighted(docs, target, n, buckets, chunk)
-    scored = w.select("doc_id", "n_features", "weight", noisy(F.col("weight"), F.col("doc_id"), seed).alias("score"), (F.col("n_words") >= least_words).alias("able"))
-    rows = saved(scored.groupBy("doc_id", "n_features", "weight", "score", "able").agg(F.count(F.lit(1)).alias("copies")))
+    def counted() -> DataFrame:
+        w = weighted(docs, target, n, buckets, chunk)
+        score = noisy(F.col("weight"), F.col("doc_id"), seed).alias("score")
+        scored = w.select("doc_id", "n_features", "weight", score, (F.col("n_words") >= least_words).alias("able"))
+        return scored.groupBy("doc_id", "n_features", "weight", "score", "able").agg(F.count(F.lit(1)).alias("copies"))
+
+    rows = finished(counted)
     able = rows.where("able")
     per = able.groupBy("score").agg(F.sum("copies").alias("here"))
     falling = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
