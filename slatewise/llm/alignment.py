@@ -19,7 +19,7 @@ document, and nothing is broadcast but the two vocabularies.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slatewise.llm.bpe import byte_symbols, public_vocabulary
+from slatewise.llm.bpe import PATTERN, byte_symbols, public_vocabulary
 from slatewise.llm.common import saved, table
 from slatewise.llm.pieces import SPACE, public_pieces, read_pieces
 from slatewise.shipping import ship
@@ -48,6 +48,14 @@ REMEMBERED = 500_000
 UNIT = regex.compile(r"(?s).[^ ]*+(?:(?: (?!\S)| (?<=  ))[^ ]*+)*+")
 NONE, A_END, B_END, BOTH = b".abx"
 GROUP = re.compile(rb"[^x]*x")
+_UNEVEN = re.compile(r" (?:\s|\Z)").search
+
+
+def units_of(text: str) -> list[str]:
+    """The units of a text, without the space before each."""
+    if text[0] != " " and not _UNEVEN(text):
+        return text.split(" ")  # each space stands after another character and before one that isn't white space
+    return [u[1:] for u in UNIT.findall(" " + text)]
 
 
 def labels(size: int, a_ends: np.ndarray, b_ends: np.ndarray) -> bytes:
@@ -67,27 +75,32 @@ def groups(labelled: bytes) -> list[tuple[int, int]]:
 
 
 class Tokenizers:
-    """A and B as their libraries encode, from the text of A's file and the bytes of B's."""
+    """A and B as libraries encode, from the text of A's file and the bytes of B's.
+
+    A's merges run in tiktoken, which takes a vocabulary whose ids rise with the ranks of merges, as those of such files do.
+    """
 
     def __init__(self, a: str, b: bytes):
         import sentencepiece
-        import tokenizers
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.a = tokenizers.Tokenizer.from_str(a)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
+        import tiktoken
+
+        spec = json.loads(a)["model"]
+        vocab, symbols = spec["vocab"], byte_symbols()
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["merges"]]
+        if made != sorted(made) or made and made[0] <= max(vocab[s] for s in symbols):
+            raise ValueError("ids of A's vocabulary don't rise with its merges")
+        of_symbol = {s: b for b, s in enumerate(symbols)}
+        kept = {vocab[s] for s in symbols}.union(made)
+        string = {i: bytes(map(of_symbol.get, t)) for t, i in vocab.items() if i in kept}
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={x: i for i, x in string.items()}, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
-        of_symbol = {s: b for b, s in enumerate(byte_symbols())}
-        string = {i: bytes(map(of_symbol.get, t)) for t, i in self.a.get_vocab().items() if all(c in of_symbol for c in t)}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.a_bytes = [string.get(i, b"") for i in range(max(string) + 1)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of units that start with a space; B puts that space there itself."""
-        return [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)], self.b.encode([u[1:] for u in units], num_threads=1)
+    def encode(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of a text that starts with a space; B puts that space there itself."""
+        return self.a.encode_ordinary(text), self.b.encode(text[1:])
 
 
 class Units:
@@ -111,19 +124,22 @@ class Units:
         return self._parts[0]
 
     def add(self, units: list[str]) -> None:
-        """Learns new units; their bytes stand one after another, and both tokenizers end with each."""
-        raw = "".join(units).encode()
-        a_lists, b_lists = self.tokenizers.encode(units)
-        a, b = (np.array(list(chain.from_iterable(x)), np.int64) for x in (a_lists, b_lists))
-        joined = (b"".join(map(t.__getitem__, x.tolist())) for t, x in ((self.tokenizers.a_bytes, a), (self.tokenizers.b_bytes, b)))
-        if any(x != raw for x in joined):
+        """Learns new units, without the space before each. They are encoded as one text, in which both tokenizers end with each."""
+        text = " " + " ".join(units)
+        raw = text.encode()
+        a_ids, b_ids = self.tokenizers.encode(text)
+        if any(b"".join(map(t.__getitem__, x)) != raw for t, x in ((self.tokenizers.a_bytes, a_ids), (self.tokenizers.b_bytes, b_ids))):
             raise ValueError("a unit isn't given back by its tokens")
-        found = groups(labels(len(raw), np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])))
+        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        a_at, b_at = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        found = groups(labels(len(raw), a_at, b_at))
         n_a, n_b = np.array(found, np.int64).reshape(-1, 2).T
-        of_a, of_b = np.array(list(map(len, a_lists))), np.array(list(map(len, b_lists)))
+        last = np.cumsum([len(u.encode()) + 1 for u in units])
+        to_a, to_b = np.searchsorted(a_at, last) + 1, np.searchsorted(b_at, last) + 1  # tokens up to the end of each unit
+        of_a, of_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
         a_end, b_end = np.cumsum(n_a), np.cumsum(n_b)
-        ends = np.searchsorted(a_end, np.cumsum(of_a)) + 1  # groups up to the end of each unit
-        sides = list(map(self.decimal.__getitem__, a.tolist())), list(map(self.decimal.__getitem__, b.tolist()))
+        ends = np.searchsorted(a_end, to_a) + 1  # and groups
+        sides = list(map(self.decimal.__getitem__, a_ids)), list(map(self.decimal.__getitem__, b_ids))
         written, at_a, at_b = [], 0, 0
         for x, y in zip(a_end.tolist(), b_end.tolist()):
             written.append(",".join(sides[0][at_a:x]) + "|" + ",".join(sides[1][at_b:y]))
@@ -141,7 +157,7 @@ class Units:
 
     def of(self, texts: list[str]) -> list[list[int]]:
         """Numbers of the units of each text, in order; none where tokens can't give a text back."""
-        cut = [UNIT.findall(" " + t) if t and SPACE not in t else [] for t in texts]
+        cut = [units_of(t) if t and SPACE not in t else [] for t in texts]
         known = self.number
         new = [u for u in dict.fromkeys(chain.from_iterable(cut)) if u not in known]
         for at in range(0, len(new), AT_ONCE):
