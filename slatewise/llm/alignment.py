@@ -160,8 +160,13 @@ class Units:
         cut = [units_of(t) if t and SPACE not in t else [] for t in texts]
         known = self.number
         new = [u for u in dict.fromkeys(chain.from_iterable(cut)) if u not in known]
-        for at in range(0, len(new), AT_ONCE):
-            self.add(new[at : at + AT_ONCE])
+        # what starts or ends a text with white space isn't cut off from a neighbour
+        plain = [u for u in new if u and not u[0].isspace() and u[-1] != " "]
+        for at in range(0, len(plain), AT_ONCE):
+            self.add(plain[at : at + AT_ONCE])
+        for u in new:
+            if u not in known:
+                self.add([u])
         return [list(map(known.__getitem__, units)) for units in cut]
 
 
