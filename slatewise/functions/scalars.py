@@ -204,11 +204,6 @@ def inject_overflow(svg: Column) -> Column:
     return F.when(~svg.contains("<svg") | svg.contains("overflow"), svg).otherwise(F.regexp_replace(svg, r"^((?s).*?<svg[^>]*?)(/?>)", '$1 overflow="hidden"$2'))
 
 
-def replace_all(xml: Column, plan: Column) -> Column:
-    """Literal replacements, one after another; plan: array<struct<old, new>>."""
-    return F.aggregate(plan, xml, lambda acc, p: F.replace(acc, p["old"], p["new"]))
-
-
 def slide_label(slides: Column) -> Column:
     """"Slide 3" or "Slides 1, 2"."""
     return F.when(F.size(slides) == 0, "No slide").otherwise(

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
+from slatewise.functions.replacing import Replacer
+from slatewise.shipping import ship
 from slatewise.sources import package
 
 
@@ -53,10 +58,28 @@ def materialised(plan: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def rewrite(parts: DataFrame, replacements: DataFrame) -> DataFrame:
-    """Package parts with every reference replaced, in plan order. parts: package, path, xml; replacements: package, seq, old, new."""
-    per = replacements.groupBy("package").agg(F.sort_array(F.collect_list(F.struct("seq", "old", "new"))).alias("plan"))
-    joined = parts.join(per, "package", "left")
-    return joined.select("package", "path", F.when(F.col("plan").isNull(), F.col("xml")).otherwise(S.replace_all(F.col("xml"), F.col("plan"))).alias("xml"))
+    """Package parts with every reference replaced, in plan order. parts: package, path, xml; replacements: package, seq, old, new.
+
+    All replacements of a package are one automaton, made once in a worker, and a part is read once whatever their number
+    (see replacing.Replacer). A part without xml stays without.
+    """
+    ship(parts.sparkSession)
+    per = replacements.where("old IS NOT NULL AND new IS NOT NULL").groupBy("package").agg(F.sort_array(F.collect_list(F.struct("seq", "old", "new"))).alias("plan"))
+    joined = parts.select("package", "path", "xml").join(per, "package").select("package", "path", "xml", F.transform("plan", lambda p: F.struct(p["old"], p["new"])).alias("plan"))
+    others = parts.join(per, "package", "left_anti").select("package", "path", "xml")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, replacer = None, None
+        for batch in batches:
+            texts = []
+            for package, xml, plan in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if replacer is None or package != here:
+                    here, replacer = package, Replacer([tuple(p.values()) for p in plan.as_py()])
+                texts.append(replacer(xml.as_py()) if xml.is_valid else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["package", "path", "xml"])
+
+    kinds = ", ".join(f"{c} {parts.schema[c].dataType.simpleString()}" for c in ("package", "path"))
+    return joined.mapInArrow(run, f"{kinds}, xml string").unionByName(others)
 
 
 def missing_content_types(needed: DataFrame, registered: DataFrame) -> DataFrame:
