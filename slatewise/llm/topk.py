@@ -7,12 +7,13 @@ The terms of a vector are its components. A task puts its rows in an order in wh
 alike (it splits them again and again by the direction from one far row to another) and cuts them into
 document ranges of RANGE rows, and these into pieces of PIECE rows; for each it keeps every term's
 maximum and minimum. A query's bound for a range or piece is the sum of what each term can add at most.
-Ranges are taken in order of falling bound; those of their pieces whose bound reaches the k-th best
-score so far are scored through their forward index (their rows as a matrix), until the next range's
-bound is below the k-th score. At a bound equal to it scoring goes on, since a tie goes to the smaller id.
+Ranges are taken in order of falling bound. Only in a range that is opened are its pieces' bounds worked out, and those
+pieces whose bound reaches the k-th best score so far are scored through their forward index (their rows as a matrix),
+until the next range's bound is below the k-th score. Where pieces' bounds rule out fewer rows than they cost, ranges
+are scored whole. At a bound equal to it scoring goes on, since a tie goes to the smaller id.
 
-Before that each query is searched in one block alone; its k-th score there is a floor that it takes
-to all blocks. Each task returns k rows a query at most; Spark ranks those of all tasks.
+Each query is searched in one block first; what is found there is kept, and its k-th score is a floor that it takes
+to all other blocks. Each task returns k rows a query at most; Spark ranks those of all tasks.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ QUERIES = 4096
 #: Components of a block of rows, on average, and the least number of its rows.
 COMPONENTS = 1 << 21
 LEAST_ROWS = 1 << 10
-RANGE, PIECE = 64, 2
+RANGE, PIECE = 64, 8
+#: Pieces looked at before their bounds have to save more products than they cost.
+ENOUGH = 64
 STEP = 8
 AT_ONCE = 128
 EXACT = 2**53
@@ -91,6 +94,7 @@ class Search:
         self.floors = np.full(len(ids), -LONG, np.int64) if floors is None else floors
         self.found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]  # scores, ids: best first
         self.scored = np.zeros(len(ids), np.int64)
+        self.products = np.zeros(len(ids), np.int64)  # of whole vectors, those for bounds among them
 
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
         if not len(ids):
@@ -98,36 +102,39 @@ class Search:
         with np.errstate(all="ignore"):
             order = alike(rows)
             ids, rows = ids[order], rows[order]
-            extremes = []
-            for size in (RANGE, PIECE):
-                starts = np.arange(0, len(ids), size)
-                extremes.append((np.maximum.reduceat(rows, starts, axis=0), np.minimum.reduceat(rows, starts, axis=0)))
+            ranges, pieces = ((np.maximum.reduceat(rows, at, axis=0), np.minimum.reduceat(rows, at, axis=0)) for at in (np.arange(0, len(ids), n) for n in (RANGE, PIECE)))
             for at in range(0, len(self.ids), AT_ONCE):
                 some = self.queries[at : at + AT_ONCE]
-                bounds = []
-                for most, least in extremes:
-                    b = np.maximum(some, 0) @ most.T + np.minimum(some, 0) @ least.T
-                    # bounds of very large numbers are rounded: a little is added so that they stay bounds
-                    bounds.append(np.nan_to_num(b + np.abs(b) * 1e-12, nan=np.inf))
+                bounds = upper(np.maximum(some, 0), np.minimum(some, 0), *ranges)
                 for i in range(len(some)):
-                    self._search(at + i, ids, rows, bounds[0][i], bounds[1][i])
+                    self._search(at + i, ids, rows, bounds[i], pieces)
 
-    def _search(self, i: int, ids: np.ndarray, rows: np.ndarray, ranges: np.ndarray, pieces: np.ndarray) -> None:
+    def _search(self, i: int, ids: np.ndarray, rows: np.ndarray, bounds: np.ndarray, pieces: tuple[np.ndarray, np.ndarray]) -> None:
         scores, held = self.found[i]
-        falling = np.argsort(-ranges, kind="stable")
+        query = self.queries[i]
+        parts = np.maximum(query, 0)[None], np.minimum(query, 0)[None]
+        falling = np.argsort(-bounds, kind="stable")
+        self.products[i] += 2 * len(bounds)
+        looked = ruled_out = 0
         for at in range(0, len(falling), STEP):
             kth = max(self.floors[i], scores[-1] if len(scores) == self.k else -LONG)
             some = falling[at : at + STEP]
-            some = some[ranges[some] >= kth]
+            some = some[bounds[some] >= kth]
             if not len(some):
                 break
             inside = (some[:, None] * (RANGE // PIECE) + np.arange(RANGE // PIECE)).ravel()
-            inside = inside[inside < len(pieces)]
-            inside = inside[pieces[inside] >= kth]
+            inside = inside[inside < len(pieces[0])]
+            if kth > -LONG and (looked < ENOUGH or ruled_out * PIECE >= 2 * looked):
+                self.products[i] += 2 * len(inside)
+                looked += len(inside)
+                near = upper(*parts, pieces[0][inside], pieces[1][inside])[0] >= kth
+                ruled_out += int((~near).sum())
+                inside = inside[near]
             inside = (inside[:, None] * PIECE + np.arange(PIECE)).ravel()
             inside = inside[inside < len(ids)]
             self.scored[i] += len(inside)
-            got = products(rows[inside], self.queries[i])
+            self.products[i] += len(inside)
+            got = products(rows[inside], query)
             use = (ids[inside] != self.ids[i]) & (got >= kth)
             s, h = np.concatenate([scores, got[use]]), np.concatenate([held, ids[inside][use]])
             best = np.lexsort((h, -s))[: self.k]
@@ -135,6 +142,13 @@ class Search:
         self.found[i] = (scores, held)
 
 
+def upper(above: np.ndarray, below: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Bounds of blocks of rows for queries: their positive parts take the terms' maxima and their negative ones the minima."""
+    b = above @ most.T + below @ least.T
+    # bounds of very large numbers are rounded: a little is added so that they stay bounds
+    return np.nan_to_num(b + np.abs(b) * 1e-12, nan=np.inf)
+
+
 def _met(queries: pa.Table, rows: pa.Table, k: int) -> Search:
     """The search of a block of queries (vec_id, v and perhaps floor) in a block of rows."""
     vectors = [t.column("v").combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.float64())) for t in (queries, rows)]
@@ -146,7 +160,7 @@ def _met(queries: pa.Table, rows: pa.Table, k: int) -> Search:
 
 
 def _searches(vectors: DataFrame, k: int, every: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks of queries with their floors, and blocks of rows, both by q and r: what a grid of tasks joins."""
+    """The first search of each query and those of the grid's other cells, as rows of _SEARCHED."""
     ship(vectors.sparkSession)
     rows = usable(vectors)
     n, asked, width = rows.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0), F.max(F.size("v"))).head()
@@ -155,17 +169,25 @@ def _searches(vectors: DataFrame, k: int, every: int) -> tuple[DataFrame, DataFr
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
     dealt = rows.withColumn("r", F.pmod(F.xxhash64("vec_id", "v"), F.lit(row_blocks)).cast("int"))
 
-    def first(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        found = _met(queries, rows, k).found
-        kth = [int(scores[-1]) if len(scores) == k else -LONG for scores, _ in found]
-        return queries.select(["vec_id", "v", "q"]).append_column("floor", pa.array(kth, pa.int64()))
+    def searched(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        search = _met(queries, rows, k)
+        ends = np.cumsum([0] + [len(h) for _, h in search.found])
+        scores, held = (pa.array(np.concatenate([np.empty(0, np.int64), *(f[i] for f in search.found)]), pa.int64()) for i in (0, 1))
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (scores, held)]
+        counts = [pa.array(x, pa.int64()) for x in (search.scored, search.products, np.full(len(search.ids), rows.num_rows))]
+        return queries.select(["vec_id", "v", "q"]).append_column("scores", lists[0]).append_column("held", lists[1]).append_column("scored", counts[0]).append_column("products", counts[1]).append_column("rows", counts[2])
+
+    # each block of queries is searched in one block of rows first, and blocks of rows go to the queries that start with them
+    blocks = lambda name, size, keep: F.explode(F.expr(f"filter(sequence(0, {size - 1}), {name} -> {keep})")).alias(name)
+    own = dealt.select("vec_id", "v", blocks("q", query_blocks, f"q % {row_blocks} = r"))
+    first = saved(queries.groupBy("q").cogroup(own.groupBy("q")).applyInArrow(searched, _SEARCHED))
+    floor = F.when(F.size("scores") == k, F.element_at("scores", -1)).otherwise(-LONG)
+    others = first.select("vec_id", "v", floor.alias("floor"), "q", blocks("r", row_blocks, f"q % {row_blocks} <> r"))
+    grid = dealt.select("vec_id", "v", "r", blocks("q", query_blocks, f"q % {row_blocks} <> r"))
+    return first, others.groupBy("q", "r").cogroup(grid.groupBy("q", "r")).applyInArrow(searched, _SEARCHED)
+
 
-    # each block of queries is searched in one block of rows, and blocks of rows go to the queries that start with them
-    starting = F.expr(f"filter(sequence(0, {query_blocks - 1}), q -> q % {row_blocks} = r)")
-    own = dealt.select("vec_id", "v", F.explode(starting).alias("q"))
-    floored = saved(queries.groupBy("q").cogroup(own.groupBy("q")).applyInArrow(first, "vec_id bigint, v array<double>, q int, floor bigint"))
-    grid = lambda name, size: F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(name)
-    return floored.select("vec_id", "v", "floor", "q", grid("r", row_blocks)), dealt.select("vec_id", "v", "r", grid("q", query_blocks))
+_SEARCHED = "vec_id bigint, v array<double>, q int, scores array<bigint>, held array<bigint>, scored bigint, products bigint, rows bigint"
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
@@ -176,29 +198,17 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     id is none of its candidates, and an id is one query, with the first of its vectors by value. Scores
     beyond a long stop at its limits. An empty table, or one without queries, gives no rows.
     """
-    queries, rows = _searches(vectors, k, every)
-
-    def search(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        found = _met(queries, rows, k)
-        own = np.repeat(found.ids, [len(h) for _, h in found.found])
-        empty = np.empty(0, np.int64)
-        scores, held = (np.concatenate([empty, *(f[i] for f in found.found)]) for i in (0, 1))
-        return pa.table({"query_id": pa.array(own, pa.int64()), "vec_id": pa.array(held, pa.int64()), "score": pa.array(scores, pa.int64())})
-
-    found = queries.groupBy("q", "r").cogroup(rows.groupBy("q", "r")).applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+    first, others = _searches(vectors, k, every)
+    found = first.unionByName(others).select(F.col("vec_id").alias("query_id"), F.explode(F.arrays_zip("scores", F.col("held").alias("ids"))).alias("x"))
+    found = found.select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def pairs_scored(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
-    """query_id, scored, held: how many of the rows that a query meets in a block are scored, and how many there are."""
-    queries, rows = _searches(vectors, k, every)
-
-    def count(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        found = _met(queries, rows, k)
-        return pa.table({"query_id": pa.array(found.ids, pa.int64()), "scored": pa.array(found.scored), "held": pa.array(np.full(len(found.ids), rows.num_rows, np.int64))})
-
-    return queries.groupBy("q", "r").cogroup(rows.groupBy("q", "r")).applyInArrow(count, "query_id bigint, scored bigint, held bigint")
+    """query_id, scored, products, rows of each search: rows scored, products of whole vectors made for scores and bounds, and rows there."""
+    first, others = _searches(vectors, k, every)
+    return first.unionByName(others).select(F.col("vec_id").alias("query_id"), "scored", "products", "rows")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
