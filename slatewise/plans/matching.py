@@ -184,6 +184,15 @@ def patch_plan(spark: SparkSession, d: str) -> DataFrame:
     return patch.plan(review.overridden(_mapping(spark, d), _overrides(spark, d)), "embed_png").drop("seq")
 
 
+def materialised_files(spark: SparkSession, d: str) -> DataFrame:
+    """What the plan copies from the source deck, and what it would have to draw; some vectors have a PDF of their stem."""
+    fp = fingerprints(spark, d)
+    names = fp.where("side = 'source'").select("filename").unionByName(fp.where("pk % 4 = 0").select(F.concat(F.lit("p"), "pk", F.lit("-9.pdf")).alias("filename")))
+    files = names.select("filename", F.encode(F.concat(F.lit("bytes of "), "filename"), "UTF-8").alias("bytes"))
+    plan = patch.plan(review.overridden(_mapping(spark, d), _overrides(spark, d)), "embed_png")
+    return patch.materialised(plan, files).select("new_name", F.md5("bytes").alias("digest"), "render_from")
+
+
 def debug_mapping(spark: SparkSession, d: str) -> DataFrame:
     m = _mapping(spark, d)
     first = review.first_candidate()
@@ -265,6 +274,13 @@ def _ahash_sql(flag: str, source: str) -> str:
     return f"""SELECT vec_id, lower(lpad(to_hex(CAST(sum(CASE WHEN {flag} THEN CAST(1 AS UBIGINT) << CAST(i AS UBIGINT) ELSE CAST(0 AS UBIGINT) END) AS UBIGINT)), 16, '0')) AS {{}} FROM {source} GROUP BY vec_id"""
 
 
+_PLAN = f"""{_MAP}, {_OVERRIDDEN}, n AS (
+  SELECT degraded, custom_url, CASE WHEN custom_url IS NOT NULL OR list_contains(list_transform(candidates, lambda c: c.name), choice) THEN choice ELSE candidates[1].name END AS choice FROM mo WHERE choice <> 'skip'
+), c AS (SELECT degraded, choice, custom_url, regexp_extract(choice, '\\.([^./]+)$', 1) AS e, regexp_extract(degraded, '\\.([^./]+)$', 1) AS de FROM n WHERE choice IS NOT NULL)
+, plan AS (SELECT degraded AS old_name, regexp_replace(degraded, '\\.[^./]+$', '') || '_repl.' || CASE WHEN e IN ('svg', 'pdf') THEN 'png' ELSE de END AS new_name, choice AS source_name,
+  CASE WHEN e IN ('svg', 'pdf') THEN e ELSE 'raster' END AS kind,
+  CASE CASE WHEN e IN ('svg', 'pdf') THEN 'png' ELSE de END WHEN 'svg' THEN 'image/svg+xml' WHEN 'pdf' THEN 'application/pdf' WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' ELSE 'application/octet-stream' END AS mime, custom_url AS url FROM c)"""
+
 QUERIES = {
     "hamming": (hamming, f"WITH {FP_SQL} SELECT filename, CAST(bit_count(xor(ahash, phash)) AS INTEGER) AS distance FROM fp"),
     "gate_ahash": (gate_ahash, f"WITH {FP_SQL}, {_CAND} SELECT degraded, count(*) AS n, max(ahash_distance) AS most FROM sc GROUP BY degraded"),
@@ -285,12 +301,12 @@ SELECT filename, quality, CASE quality WHEN 'xml_exact' THEN 'XML exact' WHEN 'n
     "override_choice": (override_choice, f"{_MAP}, {_OVERRIDDEN} SELECT degraded, choice, custom_url FROM mo"),
     "pending_summary": (pending_summary, f"""{_MAP} SELECT count(*) AS total, count(*) FILTER (WHERE choice <> 'skip') AS confirmed, count(*) FILTER (WHERE choice = 'skip') AS skipped,
   count(*) FILTER (WHERE choice SIMILAR TO '.*\\.(svg|pdf)') AS vectors, count(*) FILTER (WHERE choice <> 'skip' AND NOT choice SIMILAR TO '.*\\.(svg|pdf)') AS rasters, count(*) FILTER (WHERE choice <> 'skip') > 0 AS can_apply FROM map"""),
-    "patch_plan": (patch_plan, f"""{_MAP}, {_OVERRIDDEN}, n AS (
-  SELECT degraded, custom_url, CASE WHEN custom_url IS NOT NULL OR list_contains(list_transform(candidates, lambda c: c.name), choice) THEN choice ELSE candidates[1].name END AS choice FROM mo WHERE choice <> 'skip'
-), c AS (SELECT degraded, choice, custom_url, regexp_extract(choice, '\\.([^./]+)$', 1) AS e, regexp_extract(degraded, '\\.([^./]+)$', 1) AS de FROM n WHERE choice IS NOT NULL)
-SELECT degraded AS old_name, regexp_replace(degraded, '\\.[^./]+$', '') || '_repl.' || CASE WHEN e IN ('svg', 'pdf') THEN 'png' ELSE de END AS new_name, choice AS source_name,
-  CASE WHEN e IN ('svg', 'pdf') THEN e ELSE 'raster' END AS kind,
-  CASE CASE WHEN e IN ('svg', 'pdf') THEN 'png' ELSE de END WHEN 'svg' THEN 'image/svg+xml' WHEN 'pdf' THEN 'application/pdf' WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' ELSE 'application/octet-stream' END AS mime, custom_url AS url FROM c"""),
+    "patch_plan": (patch_plan, f"{_PLAN} SELECT * FROM plan"),
+    "materialised_files": (materialised_files, f"""{_PLAN}, names AS (SELECT filename FROM fp WHERE side = 'source' UNION ALL SELECT 'p' || pk || '-9.pdf' FROM fp WHERE pk % 4 = 0)
+, first AS (SELECT regexp_replace(regexp_replace(filename, '\\.pdf$', ''), '-[0-9]+$', '') AS stem, min(filename) AS pdf FROM names WHERE filename LIKE '%.pdf' GROUP BY 1)
+SELECT new_name, CASE WHEN kind = 'raster' AND f.filename IS NOT NULL THEN md5('bytes of ' || source_name) END AS digest,
+  CASE WHEN kind <> 'raster' THEN coalesce(CASE WHEN kind = 'svg' THEN pdf END, source_name) END AS render_from
+FROM plan LEFT JOIN names f ON f.filename = source_name LEFT JOIN first ON stem = regexp_replace(regexp_replace(source_name, '\\.[^./]+$', ''), '-[0-9]+$', '')"""),
     "debug_mapping": (debug_mapping, f"""{_MAP} SELECT degraded AS filename, quality, is_structural AS is_xml_exact, choice AS confirmed_match, CAST(len(candidates) AS INTEGER) AS n_candidates,
   coalesce(candidates[1].ahash_distance, 64) AS ahash_distance, CASE WHEN candidates[1].score < CAST('inf' AS FLOAT) THEN round(candidates[1].score, 2) END AS combined_score FROM map"""),
     "slide_label": (slide_label, f"""WITH {MEMBERS_SQL}, s AS (SELECT filename, list_sort(list(DISTINCT slide_no)) AS slides FROM membership GROUP BY filename)

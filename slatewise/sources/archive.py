@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slatewise.functions import scalars as S
@@ -159,13 +159,11 @@ def decoded(entries: DataFrame) -> DataFrame:
 def last_of_each(archives: DataFrame) -> DataFrame:
     """One archive of each package and id: the last one, by path and position; a template if any of them is one.
 
-    Ids and places meet first, so that a payload moves once and only that of the last.
+    Archives of one id are the files of a package that hold it, a few.
     """
-    place = F.struct("path", "position")
-    last = archives.groupBy("package", "id").agg(F.max(place).alias("last"), F.max("is_template").alias("any_template"))
-    last = last.select("package", "id", "last.path", "last.position", "any_template")
-    joined = archives.join(last, ["package", "id", "path", "position"])
-    return joined.withColumn("is_template", F.col("any_template")).select(archives.columns)
+    of_id = Window.partitionBy("package", "id")
+    ranked = archives.withColumn("n", F.row_number().over(of_id.orderBy(F.desc("path"), F.desc("position")))).withColumn("is_template", F.max("is_template").over(of_id))
+    return ranked.where("n = 1").select(archives.columns)
 
 
 def object_edges(archives: DataFrame) -> DataFrame:

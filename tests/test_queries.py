@@ -4,9 +4,9 @@ import pytest
 from conftest import SF, rows_in, rows_of
 
 import __spark_entry__
-from slatewise.plans import files, matching
+from slatewise.plans import archives, files, matching
 
-QUERIES = {**matching.QUERIES, **files.QUERIES}
+QUERIES = {**matching.QUERIES, **files.QUERIES, **archives.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
