@@ -18,6 +18,10 @@ paths whose guess fails: every clause has exactly one path, and its weight, the
 clause's. A document's weight is the sum over clauses; its logarithm passes through a logistic curve
 fitted to the labelled documents. Clauses without an insult or threat weigh 0 and are not run.
 
+What an aim adds, what a negation or a report leaves and what a threat without an aim weighs are learned too, where
+labels say anything about it: the forms in which the labelled documents hold insults and threats are counted, and a
+weight moves from its given value if the curve's likelihood rises by EVIDENCE at least.
+
 Labels come only from documents whose crc32 of the id mod 5 is not 0, at most LABELLED of them (by a
 hash of the id): a bound on what the driver and the broadcast hold. Every document is scored alike.
 """
@@ -28,7 +32,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +50,21 @@ LEAST_ODDS = 20
 LEVEL, LEVELS = 0.25, 8
 TARGETED, NEGATED, REPORTED, THREAT, UNAIMED = 0.5, 0.4, 0.5, 1.0, 0.5
 NEAR = 3
+#: Rise of the log-likelihood for which a weight leaves its given value, and the values that are tried.
+EVIDENCE = 2.0
+TRIED = {"targeted": (0.0, 0.25, 0.5, 1.0, 2.0), "negated": (0.0, 0.2, 0.4, 0.7, 1.0), "reported": (0.0, 0.2, 0.5, 0.8, 1.0), "unaimed": (0.0, 0.25, 0.5, 1.0)}
+
+
+class Weights(NamedTuple):
+    """Weights of arcs: what an aim adds to an insult, what negation and report leave, and a threat without a target."""
+
+    targeted: float = TARGETED
+    negated: float = NEGATED
+    reported: float = REPORTED
+    unaimed: float = UNAIMED
+
+
+GIVEN = Weights()
 
 # Short word lists of the grammar.
 TARGETS = frozenset("you your you're youre u ur he she they them him her these those tu te toi vous votre ton il elle ils du dich dir ihr euch dein deine er sie tú usted ustedes te ti él ella ellos".split())
@@ -114,15 +135,28 @@ AIMED = [f"I{k}" for k in range(1, LEVELS + 1)]
 PLAIN = ["o", "y", "n", "r"]
 
 
-def value(symbol: str) -> float:
+def read(machine, symbols: list[str]) -> list[str]:
+    """The symbols that the heaviest accepted path writes."""
+    now: dict = {s: (0.0, []) for s in machine.starts}
+    for symbol in symbols:
+        after: dict = {}
+        for state, (weight, written) in now.items():
+            for out, w, to in machine.arcs(state, symbol):
+                if to not in after or after[to][0] < weight + w:
+                    after[to] = weight + w, [*written, out] if out not in PLAIN else written
+        now = after
+    return max(((w, out) for s, (w, out) in now.items() if machine.accepts(s)), default=(0.0, []))[1]
+
+
+def value(symbol: str, weights: Weights = GIVEN) -> float:
     """What a symbol weighs before reported speech is known."""
     if symbol[0] == "~":
-        return NEGATED * value(symbol[1:])
+        return weights.negated * value(symbol[1:], weights)
     if symbol in PLAIN:
         return 0.0
     if symbol[0] in "tT":
-        return THREAT if symbol == "T" else UNAIMED
-    return LEVEL * int(symbol[1:]) + (TARGETED if symbol[0] == "I" else 0.0)
+        return THREAT if symbol == "T" else weights.unaimed
+    return LEVEL * int(symbol[1:]) + (weights.targeted if symbol[0] == "I" else 0.0)
 
 
 def insult_transducer() -> Transducer:
@@ -137,7 +171,7 @@ def insult_transducer() -> Transducer:
     return Transducer([0], arcs, set(range(NEAR + 1)))
 
 
-def aiming_transducer(kinds: dict[str, str], others: list[str], base: float = 0.0) -> Transducer:
+def aiming_transducer(kinds: dict[str, str], others: list[str], base: float = 0.0, weights: Weights = GIVEN) -> Transducer:
     """Rewrites the symbols of kinds that have a target within NEAR words on either side to their aimed form.
 
     State: (words that the last target still reaches, words that must hold no target, words by which one must come).
@@ -165,7 +199,7 @@ def aiming_transducer(kinds: dict[str, str], others: list[str], base: float = 0.
         for x, aimed in kinds.items():
             if not after:
                 continue
-            kept, risen = base * value(x), value(aimed) - (1 - base) * value(x)
+            kept, risen = base * value(x, weights), value(aimed, weights) - (1 - base) * value(x, weights)
             if state[0]:
                 found.append((x, aimed, risen, after))
             else:
@@ -180,7 +214,7 @@ def aiming_transducer(kinds: dict[str, str], others: list[str], base: float = 0.
     return Transducer([start], arcs, {s for s in known if not s[2]})
 
 
-def negation_transducer() -> Transducer:
+def negation_transducer(weights: Weights = GIVEN) -> Transducer:
     """State: words that the last negation still reaches."""
     arcs = {}
     for state in range(NEAR + 1):
@@ -188,11 +222,11 @@ def negation_transducer() -> Transducer:
             arcs[state, x] = [(x, 0.0, NEAR if x == "n" else max(state - 1, 0))]
         for x in [*INSULTS, *AIMED, "t", "T"]:
             out = f"~{x}" if state else x
-            arcs[state, x] = [(out, value(out) - value(x), max(state - 1, 0))]
+            arcs[state, x] = [(out, value(out, weights) - value(x, weights), max(state - 1, 0))]
     return Transducer([0], arcs, set(range(NEAR + 1)))
 
 
-def report_transducer() -> Transducer:
+def report_transducer(weights: Weights = GIVEN) -> Transducer:
     """States: direct speech; reported speech whose report word is still to come; reported speech."""
     arcs = {}
     loaded = [*INSULTS, *AIMED, "t", "T"]
@@ -200,18 +234,18 @@ def report_transducer() -> Transducer:
         if x != "r":
             arcs["direct", x] = [(x, 0.0, "direct")]
         for state in ("coming", "reported"):
-            arcs[state, x] = [(f'"{x}', (REPORTED - 1) * value(x), "reported" if x == "r" else state)]
+            arcs[state, x] = [(f'"{x}', (weights.reported - 1) * value(x, weights), "reported" if x == "r" else state)]
     return Transducer(["direct", "coming"], arcs, {"direct", "reported"})
 
 
-def transducers() -> list[Transducer]:
+def transducers(weights: Weights = GIVEN) -> list[Transducer]:
     """The five in the order in which they are composed."""
     return [
         insult_transducer(),
-        aiming_transducer({"t": "T"}, [*PLAIN, *INSULTS], base=1.0),
-        aiming_transducer(dict(zip(INSULTS, AIMED)), [*PLAIN, "t", "T"]),
-        negation_transducer(),
-        report_transducer(),
+        aiming_transducer({"t": "T"}, [*PLAIN, *INSULTS], 1.0, weights),
+        aiming_transducer(dict(zip(INSULTS, AIMED)), [*PLAIN, "t", "T"], 0.0, weights),
+        negation_transducer(weights),
+        report_transducer(weights),
     ]
 
 
@@ -225,11 +259,13 @@ def composed(parts: list):
 class Grammar:
     """Symbols of words by a lexicon (words, and stems with a trailing *, with their weights) and the composed transducers."""
 
-    def __init__(self, lexicon: dict[str, float], slope: float = 1.0, bias: float = -1.0):
+    def __init__(self, lexicon: dict[str, float], slope: float = 1.0, bias: float = -1.0, weights: Weights = GIVEN, without: str = ""):
+        """without: kinds of given words that count as any other: t(hreats), n(egations), r(eports), y (targets)."""
         self.words = {k: w for k, w in lexicon.items() if not k.endswith("*")}
         self.stems = {k[:-1]: w for k, w in lexicon.items() if k.endswith("*")}
         self.slope, self.bias = slope, bias
-        self.machine = composed(transducers())
+        self.weights, self.without = weights, without
+        self.machine = composed(transducers(weights))
         self.cache: dict[str, str] = {}
 
     def symbol(self, word: str) -> str:
@@ -243,7 +279,7 @@ class Grammar:
 
     def _symbol(self, word: str) -> str:
         for name, listed in (("t", THREATS), ("n", NEGATIONS), ("r", REPORTS), ("y", TARGETS)):
-            if word in listed:
+            if word in listed and name not in self.without:
                 return name
         weight = max([self.words.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in STEMS if len(word) > n)])
         return f"i{max(1, min(LEVELS, round(weight / LEVEL)))}" if weight > 0 else "o"
@@ -251,16 +287,32 @@ class Grammar:
     def clause(self, tokens: list[str]) -> float:
         return weigh(self.machine, [self.symbol(t) for t in tokens])
 
-    def total(self, text: str) -> float:
+    def loaded(self, text: str) -> Iterator[list[str]]:
+        """The words of each clause that holds an insult or threat."""
         lowered = text.lower()
         hit = {w for w in set(_WORD.findall(lowered)) if self.symbol(w)[0] in "ti"}
-        if not hit:
-            return 0.0
-        out = 0.0
-        for part in _CLAUSE.split(lowered):
-            tokens = _WORD.findall(part)
-            if not hit.isdisjoint(tokens):
-                out += self.clause(tokens)
+        if hit:
+            for part in _CLAUSE.split(lowered):
+                tokens = _WORD.findall(part)
+                if not hit.isdisjoint(tokens):
+                    yield tokens
+
+    def total(self, text: str) -> float:
+        return sum(map(self.clause, self.loaded(text)), 0.0)
+
+    def forms(self, text: str) -> list[float]:
+        """For speech that is direct, reported, negated and both: sum of insults' levels, aimed insults, aimed threats, other threats."""
+        out = [0.0] * 16
+        for tokens in self.loaded(text):
+            for symbol in read(self.machine, [self.symbol(t) for t in tokens]):
+                reported, negated = symbol[0] == '"', "~" in symbol
+                symbol = symbol.lstrip('"~')
+                at = 4 * (reported + 2 * negated)
+                if symbol[0] in "iI":
+                    out[at] += LEVEL * int(symbol[1:])
+                    out[at + 1] += symbol[0] == "I"
+                elif symbol in "tT":
+                    out[at + (2 if symbol == "T" else 3)] += 1
         return out
 
     def score(self, total: float) -> float:
@@ -276,8 +328,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     return saved(docs.select(key, F.col("text").cast("string").alias("text")).join(F.broadcast(kept), "_key").select("text", "toxic"))
 
 
-def learned(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Grammar:
+def learned(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, without: str = "") -> Grammar:
     """The grammar with weights from labelled documents; without any, the given lists alone."""
+    ship(docs.sparkSession)
     train = _labelled(docs, labels, limit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,21 +352,59 @@ def learned(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Gramma
     odds = F.log((F.col("toxic") + 0.5) / (sizes[0] + 1)) - F.log((F.col("other") + 0.5) / (sizes[1] + 1))
     chosen = counted.where((F.col("feature") != "") & (F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") > F.col("other"))).select("feature", odds.alias("odds")).where(F.col("odds") > math.log(LEAST_ODDS))
     lexicon = {r["feature"]: r["odds"] / 4 for r in chosen.collect()}
-    grammar = Grammar(lexicon)
+    grammar = Grammar(lexicon, without=without)
     if not (sizes[0] and sizes[1]):
         return grammar
 
-    shipped = (lexicon,)
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def formed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Grammar(lexicon, without=without)
         for batch in batches:
-            own = Grammar(*shipped)
-            found = [round(math.log1p(own.total(t.as_py() or "")), 1) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1)], ["total", "toxic"])
-
-    points = train.mapInArrow(totals, "total double, toxic int").groupBy("total").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).collect()
-    grammar.slope, grammar.bias = fitted([(r["total"], r["t"], r["n"]) for r in sorted(points, key=lambda r: r["total"])])
-    return grammar
+            found = [own.forms(t.as_py() or "") for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], ["forms", "toxic"])
+
+    # sixteen numbers for each of at most limit documents
+    rows = train.mapInArrow(formed, "forms array<double>, toxic int").collect()
+    forms, toxic = np.array([r["forms"] for r in rows]), np.array([r["toxic"] for r in rows])
+    weights = weighed(forms, toxic)
+    points = Counter()
+    for x, t in zip(np.round(np.log1p(totals(forms, weights)), 1).tolist(), toxic.tolist()):
+        points[x, t] += 1
+    slope, bias = fitted([(x, points[x, 1], points[x, 0] + points[x, 1]) for x in sorted({x for x, _ in points})])
+    return Grammar(lexicon, slope, bias, weights, without)
+
+
+def totals(forms: np.ndarray, weights: Weights) -> np.ndarray:
+    """Documents' weights from their forms."""
+    left = np.repeat([1.0, weights.reported, weights.negated, weights.negated * weights.reported], 4)
+    return forms @ (left * np.tile([1.0, weights.targeted, THREAT, weights.unaimed], 4))
+
+
+def weighed(forms: np.ndarray, toxic: np.ndarray) -> Weights:
+    """Arcs' weights: the given ones, but for those that labels speak against, one after another until none moves."""
+    held = forms.any(axis=1)
+    best, reached = GIVEN, _likelihood(np.log1p(totals(forms, GIVEN)), toxic)
+    moved = bool(held.any())
+    while moved:
+        moved = False
+        for name, values in TRIED.items():
+            tried = [(_likelihood(np.log1p(totals(forms, best._replace(**{name: v}))), toxic), v) for v in values]
+            top, v = max(tried)
+            if top > reached + EVIDENCE:
+                best, reached, moved = best._replace(**{name: v}), top, True
+    return best
+
+
+def _likelihood(x: np.ndarray, toxic: np.ndarray) -> float:
+    """Log-likelihood of the logistic curve over x that fits best, with a small penalty, by Newton's steps."""
+    design, beta = np.stack([x, np.ones_like(x)], axis=1), np.zeros(2)
+    penalty = np.array([0.5, 0.0])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        slope = design.T @ (toxic - p) - penalty * beta
+        curve = (design * (p * (1 - p))[:, None]).T @ design + np.diag(penalty + 1e-9)
+        beta = np.clip(beta + np.linalg.solve(curve, slope), -30, 30)
+    p = np.clip(1 / (1 + np.exp(-np.clip(design @ beta, -30, 30))), 1e-12, 1 - 1e-12)
+    return float(np.where(toxic == 1, np.log(p), np.log(1 - p)).sum() - (penalty * beta**2).sum() / 2)
 
 
 def fitted(points: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -331,15 +422,16 @@ def fitted(points: list[tuple[float, int, int]]) -> tuple[float, float]:
     return max(slope, 0.1), bias
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of docs.
+def scored(docs: DataFrame, labels: DataFrame, without: str = "") -> DataFrame:
+    """doc_id, held_out, score, predicted of each row of docs. without: kinds of given words to leave out, as in Grammar.
 
     Null and empty texts score as a text without any match. Repeated rows score alike; other columns
     are not looked at. A null doc_id has the crc32 of nothing and is held out.
     """
     ship(docs.sparkSession)
-    grammar = learned(docs, labels)
-    shipped = docs.sparkSession.sparkContext.broadcast((grammar.words | {f"{k}*": w for k, w in grammar.stems.items()}, grammar.slope, grammar.bias))
+    grammar = learned(docs, labels, without=without)
+    lexicon = grammar.words | {f"{k}*": w for k, w in grammar.stems.items()}
+    shipped = docs.sparkSession.sparkContext.broadcast((lexicon, grammar.slope, grammar.bias, grammar.weights, without))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Grammar(*shipped.value)
