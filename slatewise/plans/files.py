@@ -284,6 +284,23 @@ def rewrite_refs(spark: SparkSession, d: str) -> DataFrame:
     return patch.rewrite(parts, plan).select("path", F.md5("xml").alias("digest"))
 
 
+def patched_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Packages of 20 pages each, patched: media named by links, every third length of a name replaced, in both ways of referring to it."""
+    package = (F.col("slide_no") % 20).cast("string").alias("package")
+    links = hrefs(spark, d).select(package, "slide_no", "target", F.concat(F.regexp_replace("target", r"[^A-Za-z0-9]", ""), F.lit(".png")).alias("name"))
+    way = F.when(F.length("target") % 2 == 0, "../media/").otherwise("/ppt/media/")
+    one = F.concat(F.lit('<Relationship Id="r" Target="'), way, "name", F.lit('"/>'))
+    rels = links.groupBy("package", "slide_no").agg(F.concat(F.lit('<Relationships xmlns="urn:x">'), F.array_join(F.sort_array(F.collect_list(one)), ""), F.lit("</Relationships>")).alias("xml"))
+    parts = rels.select("package", F.concat(F.lit("ppt/slides/_rels/slide"), "slide_no", F.lit(".xml.rels")).alias("path"), "xml")
+    types = links.select("package").distinct().select("package", F.lit("[Content_Types].xml").alias("path"), F.lit('<Types xmlns="urn:x"><Default Extension="png" ContentType="image/png"/></Types>').alias("xml"))
+    stored = links.select("package", F.concat(F.lit("ppt/media/"), "name").alias("path"), F.col("name").alias("xml")).distinct()
+    entries = parts.unionByName(types).unionByName(stored).select("package", "path", F.encode("xml", "UTF-8").alias("bytes"))
+    plan = links.where(F.length("name") % 3 == 0).select("package", F.col("name").alias("old_name")).distinct()
+    plan = plan.select("package", F.col("old_name").alias("seq"), "old_name", F.concat(S.stem(F.col("old_name")), F.lit("_repl.svg")).alias("new_name"))
+    media = plan.select("package", "new_name", F.encode(F.concat(F.lit("drawn "), "new_name"), "UTF-8").alias("bytes"))
+    return patch.patched(entries, plan, media).select("package", "path", F.md5("bytes").alias("digest"))
+
+
 def overflow_inject(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("page_id")
     svg = F.concat(F.when(i % 3 == 0, '<?xml version="1.0"?>').otherwise(""), F.when(i % 5 == 0, "<g>").otherwise("<svg"), F.when(i % 7 == 0, ' overflow="visible"').otherwise(""), F.lit(' id="'), i, F.lit('"><g/></svg>'))
@@ -423,6 +440,14 @@ FROM pages WHERE page_id % 2 = 0"""),
 , a AS (SELECT *, replace(h0, 'p' || (k % 2) || '>', 'q' || k || '>') AS h1 FROM p), b AS (SELECT *, replace(h1, 'p' || ((k + 25) % 2) || '>', 'q' || (k + 25) || '>') AS h2 FROM a)
 , c AS (SELECT *, replace(h2, 'p' || ((k + 50) % 2) || '>', 'q' || (k + 50) || '>') AS h3 FROM b), d AS (SELECT *, replace(h3, 'p' || ((k + 75) % 2) || '>', 'q' || (k + 75) || '>') AS h4 FROM c)
 SELECT CAST(page_id AS VARCHAR) AS path, md5(CASE WHEN k < 25 THEN replace(h4, '<p>', '<r' || k || '>') ELSE h0 END) AS digest FROM d"""),
+    "patched_parts": (patched_parts, f"""WITH {HREFS_SQL}, l AS (SELECT CAST(slide_no % 20 AS VARCHAR) AS package, slide_no, target, regexp_replace(target, '[^A-Za-z0-9]', '', 'g') || '.png' AS name FROM hrefs)
+, p AS (SELECT DISTINCT package, name AS old, regexp_replace(name, '\\.png$', '') || '_repl.svg' AS new FROM l WHERE length(name) % 3 = 0)
+, w AS (SELECT package, list(way || old || chr(1) || way || new ORDER BY old, way) AS plan FROM p, (SELECT unnest(['../media/', 'ppt/media/']) AS way) GROUP BY package)
+, r AS (SELECT package, slide_no, '<Relationships xmlns="urn:x">' || string_agg(one, '' ORDER BY one) || '</Relationships>' AS xml FROM (
+    SELECT package, slide_no, '<Relationship Id="r" Target="' || CASE WHEN length(target) % 2 = 0 THEN '../media/' ELSE '/ppt/media/' END || name || '"/>' AS one FROM l) GROUP BY package, slide_no)
+SELECT package, 'ppt/slides/_rels/slide' || slide_no || '.xml.rels' AS path, md5(list_reduce(list_prepend(xml, coalesce(plan, [])), lambda a, x: replace(a, split_part(x, chr(1), 1), split_part(x, chr(1), 2)))) AS digest FROM r LEFT JOIN w USING (package)
+UNION ALL SELECT DISTINCT package, '[Content_Types].xml', md5('<Types xmlns="urn:x"><Default Extension="png" ContentType="image/png"/>' || CASE WHEN package IN (SELECT package FROM p) THEN '<Default Extension="svg" ContentType="image/svg+xml"/>' ELSE '' END || '</Types>') FROM l
+UNION ALL SELECT DISTINCT package, 'ppt/media/' || name, md5(name) FROM l UNION ALL SELECT package, 'ppt/media/' || new, md5('drawn ' || new) FROM p"""),
     "overflow_inject": (overflow_inject, """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<?xml version="1.0"?>' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN '<g' || CASE WHEN page_id % 7 = 0 THEN '> overflow="visible"' ELSE '>' END || ' id="' || page_id || '"'
   ELSE '<svg' || CASE WHEN page_id % 7 = 0 THEN ' overflow="visible" id="' || page_id || '"' ELSE ' id="' || page_id || '" overflow="hidden"' END END || '><g/></svg>' AS svg FROM pages"""),
     "graph_reach": (graph_reach, f"WITH RECURSIVE {_GRAPH} SELECT slide_no, node FROM seen"),
