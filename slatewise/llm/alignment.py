@@ -39,11 +39,11 @@ from slatewise.llm.pieces import SPACE, public_pieces, read_pieces
 from slatewise.shipping import ship
 
 #: Bytes of text of one batch: what one task holds at once, on both ways.
-BATCH_BYTES = 32_000_000
+BATCH_BYTES = 8_000_000
 #: Texts read, and new units encoded, at once; documents whose pairs are told apart at once.
 AT_ONCE, DOCUMENTS = 200, 1000
 #: Units that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 UNIT = regex.compile(r"(?s).[^ ]*+(?:(?: (?!\S)| (?<=  ))[^ ]*+)*+")
 NONE, A_END, B_END, BOTH = b".abx"
@@ -245,6 +245,7 @@ def _loaded(key: str, a: str, b: bytes) -> Units:
 
 def _summed(documents: pa.Table, pairs: pa.Table) -> pa.Table:
     """Both figures of each document of a batch, from those of the batch's pairs."""
+    _here.clear()  # a worker that has labelled texts doesn't need their units any more
     kinds = documents["kind"].to_numpy()
     flat = lambda t, c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
     whole, documents = documents.filter(pa.array(kinds == 1)), documents.filter(pa.array(kinds == 0))
