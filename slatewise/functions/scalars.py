@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # File kinds, their priorities and limits.
-IMAGE_EXTENSIONS = ["png", "jpg", "jpeg", "gif", "tiff", "tif", "bmp", "webp", "svg", "pdf", "heic"]
+IMAGE_EXTENSIONS = ["bmp", "gif", "heic", "jpeg", "jpg", "pdf", "png", "svg", "tif", "tiff", "webp"]
 EXTENSION_PRIORITY = {"svg": 0, "pdf": 1, "png": 2, "jpg": 3, "jpeg": 3, "tiff": 4, "tif": 4}
 OTHER_PRIORITY = 5
 MIME_TYPES = {"svg": "image/svg+xml", "pdf": "application/pdf", "png": "image/png", "webp": "image/webp", "jpg": "image/jpeg", "jpeg": "image/jpeg"}
