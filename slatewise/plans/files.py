@@ -351,8 +351,8 @@ def first_message_type(spark: SparkSession, d: str) -> DataFrame:
 
 
 def session_retention(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created"))
-    return review.retained(s).select("id")
+    s = table(spark, d, "events").select(F.col("user_id").alias("owner"), F.col("event_id").alias("id"), F.col("ts").alias("created"))
+    return review.retained(s).select("owner", "id")
 
 
 def first_wins(spark: SparkSession, d: str) -> DataFrame:
@@ -453,7 +453,7 @@ UNION ALL SELECT DISTINCT package, 'ppt/media/' || name, md5(name) FROM l UNION
     "graph_reach": (graph_reach, f"WITH RECURSIVE {_GRAPH} SELECT slide_no, node FROM seen"),
     "graph_slide_sets": (graph_slide_sets, f"""WITH RECURSIVE {_GRAPH} SELECT l_partkey AS data_ref, array_to_string(list_sort(list(DISTINCT slide_no)), ',') AS slides FROM seen JOIN lineitem ON node = 'O' || l_orderkey GROUP BY l_partkey"""),
     "first_message_type": (first_message_type, "SELECT l_orderkey AS id FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 3) AS n FROM lineitem) WHERE n = 1 AND l_partkey % 3 = 2"),
-    "session_retention": (session_retention, "SELECT event_id AS id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts IS NOT NULL) WHERE n > 10"),
+    "session_retention": (session_retention, "SELECT user_id AS owner, event_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts IS NOT NULL) WHERE n > 10"),
     "first_wins": (first_wins, "SELECT user_id, arg_min(event_type, event_id) AS kept FROM events GROUP BY user_id"),
     "last_wins": (last_wins, "SELECT user_id, arg_max(event_type, event_id) AS kept FROM events GROUP BY user_id"),
     "visible_rect": (visible_rect, """WITH p AS (SELECT p_partkey, p_size * 10 AS m, p_size * (p_partkey % 11) AS w, p_size * (p_partkey % 3) AS h FROM part)

@@ -76,6 +76,16 @@ def test_retention_over_all(spark):
     assert review.retained(s.limit(0)).count() == 0
 
 
+def test_retention_of_each_owner(spark):
+    rows = [("a", i, f"2024-01-{1 + i % 20:02} 00:00:00") for i in range(30)] + [("b", i, "2024-01-01 00:00:00") for i in range(12)] + [("b", 99, None), ("c", 1, "2023-01-01 00:00:00")]
+    s = spark.createDataFrame(rows, "owner string, id int, at string").select("owner", "id", F.col("at").cast("timestamp").alias("created"))
+    want = []
+    for owner in "abc":
+        want += sorted((r for r in rows if r[0] == owner and r[2]), key=lambda r: (r[2], r[1]), reverse=True)[10:]
+    got = review.retained(s)
+    assert got.columns == s.columns and sorted((r.owner, r.id) for r in got.collect()) == sorted(r[:2] for r in want)
+
+
 def test_last_archive_of_an_id(spark):
     kind = f"package string, path string, position int, {archive.ARCHIVES}"
     info = [{"type": 1, "length": 1, "object_refs": [], "data_refs": []}]
