@@ -45,6 +45,23 @@ def test_search_is_the_loop(spark, monkeypatch, block):
         assert {k: [c.name for c in v] for k, v in got.items()} == {k: v[1][:slots] for k, v in want.items()}
 
 
+def test_sources_are_copied_for_few_groups(spark, monkeypatch):
+    """Ten times the items don't copy each source ten times as often: a bucket is cut by its share of the pairs, not by its items alone."""
+    monkeypatch.setattr(search, "BLOCK", 4)
+    h = F.lit(5).cast("bigint")
+    kind = [h.alias("ahash"), h.alias("phash"), F.array(F.lit(1.0)).alias("moments"), F.when(F.col("id") % 5 > 0, 100 + 100 * (F.col("id") % 3)).cast("int").alias("width"), F.lit(100).alias("height"), F.lit("png").alias("ext")]
+    s = spark.range(50).select(F.format_string("s%d", "id").alias("filename"), *kind)
+    copies = []
+    for n in (1000, 10_000):
+        rows = search._groups(spark.range(n).select(F.format_string("d%d", "id").alias("filename"), *kind), s)
+        of = {r.is_item: r["count"] for r in rows.groupBy("is_item").count().collect()}
+        assert of[True] == n
+        copies.append(of[False])
+        groups = rows.select("bucket", "cell").distinct().count()
+        assert rows.select("bucket", "cell", F.spark_partition_id()).distinct().count() == groups  # a group is in one task
+    assert copies[1] == copies[0]
+
+
 def test_numbers_that_are_missing(spark):
     """A missing number among the moments, one name twice, an item that nothing is near to, no source at all."""
     h = 0x0F0F0F0F0F0F0F0F
