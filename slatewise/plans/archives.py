@@ -19,24 +19,32 @@ def _byte(x: Column) -> Column:
 
 
 def _varint(x: Column) -> Column:
-    """Hex of a number below 2^35."""
+    """Hex of a number below 2^35. Its bytes are put together as one number, whose first digit is 8 at least where there are several."""
+    x = x.cast("bigint")
 
-    def written(x: Column) -> Column:
-        low = [_byte(F.pmod(F.shiftright(x, 7 * i), F.lit(128)) + 128) for i in range(4)]
-        out = F.concat(*low, _byte(F.shiftright(x, 28)))
-        for n in range(4, 0, -1):
-            out = F.when(x < 1 << 7 * n, F.concat(*low[: n - 1], _byte(F.shiftright(x, 7 * (n - 1))))).otherwise(out)
-        return out
+    def written(n: int) -> Column:
+        out = F.shiftright(x, 7 * (n - 1))
+        for i in range(n - 1):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(x, 7 * i).bitwiseAND(F.lit(127)).bitwiseOR(F.lit(128)), 8 * (n - 1 - i)))
+        return F.hex(out)
 
-    return _let(x.cast("bigint"), written)
+    out = F.when(x < 1 << 7, F.lpad(F.hex(x), 2, "0"))
+    for n in range(2, 5):
+        out = out.when(x < 1 << 7 * n, written(n))
+    return out.otherwise(written(5))
 
 
 def _size(hexed: Column) -> Column:
-    return F.length(hexed) / 2
+    return F.shiftright(F.octet_length(hexed), 1)
+
+
+def _tag(field: int, kind: int) -> Column:
+    """A tag of one byte."""
+    return F.lit(f"{field * 8 + kind:02X}")
 
 
 def _number(field: int, x: Column) -> Column:
-    return F.concat(_varint(F.lit(field * 8)), _varint(x))
+    return F.concat(_tag(field, 0), _varint(x))
 
 
 def _sized(hexed: Column) -> Column:
@@ -44,7 +52,7 @@ def _sized(hexed: Column) -> Column:
 
 
 def _message(field: int, hexed: Column) -> Column:
-    return F.concat(_varint(F.lit(field * 8 + 2)), _sized(hexed))
+    return F.concat(_tag(field, 2), _sized(hexed))
 
 
 def _archive(identifier: Column, kind: Column, payload: Column, *lists: Column) -> Column:
@@ -70,8 +78,8 @@ def _chunk(hexed: Column) -> Column:
 
 def _file(stream: Column) -> Column:
     """Bytes of a file whose stream is cut into two chunks, wherever that is."""
-    half = lambda h: (F.floor(_size(h) / 2) * 2).cast("int")
-    return F.unhex(_let(stream, lambda h: F.concat(_chunk(F.substring(h, F.lit(1), half(h))), _chunk(F.substring(h, half(h) + 1, F.length(h))))))
+    half = lambda h: F.shiftleft(F.shiftright(F.octet_length(h), 2), 1)
+    return F.unhex(_let(stream, lambda h: F.concat(_chunk(F.substring(h, F.lit(1), half(h))), _chunk(F.substring(h, half(h) + 1, F.octet_length(h))))))
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
@@ -79,27 +87,24 @@ def _entries(spark: SparkSession, d: str) -> DataFrame:
 
     Some files are templates, some are broken, and some orders are in an earlier file too, with other references.
     """
-    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    per = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey"))).alias("lines"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that they aren't put together by bytes: rows are small and their work is not
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_suppkey", "l_partkey").repartition(parts, "o_orderkey")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey").repartition(parts, "o_orderkey")
+    per = lines.groupBy("o_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey"))).alias("lines"))
     each = orders.select("o_orderkey", (F.col("o_custkey") % 10).cast("string").alias("package")).join(per, "o_orderkey")
     key = F.col("o_orderkey")
-    refs = lambda c, more: F.array_join(F.transform("lines", lambda x: _varint(x[c] + more)), "")
+    each = each.withColumn("more", F.explode(F.when(key % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    more = F.col("more")
+    refs = lambda c, by: F.array_join(F.transform("lines", lambda x: _varint(x[c] + by)), "")
     payload = F.repeat(F.lit("AB"), (key % 40).cast("int"))
-
-    def version(more: int) -> Column:
-        return _archive(key, 5 + key % 3 + more, payload, _message(5, refs("l_suppkey", more)), _message(6, refs("l_partkey", 2 * more)))
-
-    name = F.concat(F.when(key % 7 == 0, "Index/TemplateSlide-").otherwise("Index/Slide-"), key, F.lit(".iwa"))
+    file = _file(_archive(key, 5 + key % 3 + more, payload, _message(5, refs("l_suppkey", more)), _message(6, refs("l_partkey", 2 * more))))
+    name = F.when(more == 1, "Index/A-").when(key % 7 == 0, "Index/TemplateSlide-").otherwise("Index/Slide-")
     broken = F.unhex(F.lit("01616263"))
-    main = each.select("package", name.alias("path"), F.when(key % 11 == 0, broken).otherwise(_file(version(0))).alias("bytes"))
-    earlier = each.where(key % 5 == 0).select("package", F.concat(F.lit("Index/A-"), key, F.lit(".iwa")).alias("path"), _file(version(1)).alias("bytes"))
-    return main.unionByName(earlier)
+    return each.select("package", F.concat(name, key, F.lit(".iwa")).alias("path"), F.when((more == 0) & (key % 11 == 0), broken).otherwise(file).alias("bytes"))
 
 
 def archive_edges(spark: SparkSession, d: str) -> DataFrame:
-    found = archive.last_of_each(archive.decoded(_entries(spark, d)))
-    objects = archive.object_edges(found).select("package", F.lit("object").alias("kind"), "src", "dst")
-    return objects.unionByName(archive.data_edges(found).select("package", F.lit("data").alias("kind"), F.col("obj").alias("src"), F.col("data_ref").alias("dst")))
+    return archive.edges(archive.last_of_each(archive.decoded(_entries(spark, d))))
 
 
 def archive_headers(spark: SparkSession, d: str) -> DataFrame:

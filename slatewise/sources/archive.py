@@ -28,6 +28,8 @@ def signed(x: int) -> int:
 
 def varint(data: bytes, at: int) -> tuple[int, int]:
     """A varint and the place after it."""
+    if at < len(data) and data[at] < 0x80:
+        return data[at], at + 1
     value = shift = 0
     while True:
         if at >= len(data) or shift >= 64:
@@ -42,20 +44,26 @@ def varint(data: bytes, at: int) -> tuple[int, int]:
 
 def fields(data: bytes) -> Iterator[tuple[int, int, int | bytes]]:
     """(number, wire type, value) of a message; types 0, 1, 2 and 5."""
-    at = 0
-    while at < len(data):
-        tag, at = varint(data, at)
+    at, end = 0, len(data)
+    while at < end:
+        tag = data[at]
+        at += 1
+        if tag >= 0x80:
+            tag, at = varint(data, at - 1)
         number, kind = tag >> 3, tag & 7
         if kind == 0:
-            value, at = varint(data, at)
+            if at < end and data[at] < 0x80:
+                value, at = data[at], at + 1
+            else:
+                value, at = varint(data, at)
         elif kind in (1, 5):
             n = 8 if kind == 1 else 4
-            if at + n > len(data):
+            if at + n > end:
                 raise Broken("fixed")
             value, at = int.from_bytes(data[at : at + n], "little"), at + n
         elif kind == 2:
             n, at = varint(data, at)
-            if at + n > len(data):
+            if at + n > end:
                 raise Broken("length")
             value, at = data[at : at + n], at + n
         else:
@@ -64,18 +72,29 @@ def fields(data: bytes) -> Iterator[tuple[int, int, int | bytes]]:
 
 
 def packed(data: bytes) -> list[int]:
-    out, at = [], 0
-    while at < len(data):
-        x, at = varint(data, at)
-        out.append(signed(x))
+    out, value, shift = [], 0, 0
+    for byte in data:
+        value |= (byte & 0x7F) << shift
+        if byte < 0x80:
+            out.append(signed(value & 0xFFFFFFFFFFFFFFFF) if shift >= 56 else value)
+            value = shift = 0
+        else:
+            shift += 7
+            if shift >= 64:
+                raise Broken("varint")
+    if shift:
+        raise Broken("varint")
     return out
 
 
+_SNAPPY = pa.Codec("snappy")
+
+
 def unsnappy(block: bytes) -> bytes:
     """A raw Snappy block's content; the block itself where it is none."""
     try:
         size, _ = varint(block, 0)
-        return pa.decompress(block, decompressed_size=size, codec="snappy").to_pybytes()
+        return _SNAPPY.decompress(block, size, asbytes=True)
     except (Broken, pa.ArrowException, OSError, OverflowError, MemoryError, ValueError):
         return block
 
@@ -135,25 +154,65 @@ def archives_of(stream: bytes) -> list[tuple[int, list[tuple], bytes]]:
     return out
 
 
+class _Found:
+    """Archives on their way to a batch: messages and what they refer to are flat lists and the places where each one's end."""
+
+    def __init__(self) -> None:
+        self.of: list[int] = []
+        self.size = 0
+        self.position, self.id, self.payload, self.messages = [], [], [], [0]
+        self.type, self.length, self.objects, self.object_ends, self.data, self.data_ends = [], [], [], [0], [], [0]
+
+    def add(self, row: int, found: list[tuple[int, list[tuple], bytes]]) -> None:
+        for position, (identifier, messages, payload) in enumerate(found):
+            self.of.append(row)
+            self.position.append(position)
+            self.id.append(identifier)
+            self.payload.append(payload)
+            self.size += len(payload)
+            for kind, length, objects, refs in messages:
+                self.type.append(signed(kind))
+                self.length.append(length)
+                self.objects += objects
+                self.object_ends.append(len(self.objects))
+                self.data += refs
+                self.data_ends.append(len(self.data))
+            self.messages.append(len(self.type))
+
+    def batch(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        long = lambda x: pa.array(x, pa.int64())
+        listed = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        infos = pa.StructArray.from_arrays(
+            [long(self.type), long(self.length), listed(self.object_ends, long(self.objects)), listed(self.data_ends, long(self.data))], ["type", "length", "object_refs", "data_refs"]
+        )
+        package, path, is_template = (rows.column(c).take(long(self.of)) for c in ("package", "path", "is_template"))
+        columns = [package, path, pa.array(self.position, pa.int32()), long(self.id), is_template, listed(self.messages, infos), pa.array(self.payload, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["package", "path", "position", "id", "is_template", "message_infos", "payload"])
+
+
+AT_ONCE = 1 << 26
+
+
 def decoded(entries: DataFrame) -> DataFrame:
     """package, path, position in it and archives of the .iwa entries directly under Index/. A broken file has none. entries: package, path, bytes."""
     ship(entries.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for package, path, template, data in zip(batch["package"], batch["path"], batch["is_template"], batch["bytes"]):
+            found = _Found()
+            for row, data in enumerate(batch.column("bytes")):
                 try:
-                    found = archives_of(unframed(bytes(data)))
+                    found.add(row, archives_of(unframed(data.as_py() or b"")))
                 except Broken:
                     continue
-                for position, (identifier, messages, payload) in enumerate(found):
-                    infos = [{"type": t, "length": n, "object_refs": o, "data_refs": r} for t, n, o, r in messages]
-                    rows.append((package, path, position, identifier, bool(template), infos, payload))
-            yield pd.DataFrame(rows, columns=["package", "path", "position", "id", "is_template", "message_infos", "payload"])
+                if found.size > AT_ONCE:
+                    yield found.batch(batch)
+                    found = _Found()
+            if found.of:
+                yield found.batch(batch)
 
-    own = entries.where(F.col("path").rlike(r"(^|/)Index/[^/]*\.iwa$")).select("package", "path", S.is_template(S.basename(F.col("path"))).alias("is_template"), "bytes")
-    return own.mapInPandas(run, f"package string, path string, position int, {ARCHIVES}")
+    own = entries.where(F.col("path").rlike(r"(^|/)Index/[^/]*\.iwa$")).select(F.col("package").cast("string"), "path", S.is_template(S.basename(F.col("path"))).alias("is_template"), "bytes")
+    return own.mapInArrow(run, f"package string, path string, position int, {ARCHIVES}")
 
 
 def last_of_each(archives: DataFrame) -> DataFrame:
@@ -176,6 +235,13 @@ def data_edges(archives: DataFrame) -> DataFrame:
     return archives.select("package", F.col("id").alias("obj"), F.explode(F.flatten(F.transform("message_infos", lambda m: m["data_refs"]))).alias("data_ref"))
 
 
+def edges(archives: DataFrame) -> DataFrame:
+    """package, kind (object or data), src, dst: both kinds of edges in one pass."""
+    refs = lambda kind, field: F.transform(F.flatten(F.transform("message_infos", lambda m: m[field])), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("dst")))
+    each = archives.select("package", "id", F.concat(refs("object", "object_refs"), refs("data", "data_refs")).alias("refs"))
+    return each.select("package", F.col("id").alias("src"), F.inline("refs")).select("package", "kind", "src", "dst")
+
+
 def template_nodes(archives: DataFrame) -> DataFrame:
     return archives.where("is_template").select("package", F.col("id").alias("node"))
 

@@ -3,9 +3,11 @@
 import random
 import tracemalloc
 
+from conftest import SF
 from pyspark.sql import functions as F
 
 from slatewise.operators import companion, match, review
+from slatewise.plans import archives
 from slatewise.sources import archive
 
 PAIRS = "degraded string, source string, source_ext string, s_ahash bigint, s_phash bigint, ahash_distance int, phash_distance int, score float"
@@ -95,6 +97,32 @@ def test_last_archive_of_an_id(spark):
     assert sorted((r.package, r.id, bytes(r.payload), r.is_template) for r in got.collect()) == [("p", 1, b"b0", True), ("p", 2, b"a1", False), ("q", 1, b"q0", False)]
 
 
+def test_archives_in_one_pass(spark):
+    """Archives are made once for both versions of an order, and their two kinds of edges come from one pass."""
+    for query, decodes in ((archives.archive_edges, 1), (archives.archive_headers, 1)):
+        plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapIn") == decodes and "Union" not in plan
+
+
+def test_archives_of_any_bytes(spark, monkeypatch):
+    """Types and references of 64 bits, several messages, none, a file without bytes; batches that are given in parts."""
+    monkeypatch.setattr(archive, "AT_ONCE", 3)
+    tall = b"\xff" * 9 + b"\x01"
+    info = lambda kind, length, objects, data: b"\x08" + kind + b"\x18" + bytes([length]) + b"\x2a" + bytes([len(objects)]) + objects + b"\x32" + bytes([len(data)]) + data
+    def one(identifier, payload, *infos):
+        head = b"\x08" + bytes([identifier]) + b"".join(b"\x12" + bytes([len(i)]) + i for i in infos)
+        return bytes([len(head)]) + head + payload
+    stream = one(1, b"abcde", info(b"\x05", 2, tall + b"\x07", b""), info(tall, 3, b"", b"\x81\x01")) + one(2, b"") + one(3, b"xyz", info(b"\x06", 3, b"\x09", tall))
+    file = b"\x00" + len(stream).to_bytes(3, "little") + stream
+    rows = [("p", "Index/a.iwa", file), ("p", "Index/b.iwa", None), ("p", "Index/c.iwa", b"\x01abc"), ("p", "Index/d.iwa", file), ("p", "Data/e.iwa", file)]
+    found = archive.decoded(spark.createDataFrame(rows, "package string, path string, bytes binary").coalesce(1))
+    got = sorted((r.path[6], r.position, r.id, [tuple(m) for m in r.message_infos], bytes(r.payload)) for r in found.collect())
+    want = [(0, 1, [(5, 2, [-1, 7], []), (-1, 3, [], [129])], b"abcde"), (1, 2, [], b""), (2, 3, [(6, 3, [9], [-1])], b"xyz")]
+    assert got == [(path, *w) for path in "ad" for w in want]
+    edges = archive.edges(found.where("path = 'Index/a.iwa'"))
+    assert sorted(map(tuple, edges.collect())) == [("p", "data", 1, 129), ("p", "data", 3, -1), ("p", "object", 1, -1), ("p", "object", 1, 7), ("p", "object", 3, 9)]
+
+
 def test_validator_cases(spark):
     """First words that occur twice, an unreadable page, a drawing without metrics, a place that is missing."""
     found = spark.createDataFrame([("a.svg", "a.pdf", 1), ("a.svg", "b.pdf", 2), ("n.svg", "a.pdf", 1), ("a.svg", "none.pdf", 3)], "svg string, pdf string, gap int")
