@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_models import FP, PRIORITY, model, near_random, signed
@@ -86,3 +87,71 @@ def test_fold_of_numbers():
             match.hold(kept, r, slots)
         a, p, has = np.array([r[2] for r in rows], np.uint64), np.array([r[3] or 0 for r in rows], np.uint64), np.array([r[3] is not None for r in rows])
         assert [rows[x] for x in search.folded(a, p, has, np.array([r[4] for r in rows], np.int8), slots)] == kept
+
+
+def _batch(n, copies):
+    """n sources, each fingerprint copies times, as a group gets them."""
+    print_of = np.arange(n) // copies
+    columns = {
+        "filename": pa.array([f"s{(i * 7919) % n:07}.png" for i in range(n)]),
+        "ahash": pa.array(np.int64(7) << (6 * (print_of % 8)).astype(np.int64)),
+        "phash": pa.array(print_of.astype(np.int64)),
+        "moments": pa.array([[float(x), 1.0, 2.0] for x in print_of], pa.list_(pa.float64())),
+        "ratio": pa.array(np.full(n, 1.0)),
+        "priority": pa.array(np.where(np.arange(n) % copies == copies - 1, 0, 2).astype(np.int32)),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def test_sources_are_few_bytes():
+    """A task's sources grow by their names and some 20 bytes each: what copies of a fingerprint share is held once, and no Arrow batch is."""
+    whole = _batch(40_000, 100)
+    sources = search.Sources()
+    for k in range(0, 40_000, 10_000):
+        sources.add(whole.slice(k, 10_000))
+    sources.finish()
+    held = sum(x.nbytes for x in vars(sources).values() if isinstance(x, np.ndarray))
+    assert held < 24 * 40_000 and sources.name.get_total_buffer_size() < 20 * 40_000 and not sources.held
+    assert sources.name.take(pa.array(sources.by_name)).to_pylist() == sorted(sources.name.to_pylist())
+
+
+def test_fold_looks_at_few_sources(monkeypatch):
+    """Copies of what can change nothing any more aren't looked at."""
+    sources = search.Sources()
+    sources.add(_batch(40_000, 100))
+    sources.finish()
+    looked, passing = [], search.Sources.passing
+    monkeypatch.setattr(search.Sources, "passing", lambda self, *a: looked.append(passing(self, *a)) or looked[-1])
+    kept, score = sources.kept(0, 0, [0.0, 1.0, 2.0], 1.0, 3)
+    assert len(kept) == 3 and sum(len(at) for at, _ in looked) < 20_000
+    rows, bits = [], sources.a ^ np.uint64(0)
+    for i in range(40_000):
+        c = int(sources.of_class[i])
+        p = int(sources.p[c])
+        s = np.float32(p.bit_count()) + np.float32(abs(i // 100)) * np.float32(20)
+        rows.append((float(s), sources.name[i].as_py(), int(bits[c]), p, int(sources.priority[i])))
+    want = []
+    for r in sorted(rows):
+        match.hold(want, r, 3)
+    assert [(sources.name[int(i)].as_py(), float(s)) for i, s in zip(kept, score)] == [(r[1], r[0]) for r in want]
+
+
+def test_fold_where_levels_rise():
+    """Kept ones that take each other's places, in chunks of which parts aren't looked at at first: the fold of the loop all the same."""
+    rng = random.Random(5)
+    for _ in range(60):
+        n = rng.randrange(200, 400)
+        rows = sorted((near_random(rng, 0) & 0x3FF, rng.choice((-1, 0, 1, 2, 3)), float(rng.randrange(3)), f"{i:03}", rng.choice((0, 1, 2, 2, 3, 5, 5))) for i in range(n))
+        batch = pa.RecordBatch.from_pydict({
+            "filename": pa.array([r[3] for r in rows]), "ahash": pa.array([r[0] for r in rows], pa.int64()), "phash": pa.array([None if r[1] < 0 else r[1] for r in rows], pa.int64()),
+            "moments": pa.array([[r[2]] for r in rows], pa.list_(pa.float64())), "ratio": pa.array([1.0] * n), "priority": pa.array([r[4] for r in rows], pa.int32()),
+        })
+        sources = search.Sources()
+        sources.add(batch)
+        sources.finish()
+        for slots in (None, 1, 3):
+            want = []
+            for r in sorted((float(np.float32(64 if r[1] < 0 else (r[1] ^ 1).bit_count()) + np.float32(r[2] * 20)), r[3], r[0], None if r[1] < 0 else r[1], r[4]) for r in rows):
+                match.hold(want, r, slots)
+            kept, score = sources.kept(0, 1, [0.0], 1.0, slots)
+            assert [(sources.name[int(i)].as_py(), float(s)) for i, s in zip(kept, score)] == [(r[1], r[0]) for r in want]
