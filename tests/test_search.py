@@ -155,3 +155,12 @@ def test_fold_where_levels_rise():
                 match.hold(want, r, slots)
             kept, score = sources.kept(0, 1, [0.0], 1.0, slots)
             assert [(sources.name[int(i)].as_py(), float(s)) for i, s in zip(kept, score)] == [(r[1], r[0]) for r in want]
+
+
+def test_pairs_of_scores_are_the_table(spark):
+    """score_candidates deals out rows of one side, and gives the pairs of the join."""
+    frame = matching.score_candidates(spark, SF)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "s_cell" not in plan and "MapInArrow" in plan
+    pairs = match.candidates(*matching.sides(spark, SF)).select("degraded", "source", "ahash_distance", "phash_distance", F.round("moment_distance", 3), F.round("score", 2))
+    assert sorted(frame.collect()) == sorted(pairs.collect())
