@@ -465,3 +465,16 @@ def test_toxicity_grammar():
     plain, aimed, denied, told = (g.total(t) for t in ("A moron came.", "You are a moron.", "This is not a moron.", "She said he was a moron."))
     assert denied < plain < aimed and told < aimed and g.total("Calm words, you.") == 0
     assert g.total("I will hurt you") == toxicity.THREAT and g.total("The scumbag left") == 1.0
+
+
+def test_texts_are_signed_once(spark, monkeypatch):
+    """One pass makes the signatures and one shuffle deals them out; what one row alone has goes, the others meet at the least row."""
+    long = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join([*long, f"own{i}"])) for i in range(6)] + [(10 + i, " ".join(f"x{i}_{k}" for k in range(50))) for i in range(5)]
+    base = ngram_join.numbered(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    plans, kept = [], ngram_join.saved
+    monkeypatch.setattr(ngram_join, "saved", lambda df, sweep=False: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, sweep))
+    stars = ngram_join._stars(base).collect()
+    assert sum(p.count("MapInArrow sign(") for p in plans) == 1, plans
+    ids = {r.uid: r.key for r in base.collect()}
+    assert {ids[r.a] for r in stars} | {ids[r.b] for r in stars} == set(range(6))
